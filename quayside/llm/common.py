@@ -14,6 +14,9 @@ LOWER = UPPER.lower()
 #: The same mapping for bytes; UTF-8 continuation bytes are never in A-Z.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
+#: Shuffle files of a finished write are of no use; Spark can delete them at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
@@ -43,7 +46,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage,
     survives lost executors and gives the planner true sizes."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    try:
+        conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,3 +69,33 @@ def one_thread() -> None:
     """Keep numeric libraries of a Python worker to its one core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(name, "1")
+
+
+def _murmur3(value: int, seed: int = 42) -> int:
+    """Spark's hash of an INT column."""
+    mask = 0xFFFFFFFF
+    k = value * 0xCC9E2D51 & mask
+    k = (k << 15 | k >> 17) & mask
+    k = k * 0x1B873593 & mask
+    h = seed ^ k
+    h = (h << 13 | h >> 19) & mask
+    h = (h * 5 + 0xE6546B64) & mask
+    h ^= 4
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >= 1 << 31 else h
+
+
+def partition_keys(n: int) -> list[int]:
+    """For each of n partitions an INT key that ``repartition(n, key)`` sends there."""
+    found: dict[int, int] = {}
+    key = 0
+    while len(found) < n:
+        found.setdefault(_murmur3(key) % n, key)
+        key += 1
+    return [found[i] for i in range(n)]
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .katz import score_documents
 from .simhash import near_duplicate_rows
 from .topk import top_k_embeddings
 from .warc import archive_pages
@@ -24,10 +25,15 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_rows(table(spark, sf_dir, "documents"))
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op5_exact_topk": op5_exact_topk,
     "op7_simhash_components": op7_simhash_components,
+    "op10_katz_scores": op10_katz_scores,
 }
 
 #: DuckDB has no SHA-1 of blobs in base32, SimHash, tries, forests or bins; what is here is exact.
