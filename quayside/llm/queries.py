@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .density import extract_pages
 from .katz import score_documents
 from .phrases import contamination
 from .simhash import near_duplicate_rows
@@ -26,6 +27,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_rows(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op4_decontamination": op4_decontamination,
     "op5_exact_topk": op5_exact_topk,
+    "op6_text_density": op6_text_density,
     "op7_simhash_components": op7_simhash_components,
     "op10_katz_scores": op10_katz_scores,
 }
