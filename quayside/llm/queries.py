@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .density import extract_pages
 from .katz import score_documents
+from .langid import identify
 from .phrases import contamination
 from .simhash import near_duplicate_rows
 from .topk import top_k_embeddings
@@ -19,6 +20,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +46,7 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
+    "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_exact_topk": op5_exact_topk,
     "op6_text_density": op6_text_density,
