@@ -11,6 +11,7 @@ from .density import extract_pages
 from .katz import score_documents
 from .langid import identify
 from .phrases import contamination
+from .secrets import secret_rows
 from .simhash import near_duplicate_rows
 from .topk import top_k_embeddings
 from .warc import archive_pages
@@ -40,6 +41,10 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_topk": op5_exact_topk,
     "op6_text_density": op6_text_density,
     "op7_simhash_components": op7_simhash_components,
+    "op9_secret_scan": op9_secret_scan,
     "op10_katz_scores": op10_katz_scores,
 }
 
