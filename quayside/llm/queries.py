@@ -10,6 +10,7 @@ from .common import table
 from .density import extract_pages
 from .katz import score_documents
 from .langid import identify
+from .packing import best_fit
 from .phrases import contamination
 from .secrets import secret_rows
 from .simhash import near_duplicate_rows
@@ -17,6 +18,10 @@ from .topk import top_k_embeddings
 from .warc import archive_pages
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -50,6 +55,7 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
