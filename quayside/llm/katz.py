@@ -41,8 +41,8 @@ NAME_BITS, END, START = 48, 0, 1
 K, TRUST = 5, 0.999
 #: A word is hot if more than one token in so many is that word.
 HOT = 1000
-#: Characters of text that are tokenised at once, and tokens that a bucket should hold.
-CHUNK, BUCKET = 6_000_000, 2_500_000
+#: Characters of text that are tokenised at once, tokens that a bucket should hold, and that are counted at once.
+CHUNK, BUCKET, SLICE = 4_000_000, 2_500_000, 400_000
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
@@ -188,16 +188,25 @@ def _deal(hot: np.ndarray, buckets: int, keys: list[int]):
     return run
 
 
-def _open(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, history, document key, training flag) of a piece's tokens."""
-    raw = zstandard.ZstdDecompressor().decompress(piece)
-    at, parts = 28, []
-    for size in np.frombuffer(raw[:28], "<u4"):
-        parts.append(raw[at : at + int(size)])
-        at += int(size)
-    back = lambda i: np.frombuffer(parts[i], np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
-    who = back(6)
-    return np.repeat(_wide(parts[0]), back(1)), _wide(parts[2])[back(3)], np.frombuffer(parts[4], "<i8")[who], np.frombuffer(parts[5], np.uint8)[who]
+def _open(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, history and document of each token of the pieces, as an index into the last
+    two: the documents' keys and training flags."""
+    unpack, ws, hs, ds, keys, flags, before = zstandard.ZstdDecompressor().decompress, [], [], [], [], [], 0
+    for piece in pieces:
+        raw = unpack(piece)
+        at, parts = 28, []
+        for size in np.frombuffer(raw[:28], "<u4"):
+            parts.append(raw[at : at + int(size)])
+            at += int(size)
+        back = lambda i: np.frombuffer(parts[i], np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)  # noqa: B023, E731
+        ws.append(np.repeat(_wide(parts[0]), back(1)))
+        hs.append(_wide(parts[2])[back(3)])
+        ds.append(back(6) + np.uint32(before))
+        keys.append(np.frombuffer(parts[4], "<i8"))
+        flags.append(np.frombuffer(parts[5], np.uint8))
+        before += len(keys[-1])
+    ids, same, index = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return np.concatenate(ws), np.concatenate(hs), index.astype(np.uint32)[np.concatenate(ds)], ids, np.concatenate(flags)[same].astype(np.int64)
 
 
 SMALL = [f"k{r}" for r in range(1, K + 1)]
@@ -221,38 +230,61 @@ def _evaluate(uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray):
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     def bucket(pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-        w, h, doc, train = (np.concatenate(x) for x in zip(*map(_open, pieces), strict=True))
+        w, h, who, ids, train = _open(pieces)
         order = np.lexsort((h, w))
-        w, h, doc, train = w[order], h[order], doc[order], train[order].astype(np.int64)
+        w, h, who = w[order], h[order], who[order]
+        del order
+        edges = np.append(np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))), len(w))
+        sums = np.zeros((2, len(ids)))  # base, fixed
+        counts = np.zeros((K + 2, len(ids)), np.int64)  # n, known, k1 ...
+        types: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(w):  # whole words, few tokens at a time
+            stop = int(edges[min(np.searchsorted(edges, at + SLICE), len(edges) - 1)])
+            yield from some(w[at:stop], h[at:stop], who[at:stop], ids, train, sums, counts, types)
+            at = stop
+        yield from rows(0, len(ids), doc=ids, n=counts[0], known=counts[1], base=sums[0], fixed=sums[1], **{f"k{i}": counts[i + 1] for i in range(1, K + 1)})
+        del w, h, who
+        yield from follow(*(np.concatenate(x) for x in zip(*types, strict=True)))
+
+    def some(w, h, who, ids, train, sums, counts, types) -> Iterator[pa.RecordBatch]:
         new_w = np.concatenate(([True], w[1:] != w[:-1]))
         new = new_w | np.concatenate(([True], h[1:] != h[:-1]))
-        group, big = np.cumsum(new) - 1, np.add.reduceat(train, np.flatnonzero(new))
-        count = np.add.reduceat(train, np.flatnonzero(new_w))
+        held = train[who]
+        big = np.add.reduceat(held, np.flatnonzero(new))
+        count = np.add.reduceat(held, np.flatnonzero(new_w))
         own = w[new_w]
         if len(hot):
             at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
             count = np.where(hot[at] == own, hot_counts[at], count)
         c = count[np.cumsum(new_w) - 1]
-        r = big[group]
+        r = big[np.cumsum(new) - 1]
 
-        ids, who = np.unique(doc, return_inverse=True)
-        total = lambda x: np.bincount(who, weights=x, minlength=len(ids))
-        whole = lambda x: np.rint(total(x)).astype(np.int64)
         fixed = np.where(r > 0, np.where(r > K, np.log10(np.maximum(r, 1) * TRUST), np.log10(np.maximum(r, 1))), uni.log_p(c))
         fixed -= np.where((c > 0) & (w != END), np.log10(np.maximum(c, 1)), 0.0)  # as the history of the next token
-        base = np.log10((c + 1.0) / (uni.tokens + 1.0 * (uni.types + 1)))
-        yield from rows(0, len(ids), doc=ids, n=whole(np.ones(len(w))), known=whole(c > 0), base=total(base), fixed=total(fixed), **{f"k{i}": whole(r == i) for i in range(1, K + 1)})
+        met, index = np.unique(who, return_inverse=True)
+        total = lambda x: np.bincount(index, weights=x, minlength=len(met))
+        whole = lambda x: np.rint(total(x)).astype(np.int64)
+        sums[0, met] += total(np.log10((c + 1.0) / (uni.tokens + 1.0 * (uni.types + 1))))
+        sums[1, met] += total(fixed)
+        counts[0, met] += np.bincount(index, minlength=len(met))
+        counts[1, met] += whole(c > 0)
+        for i in range(1, K + 1):
+            counts[i + 1, met] += whole(r == i)
 
         unseen = r == 0
-        yield from rows(1, int(unseen.sum()), key=h[unseen].astype(np.int64), doc=doc[unseen])
+        yield from rows(1, int(unseen.sum()), key=h[unseen].astype(np.int64), doc=ids[who[unseen]])
 
         seen = big > 0
-        hist, r, c = h[new][seen], big[seen], c[new][seen]
-        ids, who = np.unique(hist, return_inverse=True)
-        sums = {f"k{i}": whole(r == i) for i in range(1, K + 1)} | {f"u{i}": whole(c == i) for i in range(1, K + 1)}
-        yield from rows(2, len(ids), key=ids.astype(np.int64), n=whole(np.where(r > K, r, 0)), heavy=whole(np.where(c > K, c, 0)), **sums)
-        nn = np.bincount(np.minimum(r, K + 2), minlength=K + 3)
-        yield from rows(3, K + 1, key=np.arange(1, K + 2), n=nn[1 : K + 2])
+        types.append((h[new][seen], big[seen], c[new][seen]))
+
+    def follow(hist, r, c) -> Iterator[pa.RecordBatch]:
+        met, index = np.unique(hist, return_inverse=True)
+        whole = lambda x: np.rint(np.bincount(index, weights=x, minlength=len(met))).astype(np.int64)
+        sets = {f"k{i}": whole(r == i) for i in range(1, K + 1)} | {f"u{i}": whole(c == i) for i in range(1, K + 1)}
+        yield from rows(2, len(met), key=met.astype(np.int64), n=whole(np.where(r > K, r, 0)), heavy=whole(np.where(c > K, c, 0)), **sets)
+        numbers = np.bincount(np.minimum(r, K + 2), minlength=K + 3)
+        yield from rows(3, K + 1, key=np.arange(1, K + 2), n=numbers[1 : K + 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
