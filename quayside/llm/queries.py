@@ -14,6 +14,7 @@ from .packing import best_fit
 from .phrases import contamination
 from .secrets import secret_rows
 from .simhash import near_duplicate_rows
+from .suffixes import deduplicated
 from .topk import top_k_embeddings
 from .warc import archive_pages
 
@@ -46,6 +47,10 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_rows(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_topk": op5_exact_topk,
     "op6_text_density": op6_text_density,
     "op7_simhash_components": op7_simhash_components,
+    "op8_suffix_array": op8_suffix_array,
     "op9_secret_scan": op9_secret_scan,
     "op10_katz_scores": op10_katz_scores,
 }
