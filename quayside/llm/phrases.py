@@ -25,7 +25,7 @@ NO_ID = -(1 << 63)
 
 def words_of(text: Column) -> Column:
     """Words of a text, lower-cased in A-Z; an empty list for null."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def windows(items: DataFrame, size: int = 13) -> tuple[DataFrame, DataFrame]:
@@ -41,36 +41,43 @@ def windows(items: DataFrame, size: int = 13) -> tuple[DataFrame, DataFrame]:
     return cut.select("phrase", "words").distinct(), cut.select("phrase", "item_id")
 
 
-def _tokenised(docs: DataFrame) -> DataFrame:
-    """(id, h, w): h tells texts of one id apart, so a repeated row is one document."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), words_of(F.col("text")).alias("w"))
+def _few(words: DataFrame, most: int = 100_000) -> DataFrame | None:
+    """The stored list of words to be sent to every task, if it is short enough for that."""
+    return F.broadcast(words) if words.count() <= most else None
 
 
-def phrase_matches(tokens: DataFrame, phrases: DataFrame, rare: int = 2, slop: int | None = None) -> DataFrame:
-    """(id, h, found) for documents with a match; found lists (phrase, start, length).
+def phrase_matches(docs: DataFrame, phrases: DataFrame, rare: int = 2, slop: int | None = None) -> DataFrame:
+    """doc_id, id, h, n_words, found for every row of ``docs`` (doc_id, text).
 
-    ``tokens`` comes from :func:`_tokenised`, ``phrases`` has phrase and words. With
-    ``slop`` None the words of a phrase must follow each other. Else each must stand
-    within ``slop`` words of an occurrence of the phrase's rarest word, in any order, and
-    start is the position of that word (length 1).
+    found lists (phrase, start, length), null or empty if there is none. ``phrases`` has
+    phrase and words. With ``slop`` None the words of a phrase must follow each other. Else
+    each must stand within ``slop`` words of an occurrence of the phrase's rarest word, in
+    any order, and start is the position of that word (length 1). (id, h) names rows of
+    equal id and text, which get equal results.
     """
+    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     terms = phrases.select("phrase", F.posexplode("words").alias("off", "word"))
-    wanted = terms.select("word").distinct()
-    counts = tokens.select(F.explode("w").alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # A phrase with a word that occurs nowhere has no match; of a word's offsets, the first stands.
-    counted = terms.join(counts, "word", "left")
+    wanted = stored(terms.select("word").distinct(), "wanted")
+    said = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+    few = _few(wanted)
+    # A list that is too long to be sent is met by one row a word and task, not by every word.
+    counts = (said.join(few, "word", "left_semi") if few is not None else said).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts if few is not None else counts.join(wanted, "word", "left_semi")
+    # A phrase with a word that occurs nowhere has no match.
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "word")))
-    ranked = counted.groupBy("phrase").agg(order.alias("terms")).where(F.col("terms")[0]["n"] > 0)
+    ranked = terms.join(counts, "word", "left").groupBy("phrase").agg(order.alias("terms")).where(F.col("terms")[0]["n"] > 0)
     several = 1 if slop is not None else rare
     lookups = ranked.select("phrase", F.posexplode(F.slice("terms", 1, several)).alias("nth", "t")).select("phrase", F.col("t.off").alias("off"), F.col("t.word").alias("word"))
     lookups = stored(lookups, "lookups")
     needed = lookups.groupBy("phrase").agg(F.count(F.lit(1)).alias("needed"))
 
-    indexed = lookups.select("word").distinct()
-    index = stored(tokens.select("id", "h", F.posexplode("w").alias("pos", "word")).join(indexed, "word", "left_semi"), "postings")
+    indexed = stored(lookups.select("word").distinct(), "indexed")
+    few = _few(indexed)
+    postings = texts.select("id", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    index = stored(postings.join(indexed if few is None else few, "word", "left_semi"), "postings")
     start = F.col("pos") if slop is not None else F.col("pos") - F.col("off")
-    # A posting is there once, whatever the number of equal rows.
     votes = index.join(lookups, "word").select("phrase", "id", "h", start.alias("start"), "off").where("start >= 0")
+    # The postings of equal rows are votes for one start.
     agreed = votes.groupBy("phrase", "id", "h", "start").agg(F.size(F.collect_set("off")).alias("votes")).join(needed, "phrase").where("votes = needed")
     candidates = agreed.join(phrases, "phrase").groupBy("id", "h").agg(F.collect_list(F.struct("start", "phrase", "words")).alias("c"))
     if slop is None:
@@ -80,8 +87,8 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, rare: int = 2, slop: i
         low = lambda c: F.greatest(c["start"] - slop, F.lit(0))
         holds = lambda c: F.size(F.array_except(c["words"], F.slice("w", low(c) + 1, c["start"] + slop + 1 - low(c)))) == 0
         span = lambda c: F.struct(c["phrase"].alias("phrase"), c["start"].alias("start"), F.lit(1).alias("length"))
-    checked = tokens.join(candidates, ["id", "h"]).select("id", "h", F.transform(F.filter("c", holds), span).alias("found"))
-    return checked.where(F.size("found") > 0)
+    met = texts.join(candidates, ["id", "h"], "left").select("doc_id", "id", "h", words_of(F.col("text")).alias("w"), "c")
+    return met.select("doc_id", "id", "h", F.size("w").cast("long").alias("n_words"), F.transform(F.filter("c", holds), span).alias("found"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, rare: int = 2) -> DataFrame:
@@ -95,15 +102,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     """
     phrases, members = windows(benchmark, size)
     phrases, members = stored(phrases, "phrases"), stored(members, "members")
-    tokens = _tokenised(docs)
-    # Equal rows would vote, and be found, more than once each.
-    found = stored(phrase_matches(tokens, phrases, rare).select("id", "h", "found").dropDuplicates(["id", "h"]), "found")
     hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    hits = found.select("id", "h", hit.cast("long").alias("hit"))
-    items = found.select("id", "h", F.explode(F.array_distinct(F.transform("found", lambda s: s["phrase"]))).alias("phrase")).join(members, "phrase")
-    names = items.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    marks = hits.join(names, ["id", "h"])
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    heard = F.array_distinct(F.transform("found", lambda s: s["phrase"]))
+    rows = stored(phrase_matches(docs, phrases, rare).select("doc_id", "id", "h", "n_words", F.when(F.size("found") > 0, hit).alias("hit"), F.when(F.size("found") > 0, heard).alias("heard")), "found")
+    items = rows.select("id", "h", F.explode("heard").alias("phrase")).join(members, "phrase")
+    marks = items.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     n_hit, listed = F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(marks, ["id", "h"], "left").select(
         "doc_id",
