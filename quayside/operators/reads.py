@@ -131,4 +131,6 @@ def wait_times(jobs: DataFrame, now: datetime | str, bounds_hours: tuple[int, ..
 def wait_duration(jobs: DataFrame, kinds: Iterable[str], now: datetime | str, poll_max_us: int = 30_000_000, least_us: int = 5_000) -> DataFrame:
     """How long a worker may sleep: until the next job is due, a little at least, a poll at most."""
     due = F.timestamp_diff("MICROSECOND", stamp(now), F.col("next_visible_at"))
-    return next_visible_at(jobs, kinds, now).select(F.coalesce(F.least(F.greatest(due, F.lit(least_us)), F.lit(poll_max_us)), F.lit(poll_max_us)).cast("bigint").alias("wait_us"))
+    # greatest() passes over nulls, so nothing due is asked for by itself.
+    wait = F.when(due.isNull(), F.lit(poll_max_us)).otherwise(F.least(F.greatest(due, F.lit(least_us)), F.lit(poll_max_us)))
+    return next_visible_at(jobs, kinds, now).select(wait.cast("bigint").alias("wait_us"))

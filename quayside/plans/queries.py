@@ -171,7 +171,7 @@ def next_visible(spark, d):
     return reads.next_visible_at(jobs(spark, d), KINDS, NOW)
 
 
-@query("wait_duration", f"SELECT coalesce(least(greatest(date_diff('microsecond', {NOW_SQL}, min(visible_at)), 5000), 30000000), 30000000)::BIGINT AS wait_us FROM jobs WHERE status = 'pending' AND {IN_KINDS} AND visible_at > {NOW_SQL}")
+@query("wait_duration", f"SELECT (CASE WHEN count(*) = 0 THEN 30000000 ELSE least(greatest(date_diff('microsecond', {NOW_SQL}, min(visible_at)), 5000), 30000000) END)::BIGINT AS wait_us FROM jobs WHERE status = 'pending' AND {IN_KINDS} AND visible_at > {NOW_SQL}")
 def wait_duration(spark, d):
     return reads.wait_duration(jobs(spark, d), KINDS, NOW)
 
