@@ -193,8 +193,13 @@ def _pieces(size: int):
                     if text in seen:
                         kept[k] = False
                     seen.add(text)
-            content = [b.raw[a:z] if k else None for a, z, k in zip(lo.tolist(), stop.tolist(), kept.tolist(), strict=True)]
-            yield _piece_batch(key.view(np.int64), doc, place, np.where(kept, n, n + size - 1), content)
+            yield _piece_batch(key[kept].view(np.int64), doc[kept], place[kept], n[kept], [b.raw[a:z] for a, z in zip(lo[kept].tolist(), stop[kept].tolist(), strict=True)])
+            # Repeated pieces overlap their neighbours, so runs of them become one span.
+            gone = np.flatnonzero(~kept)
+            if len(gone):
+                begins = np.concatenate(([True], (part[gone][1:] != part[gone][:-1]) | (lo[gone][1:] > stop[gone][:-1])))
+                a, z = gone[begins], gone[np.append(np.flatnonzero(begins)[1:], len(gone)) - 1]
+                yield _piece_batch(key[a].view(np.int64), doc[a], place[a], stop[z] - lo[a], [None] * len(a))
 
         parts, docs, texts, held = [], [], [], 0
         for batch in batches:
