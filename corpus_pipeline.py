@@ -55,18 +55,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop contaminated documents; ids are unique after the stage before."""
     judged = contamination(docs, table(spark, sf_dir, "benchmark"))
     dirty = judged.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti").select(*_columns(docs))
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti").select(*_columns(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the text; no document goes."""
-    clean = with_secrets(docs)
+    said = with_secrets(docs.select(F.struct(*_columns(docs)).alias("row"), F.col("text")))
     changed = F.size("secrets") > 0
-    columns = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text"))}
+    row = F.col("row").withField("text", F.when(changed, F.col("clean_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(changed, F.char_length("clean_text").cast(kind)).otherwise(F.col("n_chars"))
-    return clean.withColumns(columns).select(*_columns(docs))
+        size = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(changed, size).otherwise(F.col("row.n_chars")))
+    return said.select(row.alias("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

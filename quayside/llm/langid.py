@@ -43,13 +43,16 @@ def ngram_counts(text: str) -> np.ndarray:
     for i in range(0, len(raw), CHUNK):
         part = _FOLD[raw[i : i + CHUNK]]
         x = np.concatenate((carry, part)) if i + CHUNK < len(raw) else np.concatenate((carry, part, [np.uint8(32)]))
-        x = x[(x != 32) | np.concatenate(([True], x[:-1] != 32))].astype(np.uint32)  # runs of blanks as one
+        keep = (x != 32) | np.concatenate(([True], x[:-1] != 32))  # runs of blanks as one
+        known = int(keep[: len(carry)].sum())
+        x = x[keep].astype(np.uint32)
         grams = x
         for n in (2, 3, 4):
             if len(x) < n:
                 break
             grams = grams[:-1] << 8 | x[n - 1 :]
-            slot = ((grams + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(20)
+            new = grams[max(0, known - n + 1) :]  # those that end in this chunk
+            slot = ((new + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(20)
             counts += np.bincount(slot, minlength=DIMENSIONS)
         carry = x[-3:].astype(np.uint8) if len(x) >= 3 else carry
     return counts
@@ -158,7 +161,8 @@ def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, clusters:
 def with_language(docs: DataFrame, model: Centroids) -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``rejected``, from ``text`` alone, to every row.
 
-    A text that is null or has no letter is ``und``, of score 0, and rejected.
+    A text that is null or has no letter is ``und``, of score 0, and rejected. Columns that
+    have one of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats a centroid, clusters * languages of them
 
@@ -169,7 +173,8 @@ def with_language(docs: DataFrame, model: Centroids) -> DataFrame:
         names, scores, rejected = shared.value.predict(list(texts))
         return pd.DataFrame({"lang_pred": names, "score": scores, "rejected": rejected})
 
-    return docs.withColumn("_said", of("text")).select("*", "_said.lang_pred", "_said.score", "_said.rejected").drop("_said")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    return docs.select(*rest, of("text").alias("_said")).select(*rest, "_said.lang_pred", "_said.score", "_said.rejected")
 
 
 def held_out(folds: int = 5, fold: int = 0) -> Column:
