@@ -2,13 +2,13 @@
 
 Within a batch, arrivals of one key act on each other in their order. Three of the four
 decisions have a closed form and stay in the JVM; a merge by user code folds each key's
-arrivals in a grouped Arrow function.
+arrivals in a stream of rows in their order.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
@@ -105,33 +105,48 @@ def fold_submit(jobs: DataFrame, journal: DataFrame, arrivals: DataFrame, merge:
     keyed, free = arrivals.where(F.col("dedup_key").isNotNull()), arrivals.where(F.col("dedup_key").isNull())
     rows = keyed.join(candidates, ["kind", "dedup_key"], "left")
 
-    def fold(group: pa.Table) -> pa.Table:
-        out = []
-        target: dict[str, Any] | None = None
-        for a in sorted(group.to_pylist(), key=lambda r: r["arrival"]):
-            if target is None and a["c_id"] is not None:
-                target = {"id": a["c_id"], "payload": json.loads(a["c_payload"]), "carry": json.loads(a["c_carry"]), "priority": a["c_priority"], "run_no": a["c_runs"], "history": json.loads(a["history"] or "[]"), "fresh": False, "touched": False}
-            payload = json.loads(a["payload"])
-            said = merge(Pending(target["payload"], target["carry"], target["run_no"], target["history"]), payload) if target else INDEPENDENT
-            base = {k: a[k] for k in ("kind", "dedup_key", "arrival")}
-            if said == INDEPENDENT:
-                own = {"id": a["id"], "payload": payload, "carry": json.loads(a["carry"]), "priority": a["priority"], "run_no": 0, "history": [], "fresh": True, "touched": False, "visible_at": a["visible_at"]}
-                out.append(base | {"id": a["id"], "payload": a["payload"], "priority": a["priority"], "carry": a["carry"], "visible_at": a["visible_at"], "run_no": 0, "merged": False, "target": a["id"], "final": False, "fresh": True})
-                target = target or own
-                continue
-            if said == REPLACE:
-                target |= {"payload": payload, "carry": json.loads(a["carry"]), "priority": a["priority"], "touched": True}
-            elif said != KEEP:
-                _, new_payload, new_carry, priority = said
-                target |= {"payload": new_payload, "carry": new_carry, "priority": a["priority"] if priority is None else priority, "touched": True}
-            target["history"] = [*target["history"], {"id": None, "run_no": target["run_no"], "outcome": "merged", "note": None, "attachment": None}]
-            out.append(base | {"id": None, "payload": None, "priority": None, "carry": None, "visible_at": None, "run_no": target["run_no"], "merged": True, "target": target["id"], "final": False, "fresh": False})
-        if target and target["touched"]:
-            out.append({"id": target["id"], "kind": group.column("kind")[0].as_py(), "payload": json.dumps(target["payload"], separators=(",", ":")), "priority": target["priority"], "carry": json.dumps(target["carry"], separators=(",", ":")), "dedup_key": None, "visible_at": None, "run_no": target["run_no"], "arrival": None, "merged": False, "target": target["id"], "final": True, "fresh": False})
-        types = {"id": pa.string(), "kind": pa.string(), "payload": pa.string(), "priority": pa.int16(), "carry": pa.string(), "dedup_key": pa.string(), "visible_at": pa.timestamp("us"), "run_no": pa.int32(), "arrival": pa.int64(), "merged": pa.bool_(), "target": pa.string(), "final": pa.bool_(), "fresh": pa.bool_()}
-        return pa.table({c: pa.array([r[c] for r in out], t) for c, t in types.items()})
-
-    folded = rows.groupBy("kind", "dedup_key").applyInArrow(fold, _FOLDED)
+    types = {"id": pa.string(), "kind": pa.string(), "payload": pa.string(), "priority": pa.int16(), "carry": pa.string(), "dedup_key": pa.string(), "visible_at": pa.timestamp("us"), "run_no": pa.int32(), "arrival": pa.int64(), "merged": pa.bool_(), "target": pa.string(), "final": pa.bool_(), "fresh": pa.bool_()}
+    blank = dict.fromkeys(types) | {"merged": False, "final": False, "fresh": False}
+
+    def one(target: dict[str, Any] | None, a: dict[str, Any]) -> tuple[dict[str, Any], dict[str, Any]]:
+        """(the key's standing job, the row to be said) after an arrival."""
+        payload = json.loads(a["payload"])
+        said = merge(Pending(target["payload"], target["carry"], target["run_no"], target["history"]), payload) if target else INDEPENDENT
+        base = blank | {k: a[k] for k in ("kind", "dedup_key", "arrival")}
+        if said == INDEPENDENT:
+            own = {"id": a["id"], "kind": a["kind"], "payload": payload, "carry": json.loads(a["carry"]), "priority": a["priority"], "run_no": 0, "history": [], "touched": False}
+            return target or own, base | {"id": a["id"], "payload": a["payload"], "priority": a["priority"], "carry": a["carry"], "visible_at": a["visible_at"], "run_no": 0, "target": a["id"], "fresh": True}
+        if said == REPLACE:
+            target |= {"payload": payload, "carry": json.loads(a["carry"]), "priority": a["priority"], "touched": True}
+        elif said != KEEP:
+            _, new_payload, new_carry, priority = said
+            target |= {"payload": new_payload, "carry": new_carry, "priority": a["priority"] if priority is None else priority, "touched": True}
+        target["history"].append({"id": None, "run_no": target["run_no"], "outcome": "merged", "note": None, "attachment": None})
+        return target, base | {"run_no": target["run_no"], "merged": True, "target": target["id"]}
+
+    def last(target: dict[str, Any] | None) -> list[dict[str, Any]]:
+        if not target or not target["touched"]:
+            return []
+        return [blank | {"id": target["id"], "kind": target["kind"], "payload": json.dumps(target["payload"], separators=(",", ":")), "priority": target["priority"], "carry": json.dumps(target["carry"], separators=(",", ":")), "run_no": target["run_no"], "target": target["id"], "final": True}]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys come one after another, each in the order of arrival; one standing job is held at a time."""
+        key, target = None, None
+        for batch in batches:
+            out = []
+            for a in batch.to_pylist():
+                if (a["kind"], a["dedup_key"]) != key:
+                    out += last(target)
+                    key, target = (a["kind"], a["dedup_key"]), None
+                    if a["c_id"] is not None:
+                        target = {"id": a["c_id"], "kind": a["kind"], "payload": json.loads(a["c_payload"]), "carry": json.loads(a["c_carry"]), "priority": a["c_priority"], "run_no": a["c_runs"], "history": json.loads(a["history"] or "[]"), "touched": False}
+                target, said = one(target, a)
+                out.append(said)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in types.items()], names=list(types))
+        if rest := last(target):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rest], t) for c, t in types.items()], names=list(types))
+
+    folded = rows.repartition("kind", "dedup_key").sortWithinPartitions("kind", "dedup_key", "arrival").mapInArrow(fold, _FOLDED)
     made = _new_rows(folded.where("fresh").select(*arrivals.columns), now).unionByName(_new_rows(free, now))
     final = folded.where("final").select(F.col("target").alias("_t"), F.struct("payload", "priority", "carry").alias("w"))
     everything = jobs.select(*JOB_COLUMNS).unionByName(made)
