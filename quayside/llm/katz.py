@@ -17,7 +17,9 @@ the tokens to be scored. Words above one in ``HOT`` tokens (there can be no more
 ``HOT`` of them) have their count broadcast and their tokens dealt out by bigram. What a
 history needs, its total and the mass of the words seen after it, is summed from integer
 counts by history afterwards. Tokens travel as columns: a chunk of documents sends each
-bucket one compressed piece.
+bucket one compressed piece, and gets the two counts of each token back in the same way.
+So a document's sums are made where its chunk is, from a few bytes a token, however many
+buckets there are.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,11 @@ NAME_BITS, END, START = 48, 0, 1
 K, TRUST = 5, 0.999
 #: A word is hot if more than one token in so many is that word.
 HOT = 1000
+#: A document is named by the partition that it is scanned in, its chunk there, and its place in that.
+PART_SHIFT, DOC_SHIFT = 20, 24
+CHUNK_DOCS = 1 << DOC_SHIFT - 1
 #: Characters of text that are tokenised at once, tokens that a bucket should hold, and that are counted at once.
-CHUNK, BUCKET, SLICE = 4_000_000, 2_500_000, 400_000
+CHUNK, BUCKET, SLICE = 4_000_000, 1_500_000, 300_000
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
@@ -97,23 +103,23 @@ class Unigrams:
         return np.log10(p)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """(document keys, training flags, words, words of each document) of some documents."""
-    keys, train, words, lengths, size = [], [], [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list[bytes], np.ndarray]]:
+    """(ids, training flags, words, words of each document) of some documents."""
+    ids, train, words, lengths, size = [], [], [], [], 0
     for batch in batches:
-        for key, text, held in zip(*(batch.column(i) for i in range(3)), strict=True):
+        for doc, text, held in zip(*(batch.column(i) for i in range(3)), strict=True):
             value = text.as_py()
             own = tokens_of(value)
-            keys.append(key.as_py())
+            ids.append(doc.as_py())
             train.append(not held.as_py())
             words += own
             lengths.append(len(own))
             size += len(value or "")
-            if size > CHUNK:
-                yield np.array(keys), np.array(train), words, np.array(lengths)
-                keys, train, words, lengths, size = [], [], [], [], 0
-    if keys:
-        yield np.array(keys), np.array(train), words, np.array(lengths)
+            if size > CHUNK or len(ids) >= CHUNK_DOCS:
+                yield ids, np.array(train), words, np.array(lengths)
+                ids, train, words, lengths, size = [], [], [], [], 0
+    if ids:
+        yield ids, np.array(train), words, np.array(lengths)
 
 
 def _stream(words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +160,47 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Integers with their bytes of equal weight side by side, which pack better."""
+    raw = values.astype(kind)
+    return raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
+def _packed(parts: list[bytes]) -> bytes:
+    head = np.array([len(p) for p in parts], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+
+
+def _unpacked(raw: bytes, n: int) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    at, parts = 4 * n, []
+    for size in np.frombuffer(raw[: 4 * n], "<u4").tolist():
+        parts.append(raw[at : at + size])
+        at += size
+    return parts
+
+
+DEALT = "key int, bucket int, chunk long, kind int, piece binary"
+#: Kinds of pieces and of partial results. Of a chunk: its documents, and a bucket's answers
+#: for its tokens. UNSEEN: a token (history, document) to be backed off. FOLLOWED: sums of a
+#: history. NUMBERS: how many bigrams there are of each count.
+LISTED, ANSWERED, UNSEEN, FOLLOWED, NUMBERS = range(5)
+
+
 def _deal(hot: np.ndarray, buckets: int, keys: list[int]):
-    """Send every token to the bucket of its word, or of its bigram if the word is hot."""
+    """Send every token to the bucket of its word, or of its bigram if the word is hot.
+
+    A chunk is named by its partition and its place in it; partitions are those of the
+    scan, so a task that runs again names its chunks as before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for docs, train, words, lengths in _chunks(batches):
+        chunk = TaskContext.get().partitionId() << PART_SHIFT
+        for ids, train, words, lengths in _chunks(batches):
             w, h, d = _stream(words, lengths)
             seed = w.copy()
             if len(hot):
@@ -169,88 +210,86 @@ def _deal(hot: np.ndarray, buckets: int, keys: list[int]):
             order = np.lexsort((w, bucket))
             w, h, d, bucket = w[order], h[order], d[order], bucket[order]
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            out: list[tuple[int, int, bytes]] = []
+            home = chunk % buckets
+            listed = _packed([np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), train.astype(np.uint8).tobytes()])
+            out = [(keys[home % len(keys)], home, chunk, LISTED, listed)]
             for a, b in zip(edges, [*edges[1:], len(w)], strict=True):
                 at = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1])))
-                runs = np.diff(np.append(at, b - a)).astype("<u4")
                 names, index = np.unique(h[a:b], return_inverse=True)
-                ids, who = np.unique(d[a:b], return_inverse=True)
-                parts = [_narrow(w[a:b][at]), runs.tobytes(), _narrow(names), index.astype("<u4").tobytes(), docs[ids].astype("<i8").tobytes(), train[ids].astype(np.uint8).tobytes(), who.astype("<u4").tobytes()]
-                # Bytes of equal weight side by side pack better.
-                for i in (1, 3, 6):
-                    parts[i] = np.frombuffer(parts[i], np.uint8).reshape(-1, 4).T.tobytes()
-                head = np.array([len(p) for p in parts], "<u4").tobytes()
+                runs = np.diff(np.append(at, b - a))
+                piece = _packed([_narrow(w[a:b][at]), _planes(runs, "<u4"), _narrow(names), _planes(index, "<u4"), _planes(d[a:b] * 2 + train[d[a:b]], "<u4")])
                 b0 = int(bucket[a])
-                out.append((keys[b0 % len(keys)], b0, packer.compress(head + b"".join(parts))))
+                out.append((keys[b0 % len(keys)], b0, chunk, ANSWERED, piece))
             for i in range(0, len(out), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 1024], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "bucket", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 1024], strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "bucket", "chunk", "kind", "piece"])
+            chunk += 1
 
     return run
 
 
-def _open(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, history and document of each token of the pieces, as an index into the last
-    two: the documents' keys and training flags."""
-    unpack, ws, hs, ds, keys, flags, before = zstandard.ZstdDecompressor().decompress, [], [], [], [], [], 0
-    for piece in pieces:
-        raw = unpack(piece)
-        at, parts = 28, []
-        for size in np.frombuffer(raw[:28], "<u4"):
-            parts.append(raw[at : at + int(size)])
-            at += int(size)
-        back = lambda i: np.frombuffer(parts[i], np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)  # noqa: B023, E731
-        ws.append(np.repeat(_wide(parts[0]), back(1)))
-        hs.append(_wide(parts[2])[back(3)])
-        ds.append(back(6) + np.uint32(before))
-        keys.append(np.frombuffer(parts[4], "<i8"))
-        flags.append(np.frombuffer(parts[5], np.uint8))
-        before += len(keys[-1])
-    ids, same, index = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return np.concatenate(ws), np.concatenate(hs), index.astype(np.uint32)[np.concatenate(ds)], ids, np.concatenate(flags)[same].astype(np.int64)
+def _open(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Word, history, document in its chunk, training flag and number of the piece of each token."""
+    ws, hs, ds, of = [], [], [], []
+    for i, piece in enumerate(pieces):
+        w, runs, names, index, d = _unpacked(piece, 5)
+        ws.append(np.repeat(_wide(w), _from_planes(runs, "<u4")))
+        hs.append(_wide(names)[_from_planes(index, "<u4")])
+        ds.append(_from_planes(d, "<u4"))
+        of.append(np.full(len(ds[-1]), i, np.uint32))
+    d = np.concatenate(ds)
+    return np.concatenate(ws), np.concatenate(hs), d >> np.uint32(1), (d & np.uint32(1)).astype(np.uint8), np.concatenate(of)
 
 
 SMALL = [f"k{r}" for r in range(1, K + 1)]
 LIGHT = [f"u{r}" for r in range(1, K + 1)]
-#: kind 0: sums of a document; 1: a token (history, document) to be backed off; 2: sums of a
-#: history; 3: numbers of bigrams by count. Columns that a kind lacks are null.
-PARTIAL_SCHEMA = "kind int, key long, doc long, " + ", ".join(f"{c} long" for c in (*SMALL, "n", "known", *LIGHT, "heavy")) + ", base double, fixed double"
+#: Columns that a kind lacks are null.
+PARTIAL_SCHEMA = "kind int, key long, doc long, " + ", ".join(f"{c} long" for c in (*SMALL, "n", *LIGHT, "heavy")) + ", piece binary"
 
 
-def _evaluate(uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray):
-    """Counts and evaluates a bucket at a time; what is left to know is summed by document and by history."""
+def _evaluate(hot: np.ndarray, hot_counts: np.ndarray):
+    """Count a bucket at a time, and answer its chunks."""
     names = [c.strip().split(" ")[0] for c in PARTIAL_SCHEMA.split(",")]
 
-    def rows(kind: int, height: int, /, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, height: int, /, **columns) -> Iterator[pa.RecordBatch]:
         for i in range(0, height, 1 << 18):
             size = min(1 << 18, height - i)
             arrays = []
             for c in names:
-                t = pa.float64() if c in ("base", "fixed") else pa.int32() if c == "kind" else pa.int64()
+                t = pa.binary() if c == "piece" else pa.int32() if c == "kind" else pa.int64()
                 arrays.append(pa.array(np.full(size, kind, np.int32)) if c == "kind" else pa.array(columns[c][i : i + size], t) if c in columns else pa.nulls(size, t))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def bucket(pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-        w, h, who, ids, train = _open(pieces)
+    def bucket(chunks: list[int], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+        w, h, who, train, of = _open(pieces)
         order = np.lexsort((h, w))
-        w, h, who = w[order], h[order], who[order]
+        w, h, who, train, of = w[order], h[order], who[order], train[order], of[order]
         del order
+        refs = np.array(chunks, np.int64) << DOC_SHIFT
         edges = np.append(np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))), len(w))
-        sums = np.zeros((2, len(ids)))  # base, fixed
-        counts = np.zeros((K + 2, len(ids)), np.int64)  # n, known, k1 ...
+        r, c = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
         types: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = 0
         while at < len(w):  # whole words, few tokens at a time
             stop = int(edges[min(np.searchsorted(edges, at + SLICE), len(edges) - 1)])
-            yield from some(w[at:stop], h[at:stop], who[at:stop], ids, train, sums, counts, types)
+            part = slice(at, stop)
+            r[part], c[part] = counted(w[part], h[part], train[part], types)
+            unseen = np.flatnonzero(r[part] == 0) + at
+            yield from rows(UNSEEN, len(unseen), key=h[unseen].astype(np.int64), doc=refs[of[unseen]] + who[unseen])
             at = stop
-        yield from rows(0, len(ids), doc=ids, n=counts[0], known=counts[1], base=sums[0], fixed=sums[1], **{f"k{i}": counts[i + 1] for i in range(1, K + 1)})
-        del w, h, who
+        del w, h, train
         yield from follow(*(np.concatenate(x) for x in zip(*types, strict=True)))
-
-    def some(w, h, who, ids, train, sums, counts, types) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(pieces) + 1))
+        for i, chunk in enumerate(chunks):
+            own = order[cuts[i] : cuts[i + 1]]
+            answer = _packed([_planes(who[own], "<u4"), _planes(r[own], "<i8"), _planes(c[own], "<i8")])
+            yield from rows(ANSWERED, 1, key=[chunk], piece=[answer])
+
+    def counted(w, h, train, types) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of each token's bigram and word."""
         new_w = np.concatenate(([True], w[1:] != w[:-1]))
         new = new_w | np.concatenate(([True], h[1:] != h[:-1]))
-        held = train[who]
+        held = train.astype(np.int64)
         big = np.add.reduceat(held, np.flatnonzero(new))
         count = np.add.reduceat(held, np.flatnonzero(new_w))
         own = w[new_w]
@@ -258,45 +297,78 @@ def _evaluate(uni: Unigrams, hot: np.ndarray, hot_counts: np.ndarray):
             at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
             count = np.where(hot[at] == own, hot_counts[at], count)
         c = count[np.cumsum(new_w) - 1]
-        r = big[np.cumsum(new) - 1]
-
-        fixed = np.where(r > 0, np.where(r > K, np.log10(np.maximum(r, 1) * TRUST), np.log10(np.maximum(r, 1))), uni.log_p(c))
-        fixed -= np.where((c > 0) & (w != END), np.log10(np.maximum(c, 1)), 0.0)  # as the history of the next token
-        met, index = np.unique(who, return_inverse=True)
-        total = lambda x: np.bincount(index, weights=x, minlength=len(met))
-        whole = lambda x: np.rint(total(x)).astype(np.int64)
-        sums[0, met] += total(np.log10((c + 1.0) / (uni.tokens + 1.0 * (uni.types + 1))))
-        sums[1, met] += total(fixed)
-        counts[0, met] += np.bincount(index, minlength=len(met))
-        counts[1, met] += whole(c > 0)
-        for i in range(1, K + 1):
-            counts[i + 1, met] += whole(r == i)
-
-        unseen = r == 0
-        yield from rows(1, int(unseen.sum()), key=h[unseen].astype(np.int64), doc=ids[who[unseen]])
-
         seen = big > 0
         types.append((h[new][seen], big[seen], c[new][seen]))
+        return big[np.cumsum(new) - 1], c
 
     def follow(hist, r, c) -> Iterator[pa.RecordBatch]:
         met, index = np.unique(hist, return_inverse=True)
         whole = lambda x: np.rint(np.bincount(index, weights=x, minlength=len(met))).astype(np.int64)
         sets = {f"k{i}": whole(r == i) for i in range(1, K + 1)} | {f"u{i}": whole(c == i) for i in range(1, K + 1)}
-        yield from rows(2, len(met), key=met.astype(np.int64), n=whole(np.where(r > K, r, 0)), heavy=whole(np.where(c > K, c, 0)), **sets)
+        yield from rows(FOLLOWED, len(met), key=met.astype(np.int64), n=whole(np.where(r > K, r, 0)), heavy=whole(np.where(c > K, c, 0)), **sets)
         numbers = np.bincount(np.minimum(r, K + 2), minlength=K + 3)
-        yield from rows(3, K + 1, key=np.arange(1, K + 2), n=numbers[1 : K + 2])
+        yield from rows(NUMBERS, K + 1, key=np.arange(1, K + 2), n=numbers[1 : K + 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+        last, chunks, held = None, [], []
         for batch in batches:
-            for which, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for which, chunk, kind, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if kind == LISTED:
+                    yield from rows(LISTED, 1, key=[chunk], piece=[piece.as_py()])
+                    continue
                 if which != last and held:
-                    yield from bucket(held)
-                    held = []
+                    yield from bucket(chunks, held)
+                    chunks, held = [], []
                 last = which
+                chunks.append(chunk)
                 held.append(piece.as_py())
         if held:
-            yield from bucket(held)
+            yield from bucket(chunks, held)
+
+    return run
+
+
+SUMS = ["n", "known", *SMALL]
+GATHERED = "doc long, doc_id long, held boolean, " + ", ".join(f"{c} long" for c in SUMS) + ", base double, fixed double"
+
+
+def _gather(uni: Unigrams):
+    """Sums of each document from the answers for its chunk. Rows come in the order of chunks."""
+
+    def chunk(name: int, listed: bytes | None, answers: list[bytes]) -> pa.RecordBatch:
+        ids, null, train = _unpacked(listed, 3)
+        ids, null, train = np.frombuffer(ids, "<i8"), np.frombuffer(null, np.uint8) > 0, np.frombuffer(train, np.uint8) > 0
+        size = len(ids)
+        whole, real = np.zeros((len(SUMS), size)), np.zeros((2, size))
+        for answer in answers:
+            who, r, c = (_from_planes(x, t) for x, t in zip(_unpacked(answer, 3), ("<u4", "<i8", "<i8"), strict=True))
+            total = lambda x: np.bincount(who, weights=x, minlength=size)  # noqa: B023, E731
+            real[0] += total(np.log10((c + 1.0) / (uni.tokens + 1.0 * (uni.types + 1))))
+            # Each token but an end is the history of the next one.
+            real[1] += total(np.where(r > K, np.log10(np.maximum(r, 1) * TRUST), np.where(r > 0, np.log10(np.maximum(r, 1)), uni.log_p(c))) - np.log10(np.maximum(c, 1)))
+            whole[0] += np.bincount(who, minlength=size)
+            whole[1] += total(c > 0)
+            for i in range(1, K + 1):
+                whole[i + 1] += total(r == i)
+        real[1] += math.log10(max(uni.docs, 1))  # the end is no history
+        refs = (name << DOC_SHIFT) + np.arange(size)
+        arrays = [pa.array(refs), pa.array(ids, pa.int64(), mask=null), pa.array(~train), *[pa.array(np.rint(x).astype(np.int64)) for x in whole], *map(pa.array, real)]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.strip().split(" ")[0] for c in GATHERED.split(",")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, listed, answers = None, None, []
+        for batch in batches:
+            for name, kind, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if name != last and listed is not None:
+                    yield chunk(last, listed, answers)
+                    listed, answers = None, []
+                last = name
+                if kind == LISTED:
+                    listed = piece.as_py()
+                else:
+                    answers.append(piece.as_py())
+        if listed is not None:
+            yield chunk(last, listed, answers)
 
     return run
 
@@ -311,14 +383,12 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     The model learns from rows for which the Column ``held_out`` is not true, and scores
     all. A null or blank text is its end alone; a repeated row counts as often as it is
     there, and each of its rows is scored. With no training rows, everything is one class
-    of unknown words, of probability 1. An empty table gives no row.
-
-    Words are told apart by 48 bits of their hash and documents by 64 bits of theirs.
+    of unknown words, of probability 1. An empty table gives no row. Words are told apart by
+    48 bits of their hash.
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
-    doc_key = F.xxhash64("doc_id", "text")
-    lines = docs.select(doc_key.alias("key"), "text", held.alias("held"))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
     words = stored(lines.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(_total("n")), "unigrams")
     small = F.least(F.col("n"), F.lit(K + 2))
     known = words.where("word >= 0")
@@ -335,16 +405,16 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 
     parts = shuffle_partitions(spark)
     buckets = max(parts, math.ceil(special.get(-2, 0) / BUCKET))
-    dealt = lines.mapInArrow(_deal(hot, buckets, partition_keys(parts)), "key int, bucket int, piece binary")
-    partial = stored(dealt.repartition(parts, "key").sortWithinPartitions("bucket").select("bucket", "piece").mapInArrow(_evaluate(uni, hot, hot_counts), PARTIAL_SCHEMA), "bigrams")
+    dealt = lines.mapInArrow(_deal(hot, buckets, partition_keys(parts)), DEALT).repartition(parts, "key").sortWithinPartitions("bucket")
+    partial = stored(dealt.select("bucket", "chunk", "kind", "piece").mapInArrow(_evaluate(hot, hot_counts), PARTIAL_SCHEMA), "bigrams")
 
     mm = np.zeros(K + 3)
-    for row in partial.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n")).collect():
+    for row in partial.where(F.col("kind") == NUMBERS).groupBy("key").agg(F.sum("n").alias("n")).collect():
         mm[row["key"]] = row.n
     d = discounts(mm)
 
     # The table of histories: total, and the log of its backoff weight.
-    sums = partial.where("kind = 2").groupBy("key").agg(*[_total(c) for c in (*SMALL, *LIGHT, "n", "heavy")])
+    sums = partial.where(F.col("kind") == FOLLOWED).groupBy("key").agg(*[_total(c) for c in (*SMALL, *LIGHT, "n", "heavy")])
     count = sum((r * F.col(f"k{r}") for r in range(1, K + 1)), F.col("n"))
     # What the discounts took, summed without cancellation, and the mass of words seen after h.
     freed = sum((float(r * (1 - d[r])) * F.col(f"k{r}") for r in range(1, K + 1)), F.col("n") * (1 - TRUST)) / count
@@ -352,23 +422,19 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     histories = stored(sums.select("key", F.log10(count * freed / (1 - mass)).alias("step")), "histories")
 
     # Tokens whose bigram was not seen: log c(h) is put back and the backoff weight comes in.
-    backed = partial.where("kind = 1").select("key", "doc")
+    backed = partial.where(F.col("kind") == UNSEEN).select("key", "doc")
     hot_keys = [int(x) for x in hot]
     often = F.col("key").isin(hot_keys) if hot_keys else F.lit(False)
     few = histories.where(often)  # no more than HOT rows
     steps = backed.where(~often).join(histories, "key").select("doc", "step").unionByName(backed.where(often).join(F.broadcast(few), "key").select("doc", "step"))
-    nothing = [F.lit(0).cast("long").alias(c) for c in ("n", "known", *SMALL)]
-    own = partial.where("kind = 0").select("doc", "n", "known", *SMALL, "base", "fixed")
-    sums = own.unionByName(steps.select("doc", *nothing, F.lit(0.0).alias("base"), F.col("step").alias("fixed"))).groupBy("doc").agg(*[_total(c) for c in ("n", "known", *SMALL, "base", "fixed")])
-    light = sum((float(np.log10(d[r])) * F.col(f"k{r}") for r in range(1, K + 1)), F.lit(0.0))
-    result = sums.select(F.col("doc").alias("_key"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.col("base").alias("base_score"), (F.col("fixed") + light).alias("score"))
+    steps = steps.groupBy("doc").agg(F.sum("step").alias("step"))
 
-    # Each row's share of what its equals have summed up.
+    answers = partial.where(F.col("kind").isin(LISTED, ANSWERED)).select("key", "kind", "piece").repartition(parts, "key").sortWithinPartitions("key")
+    result = answers.mapInArrow(_gather(uni), GATHERED).join(steps, "doc", "left")
+    light = sum((float(np.log10(d[r])) * F.col(f"k{r}") for r in range(1, K + 1)), F.lit(0.0))
     start = -math.log10(uni.docs) if uni.docs else 0.0
-    rows = docs.select("doc_id", held.alias("held_out"), doc_key.alias("_key"))
-    copies = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"))
-    share = result.join(copies, "_key").select("_key", *[(F.col(c) / F.col("_copies")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))])
-    return rows.join(share, "_key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(uni.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + start).alias("score"))
+    total = F.col("fixed") + light + F.coalesce("step", F.lit(0.0)) + start
+    return result.select("doc_id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(uni.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score"))
 
 
 def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:

@@ -246,7 +246,7 @@ def test_two_stage_order(seed):
 def test_katz(docs, texts, none, monkeypatch):
     monkeypatch.setattr(katz, "SLICE", 500)
     monkeypatch.setattr(katz, "BUCKET", 4000)
-    monkeypatch.setattr(katz, "DOCS", 20)
+    monkeypatch.setattr(katz, "CHUNK", 3000)
     lines = [(i, katz.tokens_of(t) + [b" END"]) for i, t in texts]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     train = [w for i, w in lines if not held(i)]
