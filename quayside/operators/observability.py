@@ -28,6 +28,15 @@ def claim_latency(claims: DataFrame, now: datetime | str) -> DataFrame:
     return claims.groupBy("kind", bound.alias("le")).agg(F.count(F.lit(1)).alias("value"), F.sum(seconds).alias("sum"))
 
 
+def handler_durations(results: DataFrame) -> DataFrame:
+    """A histogram, by kind, of how long handlers ran, from their reports."""
+    seconds = F.col("took_us") / 1e6
+    bound = F.lit(None).cast("double")
+    for b in reversed(BOUNDS):
+        bound = F.when(seconds <= b, F.lit(b)).otherwise(bound)
+    return results.where(F.col("took_us").isNotNull()).groupBy("kind", bound.alias("le")).agg(F.count(F.lit(1)).alias("value"), F.sum(seconds).alias("sum"))
+
+
 def observed(added: DataFrame, name: str = "journal") -> tuple[DataFrame, Observation]:
     """The rows, and the counts that will be known once they have been written."""
     seen = Observation(name)

@@ -38,9 +38,10 @@ class Queue:
         arrivals = self.store.spark.createDataFrame(rows, ARRIVALS)
         base = self.store.version()
         done = fold_submit(self.store.jobs(base), self.store.journal(base), arrivals, task.merge, now)
-        placed = {r.arrival: r.id for r in done.placed.collect()}  # one row a payload of this call
-        self.store.commit(base, done.jobs, done.added)
-        return [placed[i] for i in range(len(payloads))]
+        placed = {r.arrival: r for r in done.placed.collect()}  # one row a payload of this call
+        # A new job notifies even if it becomes visible later; a merge does not.
+        self.store.commit(base, done.jobs, done.added, notify=not all(r.merged for r in placed.values()))
+        return [placed[i].id for i in range(len(payloads))]
 
     def jobs(self, which: HistoryFilter) -> DataFrame:
         return self.store.query(which)

@@ -8,6 +8,7 @@ settlement keeps the jobs right.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -55,6 +56,16 @@ class HandlerPanic(Exception):
     """A broken handler rather than a failed run; the panic policy says what follows."""
 
 
+@dataclass
+class Token:
+    """Shared by a run and whoever may cancel it."""
+
+    cancelled: bool = False
+
+    def cancel(self) -> None:
+        self.cancelled = True
+
+
 @dataclass
 class Context:
     """What a run knows of its job, and what it leaves."""
@@ -66,12 +77,18 @@ class Context:
     attachment: Any = None
     deadline: datetime | None = None
     clock: Callable[[], datetime] = field(default=datetime.now)
+    token: Token = field(default_factory=Token)
 
     def set_attachment(self, value: Any) -> None:
         self.attachment = value
 
     def is_cancelled(self) -> bool:
-        return self.deadline is not None and self.clock() >= self.deadline
+        """Should the run end? Its lease is over, or whoever runs it is shutting down."""
+        return self.token.cancelled or (self.deadline is not None and self.clock() >= self.deadline)
+
+    def cancellation_token(self) -> Token:
+        """What to hand to code that the handler calls."""
+        return self.token
 
     def failures(self) -> int:
         return sum(e["outcome"] in ("retried", "dead", "stale-recovered") for e in self.history)
@@ -128,7 +145,7 @@ class Registry:
         return self.tasks[kind]
 
 
-RESULTS = "id string, claimed_by string, run_no int, failure_count int, result string, pause_ns long, carry string, note string, attachment string, delay_ns long"
+RESULTS = "id string, claimed_by string, run_no int, failure_count int, result string, pause_ns long, carry string, note string, attachment string, delay_ns long, kind string, took_us long"
 
 
 def run_one(row: dict[str, Any], registry: Registry, state: Any, now: datetime, panic_policy: str, default_backoff: Backoff, fraction: float) -> dict[str, Any]:
@@ -177,20 +194,31 @@ def run_one(row: dict[str, Any], registry: Registry, state: Any, now: datetime,
     return out | {"result": result, "note": note, "carry": kept, "attachment": attachment}
 
 
-def run_handlers(claimed: DataFrame, registry: Registry, now: datetime, state: Callable[[], Any] = lambda: None, panic_policy: str = RETRY, backoff: Backoff = Backoff(), fraction: float = 0.5) -> DataFrame:
+def run_handlers(claimed: DataFrame, registry: Registry, now: datetime, state: Callable[[], Any] = lambda: None, panic_policy: str = RETRY, backoff: Backoff = Backoff(), fraction: float = 0.5, grace: timedelta | None = None) -> DataFrame:
     """Run the handler of each row of ``claimed`` (jobs with their history) and report.
 
-    ``state`` makes what handlers share, once for each partition.
+    ``state`` makes what handlers share, once for each partition. With a ``grace``, a
+    partition starts no run after that time; what it has not started is reported as
+    ``released``, and what it has run is reported as it ended.
     """
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = [c.split(" ")[0] for c in RESULTS.split(", ")]
-        shared = state()
+        shared, began = state(), time.monotonic()
+
+        def timed(row: dict[str, Any]) -> dict[str, Any]:
+            start = time.monotonic()
+            if grace is not None and start - began >= grace.total_seconds():
+                kept = {c: row[c] for c in ("id", "claimed_by", "failure_count", "carry", "kind")}
+                return dict.fromkeys(names) | kept | {"run_no": row["run_count"], "result": "released", "note": "released at shutdown"}
+            said = run_one(row, registry, shared, now, panic_policy, backoff, fraction)
+            return said | {"kind": row["kind"], "took_us": int((time.monotonic() - start) * 1e6)}
+
         for batch in batches:
-            rows = [run_one(r, registry, shared, now, panic_policy, backoff, fraction) for r in batch.to_pylist()]
+            rows = [timed(r) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, types, strict=True)], names=names)
 
     return claimed.select("id", "kind", "payload", "carry", "run_count", "failure_count", "claimed_by", "claim_expires_at", "history").mapInArrow(run, RESULTS)

@@ -31,8 +31,8 @@ class Change:
     outcome: DataFrame  # id, applied, notify
 
     def count(self) -> DataFrame:
-        """The number of commands that applied."""
-        return self.outcome.agg(F.count_if("applied").alias("applied"))
+        """The number of commands that applied, and whether any of them wakes workers."""
+        return self.outcome.agg(F.count_if("applied").alias("applied"), F.coalesce(F.max("notify"), F.lit(False)).alias("notify"))
 
 
 def _once(commands: DataFrame) -> DataFrame:
@@ -115,14 +115,14 @@ def settlements_for(results: DataFrame, now: datetime | str, backoff: Backoff, f
     """Commands for :func:`settle` from what handlers report.
 
     ``results``: id, claimed_by, run_no, failure_count (before this run), result (completed,
-    paused, failed, fatal), pause_ns, carry, note, attachment and, optionally, base_ns and
+    paused, failed, fatal, released), pause_ns, carry, note, attachment and, optionally, base_ns and
     cap_ns of the task's own backoff. A failure that is not fatal is retried until the
     number of failures reaches the backstop; with a backstop of 0 or 1 the first one is fatal.
     """
     attempt = F.col("failure_count") + 1
     failed = F.col("result").isin("failed", "fatal")
     ends = F.lit(False) if backstop is None else attempt >= backstop
-    tag = F.when(F.col("result") == "completed", "complete").when(F.col("result") == "paused", "pause").when((F.col("result") == "fatal") | ends, "dead").otherwise("retry")
+    tag = F.when(F.col("result") == "completed", "complete").when(F.col("result") == "paused", "pause").when(F.col("result") == "released", "release").when((F.col("result") == "fatal") | ends, "dead").otherwise("retry")
     delay = F.col("delay_ns") if "delay_ns" in results.columns else retry_delay_column(F.col("id"), attempt, backoff, fraction)
     wait = F.when(F.col("result") == "paused", F.coalesce("pause_ns", F.lit(0))).when(F.col("result") == "failed", delay).otherwise(F.lit(0))
     return results.select("id", "claimed_by", "run_no", tag.alias("tag"), plus_nanos(stamp(now), wait.cast("bigint")).alias("visible_at"), F.when(failed, attempt).otherwise(F.col("failure_count")).cast("int").alias("failure_count"), "carry", "note", "attachment")

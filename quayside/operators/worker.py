@@ -40,6 +40,7 @@ class Worker:
     state: Callable[[], Any] = lambda: None
     concurrency: int = field(default_factory=default_concurrency)
     poll_max: timedelta = timedelta(seconds=30)
+    shutdown_timeout: timedelta = timedelta(seconds=30)
     lease: timedelta = timedelta(minutes=15)
     backoff: Backoff = Backoff()
     backstop: int | None = 20
@@ -61,9 +62,9 @@ class Worker:
     def recover_stale(self, now: datetime) -> int:
         base = self.store.version()
         change = recover(self.store.jobs(base), now, self.backoff, self.jitter_fraction, worker=self.identity)
-        n = change.count().first()[0]
+        n = change.count().first().applied
         if n:
-            self.store.commit(base, change.jobs, change.added)
+            self.store.commit(base, change.jobs, change.added, notify=True)
             log.info("recovered %d stale claims", n)
         return n
 
@@ -93,21 +94,24 @@ class Worker:
         if commands.limit(1).count():
             self.store.commit(base, extend_lease(jobs, commands, now).jobs)
 
-    def run_claimed(self, now: datetime, later: datetime | None = None) -> int:
-        """Run what this worker holds and settle it as of ``later``; the number settled."""
+    def run_claimed(self, now: datetime, later: datetime | None = None, grace: timedelta | None = None) -> int:
+        """Run what this worker holds and settle it as of ``later``; the number settled.
+
+        With a ``grace``, runs that have not begun by then are given back instead."""
         base = self.store.version()
         jobs, journal = self.store.jobs(base), self.store.journal(base)
         mine = jobs.where((F.col("status") == CLAIMED) & (F.col("claimed_by") == self.identity))
-        results = run_handlers(with_history(mine, journal), self.registry, now, self.state, self.panic_policy, self.backoff, self.jitter_fraction)
+        results = run_handlers(with_history(mine, journal), self.registry, now, self.state, self.panic_policy, self.backoff, self.jitter_fraction, grace)
         # What handlers said is kept: reading it again must not run them again.
         path = f"{self.store.root}/{self.store.prefix}_results/{base}-{self.identity.replace(':', '-')}"
         results.write.mode("overwrite").parquet(path)
         results = self.store.spark.read.parquet(path)
         at = later or now
         change = settle(jobs, settlements_for(results, at, self.backoff, self.jitter_fraction, self.backstop), at)
-        n = change.count().first()[0]
+        done = change.count().first()
+        n = done.applied
         if n:
-            self.store.commit(base, change.jobs, change.added)
+            self.store.commit(base, change.jobs, change.added, notify=done.notify)
         self.store._fs.delete(self.store._path(path), True)
         return n
 
@@ -118,9 +122,10 @@ class Worker:
         mine = jobs.where((F.col("status") == CLAIMED) & (F.col("claimed_by") == self.identity))
         commands = mine.select("id", "claimed_by", F.col("run_count").alias("run_no"), F.lit("release").alias("tag"), F.lit(now).cast("timestamp_ntz").alias("visible_at"), "failure_count", "carry", F.lit("released at shutdown").alias("note"), F.lit(None).cast("string").alias("attachment"))
         change = settle(jobs, commands, now)
-        n = change.count().first()[0]
+        n = change.count().first().applied
         if n:
-            self.store.commit(base, change.jobs, change.added)
+            self.store.commit(base, change.jobs, change.added, notify=True)
+            log.info("released %d claims at shutdown", n)
         return n
 
     def step(self, now: datetime) -> int:
@@ -145,5 +150,11 @@ class Worker:
             settled += n
             if not n and not stop():
                 sleep(self.wait(clock()))
-        self.release(clock())
+        return settled + self.drain(clock())
+
+    def drain(self, now: datetime) -> int:
+        """Shut down: what is claimed still runs, within the time that is left for it; the
+        rest is given back, which is no failure."""
+        settled = self.run_claimed(now, grace=self.shutdown_timeout)
+        self.release(now)
         return settled

@@ -95,8 +95,23 @@ class JobStore:
             raise SnapshotConflict(f"version {version} has been published by another writer")
         return version
 
-    def commit(self, base: int, jobs: DataFrame, added: DataFrame | None = None) -> int:
-        """Publish jobs and appended journal rows that were made from version ``base``.
+    def notify(self, version: int) -> None:
+        """Tell listeners that jobs may have become available. A notification has no content,
+        and several that come before a listener looks count as one."""
+        self._create("NOTIFY", version)
+
+    def notifications(self) -> list[int]:
+        """Versions that have notified."""
+        return self._numbers("NOTIFY")
+
+    def listen_path(self) -> str:
+        """The folder that a stream of notifications reads."""
+        path = self._at("NOTIFY")
+        self._fs.mkdirs(self._path(path))
+        return path
+
+    def commit(self, base: int, jobs: DataFrame, added: DataFrame | None = None, notify: bool = False) -> int:
+        """Publish jobs and appended journal rows that were made from version ``base``, and notify.
 
         New rows are numbered after the largest id in the order of (recorded_at, job_id,
         run_no). Ranges of that order are numbered side by side: their sizes, a number for
@@ -119,6 +134,8 @@ class JobStore:
             journal = journal.unionByName(numbered.select(*JOURNAL_COLUMNS))
         version = self._publish(base, jobs, journal)
         self._fs.delete(self._path(self._at("added", version)), True)
+        if notify:
+            self.notify(version)
         return version
 
     def vacuum(self, keep: int = 2) -> None:

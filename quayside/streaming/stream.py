@@ -39,7 +39,8 @@ def apply_commands(store: JobStore, batch: DataFrame, clock: datetime | None = N
         new = batch.where("action = 'enqueue'").dropDuplicates(["id"]).join(jobs.select("id"), "id", "left_anti")
         made = enqueue(jobs, new.select("id", "kind", "payload", "priority", "visible_at", F.coalesce("carry", F.lit("null")).alias("carry"), "dedup_key"), now)
         change = settle(made.jobs, batch.where("action = 'settle'").select("id", "claimed_by", "run_no", "tag", "visible_at", "failure_count", "carry", "note", "attachment"), now)
-        return store.commit(base, change.jobs, change.added)
+        wakes = new.limit(1).count() > 0 or change.count().first().notify
+        return store.commit(base, change.jobs, change.added, notify=wakes)
     finally:
         batch.unpersist()
 
@@ -50,6 +51,23 @@ def start_commands(store: JobStore, commands: DataFrame, checkpoint: str, **trig
     return commands.writeStream.foreachBatch(lambda batch, _: apply_commands(store, batch)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def start_worker(worker: Any, checkpoint: str, clock: Any, **trigger: Any) -> StreamingQuery:
+    """Let a worker pass whenever its store notifies.
+
+    The stream reads the folder of notifications; files that came since the last
+    micro-batch are one wakeup, and a restart continues from the checkpoint. Work that
+    becomes due by time alone is found by the worker's own polling (``Worker.run``)."""
+    store = worker.store
+    trigger = trigger or {"processingTime": "1 second"}
+
+    def wake(batch: DataFrame, number: int) -> None:
+        while worker.step(clock()):
+            pass
+
+    wakeups = store.spark.readStream.format("text").load(store.listen_path())
+    return wakeups.writeStream.foreachBatch(wake).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 STATE = "runs long, failures long, last_event long, outcome string"
 OUTPUT = "job_id string, runs long, failures long, last_event long, outcome string"
 

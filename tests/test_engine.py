@@ -182,3 +182,89 @@ def test_stream_equals_batch(spark):
 
     d = "/root/testdata/sf0.001"
     assert sorted(stream_job_state(spark, d).collect()) == sorted(job_states_batch(event_outcomes(table(spark, d, "events"))).collect())
+
+
+def test_notifications(store):
+    queue, task = Queue(store), Task("mode", _by_mode)
+    merging = Task("merge", _by_mode, dedup_key=lambda p: "k")
+    told = lambda: len(store.notifications())
+    queue.enqueue_at(task, "fine", T0 + DAY, T0)
+    assert told() == 1  # even if it is not visible yet
+    queue.enqueue(merging, 1, T0)
+    queue.enqueue(merging, 2, T0)
+    assert told() == 2  # the merge is silent
+    w = worker(store, backstop=None).register(task)
+    for payload, wakes in (("fine", 0), ("permanent", 0), ("retry", 1), ("pause", 1)):
+        queue.enqueue(task, payload, T0)
+        before = told()
+        assert w.claim(T0) >= 1 and told() == before
+        w.run_claimed(T0)
+        assert told() == before + wakes
+    queue.enqueue(task, "fine", T0)
+    before = told()
+    assert w.claim(T0 + timedelta(minutes=30)) >= 1 and w.release(T0 + timedelta(minutes=30)) >= 1 and told() == before + 1
+    assert w.claim(T0 + timedelta(minutes=30)) >= 1 and w.recover_stale(T0 + DAY) >= 1 and told() == before + 2
+
+
+def test_worker_wakes_on_notifications(store, tmp_path):
+    from quayside.streaming.stream import start_worker
+
+    queue, task = Queue(store), Task("mode", _by_mode)
+    queue.enqueue_all(task, ["fine"] * 3, T0)
+    w = worker(store).register(task)
+    start_worker(w, str(tmp_path / "cp"), lambda: T0, availableNow=True).awaitTermination()
+    assert store.query(HistoryFilter(status="completed")).count() == 3
+    queue.enqueue(task, "fine", T0)
+    start_worker(w, str(tmp_path / "cp"), lambda: T0, availableNow=True).awaitTermination()
+    assert store.query(HistoryFilter(status="completed")).count() == 4
+
+
+def test_drain_releases_what_has_not_begun(store):
+    queue, task = Queue(store), Task("mode", _by_mode)
+    queue.enqueue_all(task, ["fine"] * 3, T0)
+    w = worker(store, shutdown_timeout=timedelta(0)).register(task)
+    assert w.claim(T0) == 3
+    assert w.run(lambda: T0, lambda d: None, lambda: True) == 3
+    rows = store.jobs().collect()
+    assert {(r.status, r.run_count, r.failure_count) for r in rows} == {("pending", 1, 0)}
+    assert {r.outcome for r in store.journal().collect()} == {"released"}
+    assert Worker(store, identity="w:2", concurrency=3).register(task).step(T0) == 3
+
+
+def test_stress(store):
+    def flaky(payload, context, state):
+        context.carry += 1
+        if context.carry <= payload["fail_times"]:
+            raise TaskError("again")
+
+    queue, task = Queue(store), Task("stress", flaky, default=0)
+    queue.enqueue_all(task, [{"index": i, "fail_times": i % 3} for i in range(60)], T0)
+    workers = [Worker(store, concurrency=8, identity=f"w:{i}", backoff=Backoff(MILLI, MILLI), jitter_fraction=0).register(task) for i in range(3)]
+    now = T0
+    for _ in range(20):
+        now += timedelta(seconds=1)
+        if not sum(w.step(now) for w in workers):
+            break
+    rows = store.jobs().collect()
+    assert all(r.status == "completed" and r.run_count == int(r.payload.rsplit(":", 1)[1][:-1]) + 1 for r in rows)
+    assert store.journal().count() == sum(r.run_count for r in rows)
+
+
+def test_metrics(spark, store):
+    from quayside.operators.observability import claim_latency, counters, handler_durations, observed
+    from quayside.operators.reads import with_history
+    from quayside.operators.tasks import Registry, run_handlers
+
+    queue, task = Queue(store), Task("mode", _by_mode)
+    queue.enqueue_all(task, ["fine", "retry"], T0)
+    w = worker(store).register(task)
+    w.claim(T0 + timedelta(seconds=5))
+    held = store.query(HistoryFilter(status="claimed"))
+    assert [(r.le, r.value) for r in claim_latency(held, T0 + timedelta(seconds=5)).collect()] == [(10.0, 2)]
+    results = run_handlers(with_history(held, store.journal()), Registry().register(task), T0)
+    assert sum(r.value for r in handler_durations(results).collect()) == 2
+    w.run_claimed(T0 + timedelta(seconds=6))
+    assert {(r.series, r.outcome, r.value) for r in counters(store.journal()).collect()} == {("settled_total", "completed", 1), ("settled_total", "retried", 1)}
+    rows, seen = observed(store.journal())
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 2, "failures": 1}
