@@ -7,9 +7,8 @@ takes the language of the centroid of largest cosine. It is rejected if its cosi
 further below that centroid's own training texts than the centroid's margin allows; the
 margin widens for short texts, whose few n-grams are far from any centroid by chance.
 
-The classifier is fitted on a bounded sample of labelled rows (``sample`` of each of the
-``languages`` most frequent languages, chosen by a hash of id and text); every row is predicted from
-its whole text.
+The classifier is fitted on a bounded sample of labelled rows (``sample`` of each language,
+``most`` in all, chosen by a hash of the text); every row is predicted from its whole text.
 """
 
 from __future__ import annotations
@@ -18,16 +17,14 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
 DIMENSIONS = 1 << 12
 #: Bytes that are counted at once.
 CHUNK = 1 << 20
 #: A text of so many different n-grams has half of the margin's full reach.
-SHORT = 200
+SHORT = 300
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -112,22 +109,23 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return centres, (x @ centres.T).argmax(1)
 
 
-def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, clusters: int = 6, slack: float = 0.6) -> Centroids:
-    """Fit on rows of ``labelled`` (text, lang and, for the choice of rows, doc_id).
+def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, most: int = 12_000, clusters: int = 6, slack: float = 0.5) -> Centroids:
+    """Fit on rows of ``labelled`` (text and lang).
 
-    Rows without a label or a letter do not count. ``sample`` rows of each of the most
-    frequent ``languages`` are taken, those with the smallest hash of id and text; equal
-    texts count once. A centroid accepts what has at least ``slack`` times the smallest
-    cosine that it has with its own rows. Without rows, everything is ``und``.
+    Rows without a label or a letter do not count. Of each of the most frequent
+    ``languages`` up to ``sample`` texts are taken, and ``most`` of all together: those with
+    the smallest hash, equal texts once. A centroid accepts what has at least ``slack``
+    times the smallest cosine that it has with its own rows. Without rows, everything is
+    ``und``. The driver gets a vector of DIMENSIONS half floats for each text taken.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    # Equal texts share the hash; the first by hash are chosen, so they may come together and are told apart below.
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    keys = rows.select("lang", "h").groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    frequent = keys.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    chosen = stored(keys.join(frequent, "lang").withColumn("r", first).where(F.col("r") <= sample).select("lang", "h"), "sample")
-    # At most sample * languages keys, checked here: short enough to be sent to every task.
-    taken = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    wanted = min(sample, most // max(1, len(counts)))
+    # Hashes are even, so a share of them gives a sample of a known size without a sort; a
+    # quarter more than wanted allows for copies, and what is too much is left out below.
+    limits = {r.lang: min(int(2**63 * (1.25 * wanted / r.n)), 2**63 - 1) for r in counts}
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.lit(None)
+    taken = rows.where(F.col("lang").isin(list(limits)) & (F.shiftrightunsigned("h", 1) <= (F.element_at(limit, F.col("lang")) if limits else F.lit(0))))
 
     @F.pandas_udf("binary")
     def vector(texts):
@@ -135,11 +133,14 @@ def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, clusters:
 
         return pd.Series([term_frequencies(ngram_counts(t)).astype(np.float16).tobytes() for t in texts])
 
-    got = taken.select("lang", "h", vector("text").alias("v")).dropDuplicates(["lang", "h"]).toArrow()
+    # Equal texts come together before their vectors are made.
+    got = taken.dropDuplicates(["lang", "h"]).select("lang", "h", vector("text").alias("v")).toArrow()
     if not got.num_rows:
         return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
-    order = np.lexsort((got.column("h").to_numpy(), langs.astype(str)))
+    order = np.lexsort((got.column("h").to_numpy().view(np.uint64), langs.astype(str)))
+    rank = np.arange(len(order)) - np.searchsorted(langs[order].astype(str), langs[order].astype(str))
+    order = order[rank < wanted]
     langs = langs[order]
     tf = np.stack([np.frombuffer(v, np.float16) for v in got.column("v").to_pylist()])[order].astype(np.float32)
     # A slot in all rows of all languages says nothing; a rare one says most.
