@@ -99,7 +99,8 @@ def warc_record(date: str = "2020-01-01T00:00:00Z") -> Column:
 
 
 def write_warc(resolved: DataFrame, path: str, records_per_file: int = 20_000) -> None:
-    """Write the records as gzip-compressed WARC files under ``path``."""
+    """Write the records as gzip-compressed WARC files under ``path``. A reader takes a
+    file's compressed bytes as a whole, so long payloads ask for fewer records a file."""
     resolved.select(warc_record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -189,6 +190,11 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
 
 
+def records_for(longest: int, bytes_per_file: int = 1 << 29, most: int = 20_000) -> int:
+    """Records a file so that even the longest payloads stay within a file's bytes, one at least."""
+    return max(1, min(most, bytes_per_file // (longest + 4096)))
+
+
 def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) under ``path`` and return what the archives
     say: page_id, payload_bytes, payload_digest, record_type, refers_to.
@@ -198,5 +204,6 @@ def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0)
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
     records = pages.select(F.col("page_id").cast("long").alias("record_id"), F.col("url").alias("target_uri"), F.col("html").alias("payload"))
-    write_warc(resolve_revisits(records, min_bytes), path)
+    longest = records.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    write_warc(resolve_revisits(records, min_bytes), path, records_for(longest))
     return read_warc(spark, path, with_payload=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
