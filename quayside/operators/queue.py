@@ -37,7 +37,7 @@ class Queue:
         rows = [{"arrival": i, **task.row(p, ulid.new(millis), when)} for i, p in enumerate(payloads)]
         arrivals = self.store.spark.createDataFrame(rows, ARRIVALS)
         base = self.store.version()
-        done = fold_submit(self.store.jobs(base), self.store.journal(base), arrivals, task.merge, now)
+        done = fold_submit(self.store.active(base), self.store.journal(base), arrivals, task.merge, now)
         placed = {r.arrival: r for r in done.placed.collect()}  # one row a payload of this call
         # A new job notifies even if it becomes visible later; a merge does not.
         self.store.commit(base, done.jobs, done.added, notify=not all(r.merged for r in placed.values()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -61,7 +62,7 @@ class Worker:
 
     def recover_stale(self, now: datetime) -> int:
         base = self.store.version()
-        change = recover(self.store.jobs(base), now, self.backoff, self.jitter_fraction, worker=self.identity)
+        change = recover(self.store.active(base), now, self.backoff, self.jitter_fraction, worker=self.identity)
         n = change.count().first().applied
         if n:
             self.store.commit(base, change.jobs, change.added, notify=True)
@@ -71,7 +72,7 @@ class Worker:
     def claim(self, now: datetime) -> int:
         """Fill the free slots; the number of jobs claimed."""
         base = self.store.version()
-        jobs = self.store.jobs(base)
+        jobs = self.store.active(base)
         held = {r.kind: r.n for r in in_flight(jobs, self.identity).collect()}  # a row a kind
         slots = self.concurrency - sum(held.values())
         if slots <= 0 or not self.registry.kinds():
@@ -89,7 +90,7 @@ class Worker:
 
     def apply_leases(self, now: datetime) -> None:
         base = self.store.version()
-        jobs = self.store.jobs(base)
+        jobs = self.store.active(base)
         commands = task_leases(jobs.where((F.col("status") == CLAIMED) & (F.col("claimed_by") == self.identity)), self.registry, self.lease)
         if commands.limit(1).count():
             self.store.commit(base, extend_lease(jobs, commands, now).jobs)
@@ -99,12 +100,12 @@ class Worker:
 
         With a ``grace``, runs that have not begun by then are given back instead."""
         base = self.store.version()
-        jobs, journal = self.store.jobs(base), self.store.journal(base)
+        jobs, journal = self.store.active(base), self.store.journal(base)
         mine = jobs.where((F.col("status") == CLAIMED) & (F.col("claimed_by") == self.identity))
         results = run_handlers(with_history(mine, journal), self.registry, now, self.state, self.panic_policy, self.backoff, self.jitter_fraction, grace)
         # What handlers said is kept: reading it again must not run them again.
-        path = f"{self.store.root}/{self.store.prefix}_results/{base}-{self.identity.replace(':', '-')}"
-        results.write.mode("overwrite").parquet(path)
+        path = self.store._at("drafts", uuid.uuid4().hex)
+        results.write.parquet(path)
         results = self.store.spark.read.parquet(path)
         at = later or now
         change = settle(jobs, settlements_for(results, at, self.backoff, self.jitter_fraction, self.backstop), at)
@@ -118,7 +119,7 @@ class Worker:
     def release(self, now: datetime) -> int:
         """Give back what this worker still holds; that is no failure."""
         base = self.store.version()
-        jobs = self.store.jobs(base)
+        jobs = self.store.active(base)
         mine = jobs.where((F.col("status") == CLAIMED) & (F.col("claimed_by") == self.identity))
         commands = mine.select("id", "claimed_by", F.col("run_count").alias("run_no"), F.lit("release").alias("tag"), F.lit(now).cast("timestamp_ntz").alias("visible_at"), "failure_count", "carry", F.lit("released at shutdown").alias("note"), F.lit(None).cast("string").alias("attachment"))
         change = settle(jobs, commands, now)

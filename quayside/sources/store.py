@@ -1,104 +1,144 @@
 """Versioned snapshots of the two relations on any file system that Spark can write.
 
-``<root>/<prefix>_jobs/v=N`` and ``<prefix>_journal/v=N`` hold version N, jobs partitioned
-by status so that reads of pending, claimed or finished jobs touch those files only. The
-file ``<prefix>_CURRENT/N`` publishes it: it is created without overwriting, so of two
-writers that started from one version the second fails with a conflict. Readers take the
-highest number and are never disturbed.
+A version is a small manifest that lists folders of Parquet files:
+
+* ``active``: pending and claimed jobs, written anew by every commit;
+* ``finished``: completed and dead jobs, in segments; they never change again, so a commit
+  only adds a segment of what has finished in it;
+* ``journal``: segments too, one a commit.
+
+So a commit costs what is active and what is new, not the history. Folders have names of
+their own and manifests are published by a rename that does not overwrite: of two writers
+that started from one version, the second fails with a conflict and has touched nothing of
+the first. Readers take the manifest of the highest number and are never disturbed.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reads import HistoryFilter, dedup_candidate, find_stale, job, next_visible_at, query_jobs, snapshot, timeline
-from ..operators.schema import JOB_COLUMNS, JOBS, JOURNAL, JOURNAL_COLUMNS, OUTCOMES, STATUSES, SnapshotConflict, checked_domain, validate_prefix
+from ..operators.schema import CLAIMED, COMPLETED, DEAD, JOB_COLUMNS, JOBS, JOURNAL, JOURNAL_COLUMNS, OUTCOMES, PENDING, STATUSES, SnapshotConflict, checked_domain, validate_prefix
 from ..operators.transitions import CleanupCriteria, cleanup
 
-#: Layouts so far; a store of an older one is brought up by the steps that follow it.
+#: Layouts so far; a store of an older one is brought up by the steps that follow it, each
+#: of which takes a manifest and gives the next one.
 SCHEMA_VERSION = 1
-MIGRATIONS: dict[int, Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]] = {}
+MIGRATIONS: dict[int, Callable[[JobStore, dict], dict]] = {}
+LIVE, OVER = (PENDING, CLAIMED), (COMPLETED, DEAD)
 
 
 class JobStore:
     """A pair of relations under a validated prefix."""
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = "quayside"):
-        self.spark, self.root, self.prefix = spark, root.rstrip("/"), validate_prefix(prefix)
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, what: str, version: int | None = None) -> str:
-        return f"{self.root}/{self.prefix}_{what}" + ("" if version is None else f"/v={version}")
+        self.spark, self.prefix = spark, validate_prefix(prefix)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path, conf = hadoop.Path, spark._jsc.hadoopConfiguration()
+        self._fs = self._path(root).getFileSystem(conf)
+        self.root = str(self._fs.makeQualified(self._path(root.rstrip("/"))))
+        # Renames of a file context fail where the target exists.
+        self._context = hadoop.FileContext.getFileContext(self._path(self.root).toUri(), conf)
+        self._no_options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+
+    def _at(self, what: str, *rest: object) -> str:
+        return "/".join([f"{self.root}/{self.prefix}_{what}", *map(str, rest)])
 
     def _numbers(self, what: str) -> list[int]:
         path = self._path(self._at(what))
         if not self._fs.exists(path):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(path)]
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def version(self) -> int:
-        """The published version; 0 before ``migrate``."""
-        return max(self._numbers("CURRENT"), default=0)
+        return sorted(int(n) for n in (s.getPath().getName() for s in self._fs.listStatus(path)) if n.isdigit())
 
-    def _create(self, what: str, number: int) -> bool:
-        """Create an empty file unless it exists."""
+    def _put(self, what: str, number: int, text: str) -> bool:
+        """Write a small file as a whole, unless there is one of this number."""
+        draft = self._path(self._at("drafts", uuid.uuid4().hex))
         self._fs.mkdirs(self._path(self._at(what)))
+        out = self._fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
         try:
-            self._fs.create(self._path(f"{self._at(what)}/{number}"), False).close()
-        except Exception as e:  # the JVM's exception says whether the file was there
-            if "exists" in str(e):
+            self._context.rename(draft, self._path(self._at(what, number)), self._no_options)
+        except Exception as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e):
                 return False
             raise
         return True
 
+    def version(self) -> int:
+        """The published version; 0 before ``migrate``."""
+        return max(self._numbers("CURRENT"), default=0)
+
+    def manifest(self, version: int | None = None) -> dict[str, Any]:
+        path = self._at("CURRENT", self.version() if version is None else version)
+        return json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+
+    def _publish(self, base: int, manifest: dict[str, Any]) -> int:
+        if self.version() != base or not self._put("CURRENT", base + 1, json.dumps(manifest)):
+            raise SnapshotConflict(f"version {base} is no longer current")
+        return base + 1
+
     def migrate(self) -> None:
         """Lay the relations out, or bring them to the present layout; harmless if repeated."""
-        done = max(self._numbers("SCHEMA"), default=0)
         if not self.version():
-            jobs, journal = self.spark.createDataFrame([], JOBS), self.spark.createDataFrame([], JOURNAL)
             try:
-                self._publish(0, jobs, journal)
+                self._publish(0, {"schema": SCHEMA_VERSION, "active": [], "finished": [], "journal": [], "last_id": 0})
             except SnapshotConflict:
                 pass  # another process has laid them out
-            done = SCHEMA_VERSION
-        for step in range(done + 1, SCHEMA_VERSION + 1):
-            version = self.version()
-            self._publish(version, *MIGRATIONS[step](self.jobs(version), self.journal(version)))
-        self._create("SCHEMA", SCHEMA_VERSION)
+        manifest = self.manifest()
+        for step in range(manifest["schema"] + 1, SCHEMA_VERSION + 1):
+            manifest = MIGRATIONS[step](self, manifest) | {"schema": step}
+            self._publish(self.version(), manifest)
+
+    def _read(self, folders: list[str], what: str, schema) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        base = self._at(what)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{f}" for f in folders])
+
+    def _jobs(self, folders: list[str]) -> DataFrame:
+        rows = self._read(folders, "jobs", JOBS)
+        return rows.select(*[checked_domain(F.col(c), STATUSES, "status").alias(c) if c == "status" else F.col(c) for c in JOB_COLUMNS])
+
+    def active(self, version: int | None = None) -> DataFrame:
+        """Jobs that may still change: what claims, settlements and merges are about."""
+        return self._jobs(self.manifest(version)["active"])
 
     def jobs(self, version: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(JOBS).parquet(self._at("jobs", self.version() if version is None else version))
-        return rows.select(*[checked_domain(F.col(c), STATUSES, "status").alias(c) if c == "status" else F.col(c) for c in JOB_COLUMNS])
+        manifest = self.manifest(version)
+        return self._jobs(manifest["active"] + manifest["finished"])
 
-    def pending(self) -> DataFrame:
-        """Jobs of one status are read from its partition alone."""
-        return self.spark.read.schema(JOBS).parquet(self._at("jobs", self.version())).where("status = 'pending'").select(*JOB_COLUMNS)
+    def pending(self, version: int | None = None) -> DataFrame:
+        return self._jobs([f for f in self.manifest(version)["active"] if f.endswith(f"status={PENDING}")])
 
     def journal(self, version: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(JOURNAL).parquet(self._at("journal", self.version() if version is None else version))
+        rows = self._read(self.manifest(version)["journal"], "journal", JOURNAL)
         return rows.select(*[checked_domain(F.col(c), OUTCOMES, "outcome").alias(c) if c == "outcome" else F.col(c) for c in JOURNAL_COLUMNS])
 
-    def _publish(self, base: int, jobs: DataFrame, journal: DataFrame) -> int:
-        version = base + 1
-        # An abandoned attempt of the same number may lie there; it was never published.
-        if self.version() != base:
-            raise SnapshotConflict(f"version {base} is no longer current")
-        jobs.select(*JOB_COLUMNS).sortWithinPartitions("status", "priority", "created_at", "id").write.mode("overwrite").partitionBy("status").parquet(self._at("jobs", version))
-        journal.select(*JOURNAL_COLUMNS).sortWithinPartitions("job_id", "id").write.mode("overwrite").parquet(self._at("journal", version))
-        if not self._create("CURRENT", version):
-            raise SnapshotConflict(f"version {version} has been published by another writer")
-        return version
+    def _write_jobs(self, jobs: DataFrame) -> dict[str, list[str]]:
+        """Write jobs into a folder of their own, by status; the folders by kind of status."""
+        name = uuid.uuid4().hex
+        jobs.select(*JOB_COLUMNS).sortWithinPartitions("status", "priority", "created_at", "id").write.partitionBy("status").parquet(self._at("jobs", f"segment={name}"))
+        made = [s.getPath().getName() for s in self._fs.listStatus(self._path(self._at("jobs", f"segment={name}")))]
+        return {what: [f"segment={name}/status={s}" for s in kinds if f"status={s}" in made] for what, kinds in (("active", LIVE), ("finished", OVER))}
+
+    def _write_journal(self, rows: DataFrame) -> list[str]:
+        name = uuid.uuid4().hex
+        rows.select(*JOURNAL_COLUMNS).sortWithinPartitions("job_id", "id").write.parquet(self._at("journal", name))
+        return [name]
 
     def notify(self, version: int) -> None:
         """Tell listeners that jobs may have become available. A notification has no content,
         and several that come before a listener looks count as one."""
-        self._create("NOTIFY", version)
+        self._put("NOTIFY", version, "")
 
     def notifications(self) -> list[int]:
         """Versions that have notified."""
@@ -110,40 +150,60 @@ class JobStore:
         self._fs.mkdirs(self._path(path))
         return path
 
-    def commit(self, base: int, jobs: DataFrame, added: DataFrame | None = None, notify: bool = False) -> int:
-        """Publish jobs and appended journal rows that were made from version ``base``, and notify.
-
-        New rows are numbered after the largest id in the order of (recorded_at, job_id,
+    def _numbered(self, added: DataFrame, last: int) -> tuple[list[str], int]:
+        """Write new journal rows, numbered after ``last`` in the order of (recorded_at, job_id,
         run_no). Ranges of that order are numbered side by side: their sizes, a number for
-        each partition, give the offsets.
-        """
-        journal = self.journal(base)
-        if added is not None:
-            top = journal.agg(F.max("id")).first()[0] or 0
-            order = ["recorded_at", "job_id", "run_no", "outcome"]
-            # Ranges are drawn from a sample, so they are fixed before their sizes are taken.
-            ranged = added.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-            ranged.write.mode("overwrite").parquet(self._at("added", base + 1))
-            ranged = self.spark.read.parquet(self._at("added", base + 1))
-            offsets, at = [], top
-            for p, n in sorted((r["_p"], r.n) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()):
-                offsets.append((p, at))
-                at += n
-            starts = F.broadcast(self.spark.createDataFrame(offsets, "_p int, _start long"))
-            numbered = ranged.join(starts, "_p").withColumn("id", F.col("_start") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-            journal = journal.unionByName(numbered.select(*JOURNAL_COLUMNS))
-        version = self._publish(base, jobs, journal)
-        self._fs.delete(self._path(self._at("added", version)), True)
+        each partition, give the offsets."""
+        order = ["recorded_at", "job_id", "run_no", "outcome"]
+        # Ranges are drawn from a sample, so they are fixed before their sizes are taken.
+        draft = self._at("drafts", uuid.uuid4().hex)
+        added.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(draft)
+        ranged = self.spark.read.parquet(draft)
+        offsets, at = [], last
+        for p, n in sorted((r["_p"], r.n) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()):
+            offsets.append((p, at))
+            at += n
+        folders = []
+        if at > last:
+            starts = F.broadcast(self.spark.createDataFrame(offsets, "_p int, _start long"))  # a row a partition
+            folders = self._write_journal(ranged.join(starts, "_p").withColumn("id", F.col("_start") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
+        self._fs.delete(self._path(draft), True)
+        return folders, at
+
+    def commit(self, base: int, active: DataFrame, added: DataFrame | None = None, notify: bool = False) -> int:
+        """Publish what has become of the active jobs of version ``base``, with new ones, and
+        append journal rows. What is completed or dead by now becomes a finished segment."""
+        before = self.manifest(base)
+        jobs = self._write_jobs(active)
+        journal, last = ([], before["last_id"]) if added is None else self._numbered(added, before["last_id"])
+        version = self._publish(base, before | {"active": jobs["active"], "finished": before["finished"] + jobs["finished"], "journal": before["journal"] + journal, "last_id": last})
         if notify:
             self.notify(version)
         return version
 
+    def compact(self) -> int:
+        """Write finished and journal segments into one each; contents stay the same."""
+        base = self.version()
+        before = self.manifest(base)
+        finished = self._write_jobs(self._jobs(before["finished"]))["finished"] if len(before["finished"]) > 2 else before["finished"]
+        journal = self._write_journal(self.journal(base)) if len(before["journal"]) > 1 else before["journal"]
+        return self._publish(base, before | {"finished": finished, "journal": journal})
+
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the latest versions."""
-        latest = self.version()
-        for number in range(1, latest - keep + 1):
-            for what in ("jobs", "journal"):
-                self._fs.delete(self._path(self._at(what, number)), True)
+        """Delete the folders that none of the latest versions names, and older manifests."""
+        versions = self._numbers("CURRENT")
+        named: dict[str, set[str]] = {"jobs": set(), "journal": set()}
+        for v in versions[-keep:]:
+            manifest = self.manifest(v)
+            named["jobs"] |= {f.split("/")[0] for f in manifest["active"] + manifest["finished"]}
+            named["journal"] |= set(manifest["journal"])
+        for what, used in named.items():
+            path = self._path(self._at(what))
+            for status in self._fs.listStatus(path) if self._fs.exists(path) else []:
+                if status.getPath().getName() not in used:
+                    self._fs.delete(status.getPath(), True)
+        for v in versions[:-keep]:
+            self._fs.delete(self._path(self._at("CURRENT", v)), False)
 
     # Reads
     def query(self, which: HistoryFilter) -> DataFrame:
@@ -168,10 +228,11 @@ class JobStore:
         return dedup_candidate(self.pending(), kind, key)
 
     def cleanup(self, which: CleanupCriteria) -> int:
+        """Delete finished jobs and their journal; the number of jobs."""
         base = self.version()
-        jobs, journal = self.jobs(base), self.journal(base)
-        left, entries, deleted = cleanup(jobs, journal, which)
+        before = self.manifest(base)
+        left, entries, deleted = cleanup(self._jobs(before["finished"]), self.journal(base), which)
         n = deleted.first()[0]
         if n:
-            self._publish(base, left, entries)
+            self._publish(base, before | {"finished": self._write_jobs(left)["finished"], "journal": self._write_journal(entries)})
         return n

@@ -35,9 +35,8 @@ def apply_commands(store: JobStore, batch: DataFrame, clock: datetime | None = N
         if now is None:
             return store.version()
         base = store.version()
-        jobs = store.jobs(base)
-        new = batch.where("action = 'enqueue'").dropDuplicates(["id"]).join(jobs.select("id"), "id", "left_anti")
-        made = enqueue(jobs, new.select("id", "kind", "payload", "priority", "visible_at", F.coalesce("carry", F.lit("null")).alias("carry"), "dedup_key"), now)
+        new = batch.where("action = 'enqueue'").dropDuplicates(["id"]).join(store.jobs(base).select("id"), "id", "left_anti")
+        made = enqueue(store.active(base), new.select("id", "kind", "payload", "priority", "visible_at", F.coalesce("carry", F.lit("null")).alias("carry"), "dedup_key"), now)
         change = settle(made.jobs, batch.where("action = 'settle'").select("id", "claimed_by", "run_no", "tag", "visible_at", "failure_count", "carry", "note", "attachment"), now)
         wakes = new.limit(1).count() > 0 or change.count().first().notify
         return store.commit(base, change.jobs, change.added, notify=wakes)

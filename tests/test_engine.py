@@ -45,10 +45,34 @@ def test_migrate_is_idempotent(store, spark, tmp_path):
 
 
 def test_conflict(store):
-    jobs = store.jobs()
+    jobs = store.active()
     store.commit(1, jobs)
     with pytest.raises(SnapshotConflict):
         store.commit(1, jobs)
+    # A writer that looked before the other published is refused by the file system.
+    assert store._put("CURRENT", 3, "{}") and not store._put("CURRENT", 3, "{}")
+
+
+def test_segments(store, spark, job_row):
+    from quayside.operators.schema import JOBS
+
+    queue, task = Queue(store), Task("mode", _by_mode)
+    w = worker(store).register(task)
+    for _ in range(3):
+        queue.enqueue(task, "fine", T0)
+        w.step(T0)
+    before = store.manifest()
+    assert len(before["finished"]) == 3 and len(before["journal"]) == 3 and before["active"] == []
+    rows, log = sorted(store.jobs().collect()), sorted(store.journal().collect())
+    store.compact()
+    store.vacuum(1)
+    after = store.manifest()
+    assert len(after["finished"]) == 1 and len(after["journal"]) == 1
+    assert sorted(store.jobs().collect()) == rows and sorted(store.journal().collect()) == log
+    odd = spark.createDataFrame([job_row(1, status="lost")], JOBS)
+    odd.write.partitionBy("status").parquet(store._at("jobs", "segment=odd"))
+    with pytest.raises(Exception, match="unknown status"):
+        store._jobs(["segment=odd/status=lost"]).collect()
 
 
 def test_retries_then_completes(store):
