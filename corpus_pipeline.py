@@ -43,12 +43,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each component, that of the smallest doc_id (one of it, if it repeats)."""
-    found = near_duplicates(docs.withColumn("row", F.struct(*_columns(docs))), keep=("row",))
+    """Keep one row of each component, that of the smallest doc_id (one of it, if it repeats).
+
+    Fingerprints and components are found without the texts' company; the rows that stay
+    are then picked by id and a hash of the text."""
+    rows = docs.select(F.struct(*_columns(docs)).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    found = near_duplicates(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), keep=("h",))
     heads = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    # Rows that repeat the smallest doc_id: any one of equals, the first in order of its columns.
-    named = heads.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("row").alias("row"))
-    return named.select("row.*").unionByName(heads.where(F.col("doc_id").isNull()).select("row.*"))
+    named = heads.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    nameless = heads.where(F.col("doc_id").isNull()).select("doc_id", "h", F.lit(1).alias("n")).distinct()
+    picked = stored(named.unionByName(nameless), "heads")
+    kept = rows.join(picked, rows["doc_id"].eqNullSafe(picked["doc_id"]) & (rows["h"] == picked["h"]), "left_semi")
+    if picked.where("n > 1").limit(1).count():
+        # Some ids repeat: any one of their rows, the first in the order of its columns.
+        one = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+        kept = one.unionByName(kept.where(F.col("doc_id").isNull()).select("row"))
+    return kept.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
