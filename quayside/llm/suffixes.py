@@ -15,7 +15,8 @@ its minimizer, and
 
 Windows of a minimizer with more than ``HOT`` places are dealt out finer: by how far their
 minimizer is from their start, in ``FINE`` steps, and by the bytes that all windows of
-that step share; so a frequent line is parted by what it stands next to.
+that step share; so a frequent line is parted by what it stands next to. Where more than
+``CROWD`` different pieces still share a key, their windows go one by one, by all their bytes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import discard, shuffle_partitions, stored
 
 #: Bytes of a minimizer; a power of two.
 KMER = 32
-HOT, FINE = 1000, 12
+HOT, FINE, CROWD = 1000, 12, 20_000
 #: Bytes of documents that are handled at once, of a long document's parts, and of a suffix array.
 BATCH, PART, BLOCK = 2_500_000, 1_000_000, 2_000_000
 #: Places in texts that share a doc_id are told apart by their high bits.
@@ -219,6 +220,31 @@ def _pieces(size: int):
     return run
 
 
+def _single(size: int):
+    """Pieces of one window each, keyed by its bytes, from longer pieces. Of equal windows of
+    a batch only the first leaves the task, so a key has one row a task and batch at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first: dict[bytes, tuple[int, int]] = {}
+            gone: list[tuple[int, int]] = []
+            for doc, place, n, content in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                for i in range(n):
+                    window, here = content[i : i + size], (doc, place + i)
+                    there = first.setdefault(window, here)
+                    if there != here:
+                        first[window] = min(here, there)
+                        gone.append(max(here, there))
+            windows = list(first)
+            keys = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in windows]
+            places = list(first.values())
+            yield _piece_batch(keys, [d for d, _ in places], [p for _, p in places], [1] * len(keys), windows)
+            if gone:
+                yield _piece_batch([0] * len(gone), [d for d, _ in gone], [p for _, p in gone], [size] * len(gone), [None] * len(gone))
+
+    return run
+
+
 #: Symbols of 9 bits in a word: 0 ends a piece, 1 to 256 are its bytes.
 PACKED = 7
 
@@ -422,6 +448,13 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     discard(marks)
     pieces = stored(docs.join(kept, ["doc", "nth"]).select("doc", "nth", "text", "marks").mapInArrow(_pieces(size), PIECES), "pieces")
     parts = shuffle_partitions(docs.sparkSession)
+    crowded = pieces.where(F.col("content").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > CROWD).select("key")
+    if crowded.limit(1).count():
+        crowded = stored(crowded, "crowded")
+        whole = pieces.where(F.col("content").isNotNull())
+        single = whole.join(crowded, "key", "left_semi").select(*pieces.columns).mapInArrow(_single(size), PIECES)
+        rest = whole.join(crowded, "key", "left_anti").select(*pieces.columns)
+        pieces = stored(single.unionByName(rest).unionByName(pieces.where(F.col("content").isNull())), "parted")
     dealt = pieces.where(F.col("content").isNotNull()).repartition(parts, "key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_settle(size), "doc long, place long, n long")
     return found.unionByName(pieces.where(F.col("content").isNull()).select("doc", "place", F.col("n").cast("long").alias("n")))

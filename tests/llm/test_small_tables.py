@@ -215,9 +215,10 @@ def without_repeats(texts, size=100):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_suffixes(docs, texts, none, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "crowd"), [(1000, 20_000), (1, 20_000), (1, 1)])
+def test_suffixes(docs, texts, none, hot, crowd, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = without_repeats([t for t in texts if t[0] is not None] + [t for t in texts if t[0] is None][:1])
     got = suffixes.deduplicated(docs.where("doc_id is not null").unionByName(docs.where("doc_id is null and text is not null")))
