@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:(?:"[^"<]*"|'[^'<]*')[^<>"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
@@ -40,6 +40,8 @@ NAMES = frozenset(
     subscription toast toolbar widget widgets""".split()
 )
 BESIDE = frozenset("has with no without".split())
+#: What an article has of its own: its header holds its heading.
+OWN = frozenset("header masthead".split())
 LISTS = frozenset("ul ol dl div section table".split())
 
 
@@ -54,7 +56,7 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             for one in value.split():
                 words = [word.lower() for word in WORD.findall(one)]
                 # "has-sidebar" names what stands beside the element, not the element.
-                if words and words[0] not in BESIDE and not NAMES.isdisjoint(words):
+                if words and words[0] not in BESIDE and not NAMES.isdisjoint(words) and not (in_article and OWN.issuperset(NAMES.intersection(words))):
                     return True
         elif name == "role":
             if value.lower() in ROLES:
@@ -72,7 +74,7 @@ class _Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.unwanted, self.end = ["#"], [-1], [False], [0]
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
-        self.stack, self.block = [0], 0
+        self.stack, self.block, self.articles = [0], 0, 0
         at, lowered = 0, None
         for found in TAG.finditer(source):
             start = found.start()
@@ -104,6 +106,7 @@ class _Page:
     def _pop(self) -> None:
         node = self.stack.pop()
         self.end[node] = len(self.tag)
+        self.articles -= self.tag[node] == "article"
         if self.tag[node] in BLOCK:
             self.block += 1
 
@@ -136,10 +139,11 @@ class _Page:
         node = len(self.tag)
         self.tag.append(name)
         self.parent.append(self.stack[-1])
-        self.unwanted.append(_unwanted(name, attributes, "article" in (self.tag[n] for n in self.stack) if name == "header" else False))
+        self.unwanted.append(_unwanted(name, attributes, self.articles > 0))
         self.end.append(node + 1)
         if name not in VOID:
             self.stack.append(node)
+            self.articles += name == "article"
 
     def _close(self, name: str) -> None:
         if name in ("html", "body"):

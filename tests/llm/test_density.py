@@ -17,6 +17,7 @@ DENSE = "<p>" + "We value your privacy and this is long and dense text without a
         f"<div class='wrap has-sidebar'><div id=content>{ARTICLE}</div></div><div id='comments'>{DENSE}{DENSE}</div>",
         f"<article>{ARTICLE}<section class='comments'>{DENSE}</section></article>",
         f"<form>{DENSE}<input value='>'></form><script>if (a < b) '</p>'</script><style>p {{}}</style><article>{ARTICLE}</article>",
+        f"<div class='site-header'>{DENSE}</div><article><div class='article-header'><h1>A &amp; B</h1></div>{ARTICLE[ARTICLE.index('<p>') :]}<div class=ad>{DENSE}</div></article>",
         f"<div class=ad>{DENSE}</div><!-- <p>no</p> --><div><div>{ARTICLE}</div></div>{MENU}",
     ],
 )
@@ -29,6 +30,10 @@ def test_odd_pages(source, text):
     assert extract(source) == text
 
 
+def test_open_quotes_take_linear_time():
+    assert "word" in extract("<article><p>word</p>" + "<a href=\"x>" * 20_000 + "</article>")
+
+
 def test_very_long_page():
     assert extract("<article>" + "<p>word word</p>" * 50_000 + "</article>").count("word word") == 50_000
 
