@@ -64,7 +64,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents; ids are unique after the stage before."""
     judged = contamination(docs, table(spark, sf_dir, "benchmark"))
-    dirty = judged.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
+    # A table of known size: a short list is sent to the documents, which then stay where they are.
+    dirty = stored(judged.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct(), "dirty")
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti").select(*_columns(docs))
 
 

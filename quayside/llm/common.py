@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -42,10 +44,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process has written and not yet deleted.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Results are lazy and may read these tables until the driver ends; then they go."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            _delete(spark, path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage,
     survives lost executors and gives the planner true sizes."""
     path = shared_path(df.sparkSession, label)
+    _written.append((df.sparkSession, path))
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP)
     try:
@@ -58,10 +78,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`stored` wrote, once nothing will read it again."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

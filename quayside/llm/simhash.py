@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, stored
+from .common import LOWER_BYTES, shuffle_partitions, stored
 from .components import connected_components
 
 BITS = 64
@@ -190,10 +190,7 @@ def linked(fps: DataFrame, budget: int = 2) -> DataFrame:
     orders = bit_orders(budget)
     masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m, _, _ in orders])
     rows = fps.select("fp", F.posexplode(masks).alias("order", "mask")).select("fp", "order", F.xxhash64("order", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    # Only keys of two rows or more can hold a link.
-    spark = fps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "order", "key")
+    dealt = rows.repartition(shuffle_partitions(fps.sparkSession), "order", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
