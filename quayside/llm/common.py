@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,28 +45,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Tables that this process has written and not yet deleted.
-_written: list[tuple[SparkSession, str]] = []
+#: Tables that this process has written, as (file system, path) of the JVM.
+_written: list[tuple[Any, Any]] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str) -> tuple[Any, Any]:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 @atexit.register
 def _sweep() -> None:
     """Results are lazy and may read these tables until the driver ends; then they go."""
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the JVM may have ended before
-            _delete(spark, path)
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        for fs, where in _written:
+            fs.delete(where, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage,
     survives lost executors and gives the planner true sizes."""
     path = shared_path(df.sparkSession, label)
-    _written.append((df.sparkSession, path))
+    _written.append(_located(df.sparkSession, path))
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP)
     try:
@@ -79,7 +80,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`stored` wrote, once nothing will read it again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        fs, where = _located(df.sparkSession, folder)
+        fs.delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
