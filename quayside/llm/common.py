@@ -127,3 +127,10 @@ def partition_keys(n: int) -> list[int]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_few_files(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` in fewer tasks where it has few rows, so that a small table isn't written as
+    one file a shuffle partition. Tables of many rows keep their partitions."""
+    least = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-rows // per_task)))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, partition_keys, shuffle_partitions, stored
+from .common import LOWER_BYTES, in_few_files, partition_keys, shuffle_partitions, stored
 
 #: Words and histories are named by 48 bits of their XXH64; 0 and 1 stand for an end and a start.
 NAME_BITS, END, START = 48, 0, 1
@@ -406,7 +406,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     parts = shuffle_partitions(spark)
     buckets = max(parts, math.ceil(special.get(-2, 0) / BUCKET))
     dealt = lines.mapInArrow(_deal(hot, buckets, partition_keys(parts)), DEALT).repartition(parts, "key").sortWithinPartitions("bucket")
-    partial = stored(dealt.select("bucket", "chunk", "kind", "piece").mapInArrow(_evaluate(hot, hot_counts), PARTIAL_SCHEMA), "bigrams")
+    partial = dealt.select("bucket", "chunk", "kind", "piece").mapInArrow(_evaluate(hot, hot_counts), PARTIAL_SCHEMA)
+    partial = stored(in_few_files(partial, special.get(-2, 0), BUCKET), "bigrams")
 
     mm = np.zeros(K + 3)
     for row in partial.where(F.col("kind") == NUMBERS).groupBy("key").agg(F.sum("n").alias("n")).collect():
@@ -419,7 +420,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     # What the discounts took, summed without cancellation, and the mass of words seen after h.
     freed = sum((float(r * (1 - d[r])) * F.col(f"k{r}") for r in range(1, K + 1)), F.col("n") * (1 - TRUST)) / count
     mass = sum((float(uni.light[r]) * F.col(f"u{r}") for r in range(1, K + 1)), F.col("heavy") * uni.heavy)
-    histories = stored(sums.select("key", F.log10(count * freed / (1 - mass)).alias("step")), "histories")
+    histories = sums.select("key", F.log10(count * freed / (1 - mass)).alias("step"))
+    histories = stored(in_few_files(histories, special.get(-2, 0), BUCKET), "histories")
 
     # Tokens whose bigram was not seen: log c(h) is put back and the backoff weight comes in.
     backed = partial.where(F.col("kind") == UNSEEN).select("key", "doc")
