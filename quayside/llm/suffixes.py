@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_partitions, stored
+from .common import discard, in_few_files, shuffle_partitions, stored
 
 #: Bytes of a minimizer; a power of two.
 KMER = 32
 HOT, FINE, CROWD = 1000, 12, 20_000
 #: Bytes of documents that are handled at once, of a long document's parts, and of a suffix array.
 BATCH, PART, BLOCK = 2_500_000, 1_000_000, 2_000_000
+#: Minimizers of a task's share of a written table, at least.
+MARKS = 300_000
 #: Places in texts that share a doc_id are told apart by their high bits.
 TEXT_SHIFT = 40
 NO_ID = -(1 << 63)
@@ -440,13 +442,16 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     """(doc, place, n) of repeated bytes in ``docs`` (doc, nth, text), overlapping and in
     no order; place has nth in its high bits."""
     marks = stored(docs.select("doc", "nth", "text").mapInArrow(_minimizers(size), "h long, doc long, place long"), "minimizers")
+    n = marks.count()
     # A table of its own, so that a join with it can split a frequent minimizer's rows.
-    often = stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "repeated")
+    often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    often = stored(in_few_files(often, n, MARKS), "repeated")
     mark = F.col("place").bitwiseAND((1 << TEXT_SHIFT) - 1) * 2 + F.col("hot").cast("long")
     kept = marks.join(often, "h").groupBy("doc", F.shiftright("place", TEXT_SHIFT).cast("int").alias("nth")).agg(F.collect_list(mark).alias("marks"))
-    kept = stored(kept, "marks")
+    kept = stored(in_few_files(kept, n, MARKS), "marks")
     discard(marks)
-    pieces = stored(docs.join(kept, ["doc", "nth"]).select("doc", "nth", "text", "marks").mapInArrow(_pieces(size), PIECES), "pieces")
+    pieces = docs.join(kept, ["doc", "nth"]).select("doc", "nth", "text", "marks").mapInArrow(_pieces(size), PIECES)
+    pieces = stored(in_few_files(pieces, n, MARKS), "pieces")
     parts = shuffle_partitions(docs.sparkSession)
     crowded = pieces.where(F.col("content").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > CROWD).select("key")
     if crowded.limit(1).count():
