@@ -14,12 +14,15 @@ The classifier is fitted on a bounded sample of labelled rows (``sample`` of eac
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 DIMENSIONS = 1 << 12
 #: Bytes that are counted at once.
 CHUNK = 1 << 20
@@ -114,18 +117,43 @@ def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, most: int
 
     Rows without a label or a letter do not count. Of each of the most frequent
     ``languages`` up to ``sample`` texts are taken, and ``most`` of all together: those with
-    the smallest hash, equal texts once. A centroid accepts what has at least ``slack``
+    the smallest hash. Equal texts of a language are one, however often they occur. A centroid accepts what has at least ``slack``
     times the smallest cosine that it has with its own rows. Without rows, everything is
     ``und``. The driver gets a vector of DIMENSIONS half floats for each text taken.
     """
+    nothing = Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    # Equal texts are taken once, so they count once too, or a much copied text would use up its language's share.
+    keys = stored(rows.select("lang", "h").distinct(), "labelled")
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not counts:
+        return nothing
     wanted = min(sample, most // max(1, len(counts)))
-    # Hashes are even, so a share of them gives a sample of a known size without a sort; a
-    # quarter more than wanted allows for copies, and what is too much is left out below.
-    limits = {r.lang: min(int(2**63 * (1.25 * wanted / r.n)), 2**63 - 1) for r in counts}
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.lit(None)
-    taken = rows.where(F.col("lang").isin(list(limits)) & (F.shiftrightunsigned("h", 1) <= (F.element_at(limit, F.col("lang")) if limits else F.lit(0))))
+
+    def within(df: DataFrame, limits: dict) -> DataFrame:
+        """Rows of a hash, without its lowest bit, up to the limit of their language."""
+        limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+        return df.where(F.col("lang").isin(list(limits)) & (F.shiftrightunsigned("h", 1) <= F.element_at(limit, F.col("lang"))))
+
+    # Hashes are even, so a share of them gives a sample of a known size without a sort. Some
+    # more than wanted are looked at, and more again of a language that has too few of them.
+    share = wanted + 8 * wanted**0.5 + 32
+    open_limits, least = {r.lang: min(int(2**63 * (share / r.n)), 2**63 - 1) for r in counts}, {}
+    while open_limits:
+        hashes = defaultdict(list)
+        for r in within(keys, open_limits).collect():
+            hashes[r.lang].append((r.h & (1 << 64) - 1) >> 1)
+        again = {}
+        for r in counts:
+            if r.lang in open_limits:
+                own, limit = sorted(hashes[r.lang]), open_limits[r.lang]
+                if len(own) < min(wanted, r.n) and limit < 2**63 - 1:
+                    again[r.lang] = min(2 * limit + 1, 2**63 - 1)
+                elif wanted:
+                    least[r.lang] = own[min(wanted, r.n) - 1]
+        open_limits = again
+    if not least:
+        return nothing
 
     @F.pandas_udf("binary")
     def vector(texts):
@@ -134,9 +162,7 @@ def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, most: int
         return pd.Series([term_frequencies(ngram_counts(t)).astype(np.float16).tobytes() for t in texts])
 
     # Equal texts come together before their vectors are made.
-    got = taken.dropDuplicates(["lang", "h"]).select("lang", "h", vector("text").alias("v")).toArrow()
-    if not got.num_rows:
-        return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+    got = within(rows, least).dropDuplicates(["lang", "h"]).select("lang", "h", vector("text").alias("v")).toArrow()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
     order = np.lexsort((got.column("h").to_numpy().view(np.uint64), langs.astype(str)))
     rank = np.arange(len(order)) - np.searchsorted(langs[order].astype(str), langs[order].astype(str))

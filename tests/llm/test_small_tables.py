@@ -344,6 +344,21 @@ def test_language_clusters(spark):
     assert [r.rejected for r in far.collect()] == [True, True, False]
 
 
+def test_language_copies_do_not_use_up_the_sample(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda words: " ".join(rng.choices(words, k=30))
+    xx, yy = "kra mok tul ves".split(), "sio lae nui oea".split()
+    copied = text(xx)
+    data = [(text(xx), "xx") for _ in range(40)] + [(text(yy), "yy") for _ in range(3)] + [(copied, "xx")]
+    labelled = spark.createDataFrame(data, "text string, lang string")
+    many = labelled.union(spark.range(40_000).select(F.lit(copied), F.lit("xx")))
+    taken = []
+    monkeypatch.setattr(langid, "_k_means", lambda x, k, plain=langid._k_means: taken.append(len(x)) or plain(x, k))
+    models = [langid.fit(x, sample=20) for x in (labelled, many)]
+    assert taken == [20, 3, 20, 3]
+    assert np.allclose(models[0].centres, models[1].centres) and models[0].languages == models[1].languages
+
+
 def test_chunks_do_not_matter(monkeypatch):
     text = "Été  là-bas, 12 und ÜBER  viele Wörter " * 30
     whole = langid.ngram_counts(text)
