@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quayside.llm.common import stored, table
 from quayside.llm.langid import fit, held_out, with_language
 from quayside.llm.packing import best_fit
-from quayside.llm.phrases import contamination
+from quayside.llm.phrases import contamination, row_name
 from quayside.llm.secrets import with_secrets
 from quayside.llm.simhash import near_duplicates
 
@@ -62,11 +62,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents; ids are unique after the stage before."""
-    judged = contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Drop contaminated documents, named by id and text: ids may be null or repeat."""
+    judged = contamination(docs, table(spark, sf_dir, "benchmark"), named=True)
     # A table of known size: a short list is sent to the documents, which then stay where they are.
-    dirty = stored(judged.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct(), "dirty")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti").select(*_columns(docs))
+    dirty = stored(judged.where("contaminated").select(F.col("id").alias("_dirty_id"), F.col("h").alias("_dirty_h")).distinct(), "dirty")
+    name, h = row_name(docs)
+    return docs.join(dirty, (name == dirty["_dirty_id"]) & (h == dirty["_dirty_h"]), "left_anti").select(*_columns(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

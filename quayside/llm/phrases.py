@@ -46,6 +46,11 @@ def _few(words: DataFrame, most: int = 100_000) -> DataFrame | None:
     return F.broadcast(words) if words.count() <= most else None
 
 
+def row_name(docs: DataFrame) -> tuple[Column, Column]:
+    """(id, h) of a row of ``docs`` (doc_id, text): a number in the place of a null id, and the text's hash."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def phrase_matches(docs: DataFrame, phrases: DataFrame, rare: int = 2, slop: int | None = None) -> DataFrame:
     """doc_id, id, h, n_words, found for every row of ``docs`` (doc_id, text).
 
@@ -55,7 +60,8 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, rare: int = 2, slop: int
     any order, and start is the position of that word (length 1). (id, h) names rows of
     equal id and text, which get equal results.
     """
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    name, h = row_name(docs)
+    texts = docs.select("doc_id", name.alias("id"), h.alias("h"), "text")
     terms = phrases.select("phrase", F.posexplode("words").alias("off", "word"))
     wanted = stored(terms.select("word").distinct(), "wanted")
     said = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
@@ -91,8 +97,9 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, rare: int = 2, slop: int
     return met.select("doc_id", "id", "h", F.size("w").cast("long").alias("n_words"), F.transform(F.filter("c", holds), span).alias("found"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, rare: int = 2) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, rare: int = 2, named: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``,
+    and, if ``named``, the (id, h) of :func:`row_name`, which tells rows of one doc_id apart.
 
     A word inside an occurrence of a benchmark window is hit; a document is contaminated
     if it has a hit and ``share`` times its hits are at least its words. Null, empty and
@@ -115,4 +122,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
         F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", listed).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        *(["id", "h"] if named else []),
     )

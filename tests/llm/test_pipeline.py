@@ -57,6 +57,13 @@ def test_decontamination_stage(spark, steps):
     assert sorted(r.doc_id for r in steps[3].collect()) == sorted(want)
 
 
+def test_decontamination_without_ids(spark):
+    dirty = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 100").first().text
+    data = [(None, dirty), (None, "clean words only"), (None, None), (1, dirty), (1, "other clean words"), (2, "more clean words")]
+    got = pipeline.decontaminate(spark, spark.createDataFrame(data, "doc_id long, text string"), SMALL)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, (x for x in data if x[1] != dirty)))
+
+
 def test_secret_stage(steps):
     forest = secrets.train()
     before = steps[3].collect()
