@@ -4,7 +4,7 @@ Each stage is a function of (spark, docs, sf_dir) over all rows that the stage b
 kept, calls one operator of ``quayside.llm``, and applies its decision:
 
 1. language ID drops what the classifier rejects;
-2. SimHash near-dedup keeps the document of the smallest doc_id of each component;
+2. SimHash near-dedup keeps one document of each component, of its smallest doc_id;
 3. benchmark decontamination drops contaminated documents;
 4. secret scans replace secrets in ``text`` (and keep the document, with n_chars anew);
 5. best-fit packing places what is left in bins.
@@ -48,15 +48,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Fingerprints and components are found without the texts' company; the rows that stay
     are then picked by id and a hash of the text."""
     rows = docs.select(F.struct(*_columns(docs)).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    found = near_duplicates(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), keep=("h",))
+    found = near_duplicates(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), keep=("h",), rooted=True)
     heads = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    named = heads.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    # An id may stand for several components, each of which keeps a row.
+    named = heads.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.count(F.lit(1)).alias("n")).drop("root")
     nameless = heads.where(F.col("doc_id").isNull()).select("doc_id", "h", F.lit(1).alias("n")).distinct()
     picked = stored(named.unionByName(nameless), "heads")
     kept = rows.join(picked, rows["doc_id"].eqNullSafe(picked["doc_id"]) & (rows["h"] == picked["h"]), "left_semi")
     if picked.where("n > 1").limit(1).count():
-        # Some ids repeat: any one of their rows, the first in the order of its columns.
-        one = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+        # Some ids repeat: any one of the rows of an id and text, the first in the order of its columns.
+        one = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.min("row").alias("row")).select("row")
         kept = one.unionByName(kept.where(F.col("doc_id").isNull()).select("row"))
     return kept.select("row.*")
 

@@ -212,8 +212,9 @@ def linked(fps: DataFrame, budget: int = 2) -> DataFrame:
     return dealt.select("fp", "order").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, component_id and the columns ``keep`` of every row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, keep: tuple[str, ...] = (), rooted: bool = False) -> DataFrame:
+    """doc_id, fp, component_id and the columns ``keep`` of every row of ``docs`` (doc_id, text),
+    and, if ``rooted``, root: a fingerprint that names the component, where ids are null or repeat.
 
     component_id is the smallest doc_id that is reached over links of at most ``budget``
     differing bits, the row's own included. Rows with equal fingerprints belong together,
@@ -228,8 +229,8 @@ def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, keep: tupl
     classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # A component may have many classes: the minimum is made by a partial aggregate.
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *[F.col(f"_{c}").alias(c) for c in keep])
+    named = classes.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *[F.col(f"_{c}").alias(c) for c in keep], *(["root"] if rooted else []))
 
 
 def near_duplicate_rows(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,13 @@ def test_near_dedup_stage(steps):
     assert sorted(r.doc_id for r in steps[2].collect()) == sorted(set(heads))
 
 
+def test_near_dedup_with_repeated_ids(spark):
+    first, second = "one text of some words", "quite another line that says more"
+    data = [(1, first), (1, second), (1, second), (2, second), (3, "a third"), (None, first)]
+    got = pipeline.near_dedup(spark, spark.createDataFrame(data, "doc_id long, text string"), SMALL)
+    assert sorted(map(tuple, got.collect())) == [(1, first), (1, second), (3, "a third")]
+
+
 def test_decontamination_stage(spark, steps):
     windows = set()
     for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
