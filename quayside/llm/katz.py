@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, in_few_files, partition_keys, shuffle_partitions, stored
 
-#: Words and histories are named by 48 bits of their XXH64; 0 and 1 stand for an end and a start.
-NAME_BITS, END, START = 48, 0, 1
+#: Words and histories are named by their XXH64; 0 and 1 stand for an end and a start. In
+#: columns names are signed, and the counts of documents and of all tokens have names of their own.
+END, START, DOCS, TOKENS = 0, 1, -1, -2
 #: Counts up to this one are discounted by Good-Turing, larger ones keep TRUST of theirs.
 K, TRUST = 5, 0.999
 #: A word is hot if more than one token in so many is that word.
@@ -53,8 +54,8 @@ CHUNK, BUCKET, SLICE = 4_000_000, 1_500_000, 300_000
 
 def word_names(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_digest
-    names = np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64) >> np.uint64(64 - NAME_BITS)
-    return np.maximum(names, np.uint64(2))
+    names = np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64)
+    return np.clip(names, np.uint64(2), np.uint64((1 << 64) - 3))
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -135,24 +136,22 @@ def _stream(words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by chunk of training documents; word -1 counts documents, -2 tokens of all."""
+    """Counts by chunk of training documents; word DOCS counts documents, TOKENS tokens of all."""
     for _, train, words, lengths in _chunks(batches):
         w, _, d = _stream(words, lengths)
         names, counts = np.unique(w[train[d]], return_counts=True)
-        names = np.concatenate((names.astype(np.int64), [-1, -2]))
+        names = np.concatenate((names.view(np.int64), [DOCS, TOKENS]))
         counts = np.concatenate((counts, [train.sum(), len(w)]))
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
 
-def _narrow(values: np.ndarray) -> bytes:
-    """Names of NAME_BITS bits as six bytes each."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _narrow(names: np.ndarray) -> bytes:
+    """Names in ascending order as their differences, whose high bytes are mostly zero."""
+    return _planes(np.diff(names, prepend=np.uint64(0)), "<u8")
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+    return np.cumsum(_from_planes(raw, "<u8"), dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -274,7 +273,7 @@ def _evaluate(hot: np.ndarray, hot_counts: np.ndarray):
             part = slice(at, stop)
             r[part], c[part] = counted(w[part], h[part], train[part], types)
             unseen = np.flatnonzero(r[part] == 0) + at
-            yield from rows(UNSEEN, len(unseen), key=h[unseen].astype(np.int64), doc=refs[of[unseen]] + who[unseen])
+            yield from rows(UNSEEN, len(unseen), key=h[unseen].view(np.int64), doc=refs[of[unseen]] + who[unseen])
             at = stop
         del w, h, train
         yield from follow(*(np.concatenate(x) for x in zip(*types, strict=True)))
@@ -305,7 +304,7 @@ def _evaluate(hot: np.ndarray, hot_counts: np.ndarray):
         met, index = np.unique(hist, return_inverse=True)
         whole = lambda x: np.rint(np.bincount(index, weights=x, minlength=len(met))).astype(np.int64)
         sets = {f"k{i}": whole(r == i) for i in range(1, K + 1)} | {f"u{i}": whole(c == i) for i in range(1, K + 1)}
-        yield from rows(FOLLOWED, len(met), key=met.astype(np.int64), n=whole(np.where(r > K, r, 0)), heavy=whole(np.where(c > K, c, 0)), **sets)
+        yield from rows(FOLLOWED, len(met), key=met.view(np.int64), n=whole(np.where(r > K, r, 0)), heavy=whole(np.where(c > K, c, 0)), **sets)
         numbers = np.bincount(np.minimum(r, K + 2), minlength=K + 3)
         yield from rows(NUMBERS, K + 1, key=np.arange(1, K + 2), n=numbers[1 : K + 2])
 
@@ -384,30 +383,30 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     all. A null or blank text is its end alone; a repeated row counts as often as it is
     there, and each of its rows is scored. With no training rows, everything is one class
     of unknown words, of probability 1. An empty table gives no row. Words are told apart by
-    48 bits of their hash.
+    the 64 bits of their hash.
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
     words = stored(lines.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(_total("n")), "unigrams")
     small = F.least(F.col("n"), F.lit(K + 2))
-    known = words.where("word >= 0")
+    known = words.where(~F.col("word").isin(DOCS, TOKENS))
     by_count = known.groupBy(small.alias("r")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()
     nn = np.zeros(K + 3)
     for row in by_count:
         nn[row.r] = row.types
-    special = {row.word: row.n for row in words.where("word < 0").collect()}
-    uni = Unigrams(sum(row.tokens for row in by_count), sum(row.types for row in by_count), special.get(-1, 0), nn)
+    special = {row.word: row.n for row in words.where(F.col("word").isin(DOCS, TOKENS)).collect()}
+    uni = Unigrams(sum(row.tokens for row in by_count), sum(row.types for row in by_count), special.get(DOCS, 0), nn)
 
     # No more than HOT words can each have more than one token in HOT.
-    found = sorted((row.word, row.n) for row in known.where(F.col("n") * HOT > uni.tokens).collect())
+    found = sorted((row.word % (1 << 64), row.n) for row in known.where(F.col("n") * HOT > uni.tokens).collect())
     hot, hot_counts = np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64)
 
     parts = shuffle_partitions(spark)
-    buckets = max(parts, math.ceil(special.get(-2, 0) / BUCKET))
+    buckets = max(parts, math.ceil(special.get(TOKENS, 0) / BUCKET))
     dealt = lines.mapInArrow(_deal(hot, buckets, partition_keys(parts)), DEALT).repartition(parts, "key").sortWithinPartitions("bucket")
     partial = dealt.select("bucket", "chunk", "kind", "piece").mapInArrow(_evaluate(hot, hot_counts), PARTIAL_SCHEMA)
-    partial = stored(in_few_files(partial, special.get(-2, 0), BUCKET), "bigrams")
+    partial = stored(in_few_files(partial, special.get(TOKENS, 0), BUCKET), "bigrams")
 
     mm = np.zeros(K + 3)
     for row in partial.where(F.col("kind") == NUMBERS).groupBy("key").agg(F.sum("n").alias("n")).collect():
@@ -421,11 +420,11 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     freed = sum((float(r * (1 - d[r])) * F.col(f"k{r}") for r in range(1, K + 1)), F.col("n") * (1 - TRUST)) / count
     mass = sum((float(uni.light[r]) * F.col(f"u{r}") for r in range(1, K + 1)), F.col("heavy") * uni.heavy)
     histories = sums.select("key", F.log10(count * freed / (1 - mass)).alias("step"))
-    histories = stored(in_few_files(histories, special.get(-2, 0), BUCKET), "histories")
+    histories = stored(in_few_files(histories, special.get(TOKENS, 0), BUCKET), "histories")
 
     # Tokens whose bigram was not seen: log c(h) is put back and the backoff weight comes in.
     backed = partial.where(F.col("kind") == UNSEEN).select("key", "doc")
-    hot_keys = [int(x) for x in hot]
+    hot_keys = hot.view(np.int64).tolist()
     often = F.col("key").isin(hot_keys) if hot_keys else F.lit(False)
     few = histories.where(often)  # no more than HOT rows
     steps = backed.where(~often).join(histories, "key").select("doc", "step").unionByName(backed.where(often).join(F.broadcast(few), "key").select("doc", "step"))

@@ -278,6 +278,15 @@ def test_katz(docs, texts, none, monkeypatch):
     assert katz.score_documents(none).count() == 0
 
 
+def test_katz_words_of_alike_hashes(spark):
+    # The first 48 bits of their hashes are equal; that of the third has its highest bit set.
+    words = ["w10200855", "w54576069", next(w for w in map(str, range(99)) if xxhash.xxh64_intdigest(w) >> 63)]
+    data = [(1, words[0]), (2, words[1]), (3, f"{words[0]} {words[2]}")]
+    train = katz.score(spark.createDataFrame(data, "doc_id long, text string"), F.col("doc_id") == 2)
+    got = {r.doc_id: (r.n_tokens, r.n_known) for r in train.collect()}
+    assert got == {1: (2, 2), 2: (2, 1), 3: (3, 3)}
+
+
 def test_katz_without_training(docs):
     got = katz.score(docs.select("doc_id", "text"), F.lit(True)).collect()
     assert len(got) == docs.count() and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in got)
