@@ -112,28 +112,31 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return centres, (x @ centres.T).argmax(1)
 
 
-def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, most: int = 12_000, clusters: int = 6, slack: float = 0.5) -> Centroids:
+def fit(labelled: DataFrame, sample: int = 1000, languages: int | None = None, most: int = 12_000, clusters: int = 6, slack: float = 0.5) -> Centroids:
     """Fit on rows of ``labelled`` (text and lang).
 
-    Rows without a label or a letter do not count. Of each of the most frequent
-    ``languages`` up to ``sample`` texts are taken, and ``most`` of all together: those with
-    the smallest hash. Equal texts of a language are one, however often they occur. A centroid accepts what has at least ``slack``
-    times the smallest cosine that it has with its own rows. Without rows, everything is
-    ``und``. The driver gets a vector of DIMENSIONS half floats for each text taken.
+    Rows without a label or a letter do not count. Of each language (of the ``languages``
+    with the most texts, if that is given) up to ``sample`` texts are taken, and ``most`` of
+    all together, but one of each language at least: those with the smallest hash. Equal
+    texts of a language are one, however often they occur. A centroid accepts what has at
+    least ``slack`` times the smallest cosine that it has with its own rows. Without rows,
+    everything is ``und``. The driver gets a vector of DIMENSIONS half floats for each text
+    taken.
     """
     nothing = Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
     # Equal texts are taken once, so they count once too, or a much copied text would use up its language's share.
     keys = stored(rows.select("lang", "h").distinct(), "labelled")
-    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    counts = (counts if languages is None else counts.limit(languages)).collect()
     if not counts:
         return nothing
-    wanted = min(sample, most // max(1, len(counts)))
+    wanted = max(1, min(sample, most // len(counts)))
 
     def within(df: DataFrame, limits: dict) -> DataFrame:
         """Rows of a hash, without its lowest bit, up to the limit of their language."""
-        limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-        return df.where(F.col("lang").isin(list(limits)) & (F.shiftrightunsigned("h", 1) <= F.element_at(limit, F.col("lang"))))
+        of = labelled.sparkSession.createDataFrame(list(limits.items()), "lang string, _limit long")
+        return df.join(F.broadcast(of), "lang").where(F.shiftrightunsigned("h", 1) <= F.col("_limit")).drop("_limit")
 
     # Hashes are even, so a share of them gives a sample of a known size without a sort. Some
     # more than wanted are looked at, and more again of a language that has too few of them.
@@ -149,11 +152,9 @@ def fit(labelled: DataFrame, sample: int = 1000, languages: int = 200, most: int
                 own, limit = sorted(hashes[r.lang]), open_limits[r.lang]
                 if len(own) < min(wanted, r.n) and limit < 2**63 - 1:
                     again[r.lang] = min(2 * limit + 1, 2**63 - 1)
-                elif wanted:
+                else:
                     least[r.lang] = own[min(wanted, r.n) - 1]
         open_limits = again
-    if not least:
-        return nothing
 
     @F.pandas_udf("binary")
     def vector(texts):

@@ -368,6 +368,13 @@ def test_language_copies_do_not_use_up_the_sample(spark, monkeypatch):
     assert np.allclose(models[0].centres, models[1].centres) and models[0].languages == models[1].languages
 
 
+def test_every_language_is_learned(spark):
+    data = [(f"{chr(97 + i % 26) * 5} {chr(97 + i // 26) * 7} w{chr(98 + i % 26)}{chr(99 + i // 26)}", f"l{i}") for i in range(230)]
+    labelled = spark.createDataFrame(data, "text string, lang string")
+    assert set(langid.fit(labelled).languages) == {lang for _, lang in data}
+    assert set(langid.fit(labelled, most=100).languages) == {lang for _, lang in data}
+
+
 def test_chunks_do_not_matter(monkeypatch):
     text = "Été  là-bas, 12 und ÜBER  viele Wörter " * 30
     whole = langid.ngram_counts(text)
