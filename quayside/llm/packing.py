@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .simhash import near_duplicates
 
 
 class Bins:
@@ -83,7 +84,7 @@ def _pack_shard(capacity: int):
     return run
 
 
-def best_fit(docs: DataFrame, capacity: int = 8192, shard_rows: int = 2500, cluster: Column | None = None) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 8192, shard_rows: int = 2500, cluster: Column | None = None, near: bool = False) -> DataFrame:
     """doc_id, piece, n_bytes, bin_id, offset: where each piece of each row of ``docs``
     (doc_id, text, source) lies.
 
@@ -91,11 +92,14 @@ def best_fit(docs: DataFrame, capacity: int = 8192, shard_rows: int = 2500, clus
     a null or empty text has one piece of no bytes. Of a text of several pieces each is in
     a bin of its own, as they are of one source and cluster. Without a source there is no
     conflict of sources; ``cluster`` says which rows are duplicates (equal texts by
-    default), null for none. bin_id is "<shard>-<bin>". Repeated rows are placed each for
+    default), null for none; with ``near`` those are the components of near duplicates. bin_id is "<shard>-<bin>". Repeated rows are placed each for
     itself; other columns are left out; an empty table gives no row.
     """
     own = F.coalesce("text", F.lit(""))
-    slim = docs.select(F.col("doc_id"), F.octet_length(own).alias("n"), F.col("source").cast("string").alias("source"), (F.xxhash64(own) if cluster is None else cluster).alias("cluster"), F.xxhash64(own).alias("h"))
+    slim = docs.select("doc_id", "text", F.octet_length(own).alias("n"), F.col("source").cast("string").alias("source"), (F.xxhash64(own) if cluster is None else cluster).alias("cluster"), F.xxhash64(own).alias("h"))
+    if near:
+        slim = near_duplicates(slim, keep=("n", "source", "h"), rooted=True).withColumnRenamed("root", "cluster")
+    slim = slim.select("doc_id", "n", "source", "cluster", "h")
     pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int") - 1))
     slim = slim.withColumn("piece", pieces).withColumn("n_bytes", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("int")).drop("n")
     slim = stored(slim, "pieces")

@@ -20,7 +20,7 @@ from .warc import archive_pages
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents"))
+    return best_fit(table(spark, sf_dir, "documents"), near=True)
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

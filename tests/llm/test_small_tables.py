@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quayside.llm import katz, langid, packing, phrases, secrets, simhash, suffixes, topk, warc
+from quayside.llm import katz, langid, packing, phrases, queries, secrets, simhash, suffixes, topk, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, row string, _dirty int, clean_text string, h int, key string"
@@ -330,6 +330,21 @@ def test_best_fit_takes_the_tightest_compatible_bin(seed):
         bins[want].append((size, s, c))
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    copies = [" ".join([*words[:k], "changed", *words[k:]]) for k in range(0, 400, 8)]
+    data = [(i, t, f"s{i}") for i, t in enumerate([*copies, *(f"small text {i}" for i in range(30))])]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(set(of.values())) < len(of)
+    got = queries.op1_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(data)
+    held = collections.Counter((r.bin_id, of[r.doc_id]) for r in got)
+    assert max(held.values()) == 1
+
+
 # Language ID and secrets
 
 
