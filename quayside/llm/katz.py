@@ -1,30 +1,32 @@
-"""Language-model scoring with Katz backoff over bigrams.
+"""Language-model scoring with Katz backoff.
 
-Tables, partitioned by word or history, hold Good-Turing discounted counts:
+Tables of n-grams hold Good-Turing discounted counts:
 
 * a word w seen r times has P(w) = d(r) * r / N, scaled so that the words and the one
   class of unknown words, which gets n1 / N, sum to exactly 1;
-* a bigram (h, w) seen r times has P(w | h) = d'(r) * r / c(h); a bigram that was not
-  seen has a(h) * P(w), where a(h) makes the sum over all words exactly 1. After a
-  history that was not seen, P(w | h) = P(w).
-
-The evaluation goes the same way: each token asks the bigram table, and only what is
-missing there goes on to the backoff weight of its history and to the word's own entry.
-
-How it is spread. Tokens of all documents are dealt out by word, so that one shuffle
-brings together all that is said about a word: its count, the counts of its bigrams, and
-the tokens to be scored. Words above one in ``HOT`` tokens (there can be no more than
-``HOT`` of them) have their count broadcast and their tokens dealt out by bigram. What a
-history needs, its total and the mass of the words seen after it, is summed from integer
-counts by history afterwards. Tokens travel as columns: a chunk of documents sends each
-bucket one compressed piece, and gets the two counts of each token back in the same way.
-So a document's sums are made where its chunk is, from a few bytes a token, however many
-buckets there are.
+* an n-gram (h, w) seen r times has P(w | h) = d(r) * r / c(h); one that was not seen has
+  a(h) * P(w | h'), h' being h without its first word, where a(h) makes the sum over all
+  words exactly 1. After a history that was not seen, P(w | h) = P(w | h').
+
+The evaluation goes the same way: each token asks for its longest n-gram, and only what is
+missing there goes on to the backoff weight of its history and to the next shorter one.
+
+Two tables are written, both dealt out by the name of an n-gram: ``grams`` (order, gram, n)
+and ``histories`` (order, gram, n, weight). :func:`fit` gives them as a :class:`Model`, which
+scores any text; :func:`score` makes them from some rows and scores all in the same passes.
+
+How it is spread. A chunk of documents counts its own n-grams first and sends each bucket
+(a range of names) one compressed piece with every name once, so a frequent n-gram costs an
+entry a chunk, however often it occurs. The bucket adds up and answers in the order of the
+question. Each n-gram is given to one of the chunks that has it; that chunk says, in the same
+manner, what the n-gram adds to its history, and asks for the weights that its held-out
+tokens need. A bucket keeps the n-grams it has met, merged as pieces come, and the pieces;
+so neither a frequent word nor a history with many followers gathers in a task.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,29 +35,27 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, in_few_files, partition_keys, shuffle_partitions, stored
 
-#: Words and histories are named by their XXH64; 0 and 1 stand for an end and a start. In
-#: columns names are signed, and the counts of documents and of all tokens have names of their own.
-END, START, DOCS, TOKENS = 0, 1, -1, -2
+#: Words are named by their XXH64, longer n-grams by a 64-bit mix of their words' names; 0 and
+#: 1 stand for an end and a start. In columns names are signed.
+END, START = 0, 1
 #: Counts up to this one are discounted by Good-Turing, larger ones keep TRUST of theirs.
 K, TRUST = 5, 0.999
-#: A word is hot if more than one token in so many is that word.
-HOT = 1000
-#: A document is named by the partition that it is scanned in, its chunk there, and its place in that.
-PART_SHIFT, DOC_SHIFT = 20, 24
-CHUNK_DOCS = 1 << DOC_SHIFT - 1
-#: Characters of text that are tokenised at once, tokens that a bucket should hold, and that are counted at once.
-CHUNK, BUCKET, SLICE = 4_000_000, 1_500_000, 300_000
+#: A chunk is named by the partition that it is scanned in and its place there.
+CHUNK_SHIFT = 32
+#: Characters and documents of a chunk at most, characters of text (times orders) that a
+#: bucket stands for, and entries that are merged at once.
+CHUNK, CHUNK_DOCS, BUCKET, MERGE = 4_000_000, 1 << 20, 12_000_000, 1_000_000
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_digest
     names = np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64)
-    return np.clip(names, np.uint64(2), np.uint64((1 << 64) - 3))
+    return np.maximum(names, np.uint64(2))
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -67,41 +67,90 @@ def discounts(n: np.ndarray) -> np.ndarray:
     """Katz's d(0..K) from counts of counts n[r], r to K + 1; d(0) is not used.
 
     Where the counts are too few or too uneven for Good-Turing, r / (r + 1) stands in:
-    any value in (0, 1] keeps the model exactly normalised.
+    any value in (0, 1) keeps the model exactly normalised.
     """
     d = np.ones(K + 1)
     top = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
     for r in range(1, K + 1):
         good = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if n[r] and top < 1 else 0.0
-        d[r] = good if 0 < good <= 1 else r / (r + 1)
+        d[r] = good if 0 < good < 1 else r / (r + 1)
     return d
 
 
 @dataclass
-class Unigrams:
-    """What is known of single words: totals, and the probability of each count."""
+class Stats:
+    """What is known of all n-grams together: totals, and counts of counts by order."""
 
     tokens: int
     types: int
     docs: int
-    counts_of_counts: np.ndarray
+    counts_of_counts: list[np.ndarray]
 
     def __post_init__(self) -> None:
-        d = discounts(self.counts_of_counts)
-        n, small = self.counts_of_counts, np.arange(1, K + 1)
-        light = d[1:] * small
+        self.d = [discounts(n) for n in self.counts_of_counts]
+        n, small = self.counts_of_counts[0], np.arange(1, K + 1)
+        light = self.d[0][1:] * small
         kept = float((n[1 : K + 1] * light).sum()) + TRUST * float(self.tokens - (n[1 : K + 1] * small).sum())
         self.unknown = (n[1] if n[1] else 1) / (self.tokens + (0 if n[1] else 1)) if self.tokens else 1.0
         if self.unknown >= 1 and self.tokens:  # every training token is a word of its own
             self.unknown = self.tokens / (self.tokens + 1)
-        self.scale = (1 - self.unknown) / kept if kept else 0.0
+        scale = (1 - self.unknown) / kept if kept else 0.0
         #: P(w) for counts to K; beyond, P(w) = heavy * count.
-        self.light = np.concatenate(([self.unknown], light * self.scale))
-        self.heavy = TRUST * self.scale
+        self.light = np.concatenate(([self.unknown], light * scale))
+        self.heavy = TRUST * scale
+
+    @property
+    def order(self) -> int:
+        return len(self.d)
 
     def log_p(self, counts: np.ndarray) -> np.ndarray:
-        p = np.where(counts <= K, self.light[np.minimum(counts, K)], self.heavy * counts)
-        return np.log10(p)
+        """Logarithm of a single word's probability, from its count."""
+        return np.log10(np.where(counts <= K, self.light[np.minimum(counts, K)], self.heavy * counts))
+
+    def log_kept(self, order: int, counts: np.ndarray) -> np.ndarray:
+        """Logarithm of what the discount leaves of a count above 0."""
+        return np.log10(np.where(counts <= K, self.d[order - 1][np.minimum(counts, K)], TRUST) * counts)
+
+    def weights(self, order: int, sums: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Logarithms of the backoff weights of histories of n-grams of an order, from :data:`SUMS`."""
+        seen, heavy, lower, lower_heavy = sums[:, :K], sums[:, K], sums[:, K + 1 : 2 * K + 1], sums[:, 2 * K + 1]
+        small, d = np.arange(1, K + 1), self.d[order - 1][1:]
+        # What the discounts took, summed without cancellation, and the mass below of the words seen.
+        freed = (seen @ (small * (1 - d)) + (1 - TRUST) * heavy) / (seen @ small + heavy)
+        if order == 2:
+            mass = lower @ self.light[1:] + lower_heavy * self.heavy
+        else:
+            mass = (lower @ (small * self.d[order - 2][1:]) + TRUST * lower_heavy) / below
+        return np.log10(freed / (1 - mass))
+
+    def to_json(self) -> str:
+        return json.dumps({"tokens": self.tokens, "types": self.types, "docs": self.docs, "counts_of_counts": [n.tolist() for n in self.counts_of_counts]})
+
+    @classmethod
+    def from_json(cls, text: str) -> Stats:
+        said = json.loads(text)
+        return cls(said["tokens"], said["types"], said["docs"], [np.array(n) for n in said["counts_of_counts"]])
+
+
+@dataclass
+class Model:
+    """The tables, and the statistics of both: ``grams`` (order, gram, n) and ``histories``
+    (order, gram, n, weight), whose order is that of the n-grams that they are histories of."""
+
+    stats: Stats
+    grams: DataFrame
+    histories: DataFrame
+
+    def write(self, path: str) -> None:
+        """Store both tables under ``path``, partitioned by order."""
+        for name in ("grams", "histories"):
+            getattr(self, name).write.partitionBy("order").parquet(f"{path}/{name}")
+        self.grams.sparkSession.createDataFrame([(self.stats.to_json(),)], "stats string").write.parquet(f"{path}/stats")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Model:
+        stats = Stats.from_json(spark.read.parquet(f"{path}/stats").first()[0])
+        return cls(stats, *(spark.read.parquet(f"{path}/{name}") for name in ("grams", "histories")))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list[bytes], np.ndarray]]:
@@ -123,40 +172,36 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         yield ids, np.array(train), words, np.array(lengths)
 
 
-def _stream(words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, history, document index) of every token, ends included."""
-    names = word_names(words)
-    ends = np.cumsum(lengths)
-    w = np.insert(names, ends, END)  # an end after the words of each document
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[starts] = START
-    return w, h, np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths + 1)
-
+def _joined(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The name of an n-gram, from those of its history and its last word."""
+    z = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(32))
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by chunk of training documents; word DOCS counts documents, TOKENS tokens of all."""
-    for _, train, words, lengths in _chunks(batches):
-        w, _, d = _stream(words, lengths)
-        names, counts = np.unique(w[train[d]], return_counts=True)
-        names = np.concatenate((names.view(np.int64), [DOCS, TOKENS]))
-        counts = np.concatenate((counts, [train.sum(), len(w)]))
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
-
-def _narrow(names: np.ndarray) -> bytes:
-    """Names in ascending order as their differences, whose high bytes are mostly zero."""
-    return _planes(np.diff(names, prepend=np.uint64(0)), "<u8")
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    return np.cumsum(_from_planes(raw, "<u8"), dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(32))
+@dataclass
+class _Tokens:
+    """Tokens of a chunk, ends included: the document of each, where documents start, and by
+    order (from 1) the names of its n-gram and of the history of that."""
+
+    doc: np.ndarray
+    starts: np.ndarray
+    grams: list[np.ndarray]
+    before: list[np.ndarray]
+
+    @classmethod
+    def of(cls, words: np.ndarray, lengths: np.ndarray, order: int) -> _Tokens:
+        w = np.insert(words, np.cumsum(lengths), np.uint64(END))  # an end after the words of each document
+        starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])).astype(np.int64)
+        grams, before, start = [w], [np.zeros(0, np.uint64)], np.full(1, START, np.uint64)
+        for _ in range(order - 1):
+            h = np.empty_like(w)
+            h[1:] = grams[-1][:-1]
+            h[starts] = start
+            before.append(h)
+            grams.append(_joined(h, w))
+            start = _joined(start, np.full(1, START, np.uint64))
+        return cls(np.repeat(np.arange(len(lengths)), lengths + 1), starts, grams, before)
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
@@ -170,6 +215,15 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
 
 
+def _narrow(names: np.ndarray) -> bytes:
+    """Names in ascending order as their differences, whose high bytes are mostly zero."""
+    return _planes(np.diff(names, prepend=np.uint64(0)), "<u8")
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, "<u8"), dtype=np.uint64)
+
+
 def _packed(parts: list[bytes]) -> bytes:
     head = np.array([len(p) for p in parts], "<u4").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
@@ -184,261 +238,387 @@ def _unpacked(raw: bytes, n: int) -> list[bytes]:
     return parts
 
 
-DEALT = "key int, bucket int, chunk long, kind int, piece binary"
-#: Kinds of pieces and of partial results. Of a chunk: its documents, and a bucket's answers
-#: for its tokens. UNSEEN: a token (history, document) to be backed off. FOLLOWED: sums of a
-#: history. NUMBERS: how many bigrams there are of each count.
-LISTED, ANSWERED, UNSEEN, FOLLOWED, NUMBERS = range(5)
+def _slices(names: list[np.ndarray], buckets: int) -> Iterator[tuple[int, list[slice]]]:
+    """Each bucket that one of the ascending lists has names of, and its part of every list."""
+    of = [((n >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) for n in names]
+    met = np.unique(np.concatenate(of))
+    cuts = [(np.searchsorted(b, met), np.searchsorted(b, met, side="right")) for b in of]
+    for i, b in enumerate(met.tolist()):
+        yield b, [slice(int(lo[i]), int(hi[i])) for lo, hi in cuts]
+
+
+class _Table:
+    """Names with integers that add up and one that stays as it first came; merged as it grows."""
+
+    def __init__(self, width: int):
+        self.names, self.sums, self.first = np.zeros(0, np.uint64), np.zeros((0, width), np.int64), np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, names: np.ndarray, sums: np.ndarray, first: np.ndarray) -> None:
+        self.held.append((names, sums, first))
+        self.size += len(names)
+        if self.size > MERGE + len(self.names):
+            self.settle()
+
+    def settle(self) -> _Table:
+        if self.size:
+            names, sums, first = (np.concatenate(x) for x in zip((self.names, self.sums, self.first), *self.held, strict=True))
+            order = np.argsort(names, kind="stable")
+            names = names[order]
+            new = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+            self.names, self.sums, self.first = names[new], np.add.reduceat(sums[order], new, axis=0), first[order][new]
+        self.held, self.size = [], 0
+        return self
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it there, where) of each name."""
+        if not len(self.names):
+            return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return self.names[at] == names, at
+
+
+#: Kinds of rows. Of a chunk: LISTED, its documents; COUNTED, counts of its n-grams for a
+#: bucket, and the bucket's answer; FOLLOWED, what its n-grams add to histories of a bucket, with
+#: the weights that it asks for, and the answer; JUDGED, its documents' sums without weights.
+#: GRAM and HISTORY are rows of the tables, NUMBER counts of counts (TYPES, TOKENS and DOCS too).
+LISTED, COUNTED, FOLLOWED, JUDGED, GRAM, HISTORY, NUMBER = range(7)
+TYPES, TOKENS, DOCS = -1, -2, -3
+#: Rows of a stored table stand for a chunk of this name, which is not answered.
+MODEL = -1
+DEALT = pa.schema([("key", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("piece", pa.binary())])
+SAID = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("order", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("piece", pa.binary())])
+DEALT_SQL = "key int, bucket int, chunk long, kind int, piece binary"
+SAID_SQL = "kind int, chunk long, bucket int, order int, gram long, n long, weight double, piece binary"
+#: Of a history: how many n-grams were seen 1 to K times, the counts of those seen more often;
+#: the same of the n-grams without their first word.
+SUMS = 2 * (K + 1)
+
+
+def _batches(schema: pa.Schema, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 1024):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1024], strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _table_rows(kind: int, order: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    height = len(columns["n"])
+    for i in range(0, height, 1 << 17):
+        size = min(1 << 17, height - i)
+        whole = {"kind": pa.array(np.full(size, kind, np.int32)), "order": pa.array(np.full(size, order, np.int32))} | {c: pa.array(x[i : i + size]) for c, x in columns.items()}
+        yield pa.RecordBatch.from_arrays([whole[f.name] if f.name in whole else pa.nulls(size, f.type) for f in SAID], schema=SAID)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
+    """Rows (chunk, kind, bucket, piece) that share a number; they come one group after another."""
+    last, held = None, []
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("chunk", "kind", "bucket"))
+        for number, *row, piece in zip(batch.column(by).to_pylist(), *columns, batch.column("piece"), strict=True):
+            if number != last and held:
+                yield last, held
+                held = []
+            last = number
+            held.append((*row, piece.as_py()))
+    if held:
+        yield last, held
+
 
+def _home(chunk: int, buckets: int) -> int:
+    return ((chunk >> CHUNK_SHIFT) + chunk) % buckets
 
-def _deal(hot: np.ndarray, buckets: int, keys: list[int]):
-    """Send every token to the bucket of its word, or of its bigram if the word is hot.
 
-    A chunk is named by its partition and its place in it; partitions are those of the
+def _deal(order: int, buckets: int, keys: list[int]):
+    """Count a chunk's n-grams and send them to their buckets. Partitions are those of the
     scan, so a task that runs again names its chunks as before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << PART_SHIFT
+        chunk = TaskContext.get().partitionId() << CHUNK_SHIFT
         for ids, train, words, lengths in _chunks(batches):
-            w, h, d = _stream(words, lengths)
-            seed = w.copy()
-            if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w
-                seed[is_hot] ^= _mix(h[is_hot])
-            bucket = ((_mix(seed) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((w, bucket))
-            w, h, d, bucket = w[order], h[order], d[order], bucket[order]
-            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            home = chunk % buckets
-            listed = _packed([np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), train.astype(np.uint8).tobytes()])
-            out = [(keys[home % len(keys)], home, chunk, LISTED, listed)]
-            for a, b in zip(edges, [*edges[1:], len(w)], strict=True):
-                at = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1])))
-                names, index = np.unique(h[a:b], return_inverse=True)
-                runs = np.diff(np.append(at, b - a))
-                piece = _packed([_narrow(w[a:b][at]), _planes(runs, "<u4"), _narrow(names), _planes(index, "<u4"), _planes(d[a:b] * 2 + train[d[a:b]], "<u4")])
-                b0 = int(bucket[a])
-                out.append((keys[b0 % len(keys)], b0, chunk, ANSWERED, piece))
-            for i in range(0, len(out), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 1024], strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "bucket", "chunk", "kind", "piece"])
+            names, index = np.unique(word_names(words), return_inverse=True)
+            tokens = _Tokens.of(names[index], lengths, order)
+            listed = [np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), train.astype(np.uint8).tobytes(), _planes(lengths, "<u8"), _narrow(names), _planes(index, "<u4")]
+            rows = [(keys[_home(chunk, buckets) % len(keys)], _home(chunk, buckets), chunk, LISTED, _packed(listed))]
+            held, own = train[tokens.doc], []
+            for grams in tokens.grams:
+                met, at = np.unique(grams, return_inverse=True)
+                own.append((met, np.bincount(at[held], minlength=len(met))))
+            for b, cuts in _slices([met for met, _ in own], buckets):
+                piece = [raw for cut, (met, counts) in zip(cuts, own, strict=True) for raw in (_narrow(met[cut]), _planes(counts[cut], "<u4"))]
+                rows.append((keys[b % len(keys)], b, chunk, COUNTED, _packed(piece)))
+            yield from _batches(DEALT, rows)
             chunk += 1
 
     return run
 
 
-def _open(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Word, history, document in its chunk, training flag and number of the piece of each token."""
-    ws, hs, ds, of = [], [], [], []
-    for i, piece in enumerate(pieces):
-        w, runs, names, index, d = _unpacked(piece, 5)
-        ws.append(np.repeat(_wide(w), _from_planes(runs, "<u4")))
-        hs.append(_wide(names)[_from_planes(index, "<u4")])
-        ds.append(_from_planes(d, "<u4"))
-        of.append(np.full(len(ds[-1]), i, np.uint32))
-    d = np.concatenate(ds)
-    return np.concatenate(ws), np.concatenate(hs), d >> np.uint32(1), (d & np.uint32(1)).astype(np.uint8), np.concatenate(of)
-
-
-SMALL = [f"k{r}" for r in range(1, K + 1)]
-LIGHT = [f"u{r}" for r in range(1, K + 1)]
-#: Columns that a kind lacks are null.
-PARTIAL_SCHEMA = "kind int, key long, doc long, " + ", ".join(f"{c} long" for c in (*SMALL, "n", *LIGHT, "heavy")) + ", piece binary"
-
-
-def _evaluate(hot: np.ndarray, hot_counts: np.ndarray):
-    """Count a bucket at a time, and answer its chunks."""
-    names = [c.strip().split(" ")[0] for c in PARTIAL_SCHEMA.split(",")]
-
-    def rows(kind: int, height: int, /, **columns) -> Iterator[pa.RecordBatch]:
-        for i in range(0, height, 1 << 18):
-            size = min(1 << 18, height - i)
-            arrays = []
-            for c in names:
-                t = pa.binary() if c == "piece" else pa.int32() if c == "kind" else pa.int64()
-                arrays.append(pa.array(np.full(size, kind, np.int32)) if c == "kind" else pa.array(columns[c][i : i + size], t) if c in columns else pa.nulls(size, t))
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    def bucket(chunks: list[int], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-        w, h, who, train, of = _open(pieces)
-        order = np.lexsort((h, w))
-        w, h, who, train, of = w[order], h[order], who[order], train[order], of[order]
-        del order
-        refs = np.array(chunks, np.int64) << DOC_SHIFT
-        edges = np.append(np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))), len(w))
-        r, c = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-        types: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at = 0
-        while at < len(w):  # whole words, few tokens at a time
-            stop = int(edges[min(np.searchsorted(edges, at + SLICE), len(edges) - 1)])
-            part = slice(at, stop)
-            r[part], c[part] = counted(w[part], h[part], train[part], types)
-            unseen = np.flatnonzero(r[part] == 0) + at
-            yield from rows(UNSEEN, len(unseen), key=h[unseen].view(np.int64), doc=refs[of[unseen]] + who[unseen])
-            at = stop
-        del w, h, train
-        yield from follow(*(np.concatenate(x) for x in zip(*types, strict=True)))
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(len(pieces) + 1))
-        for i, chunk in enumerate(chunks):
-            own = order[cuts[i] : cuts[i + 1]]
-            answer = _packed([_planes(who[own], "<u4"), _planes(r[own], "<i8"), _planes(c[own], "<i8")])
-            yield from rows(ANSWERED, 1, key=[chunk], piece=[answer])
-
-    def counted(w, h, train, types) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of each token's bigram and word."""
-        new_w = np.concatenate(([True], w[1:] != w[:-1]))
-        new = new_w | np.concatenate(([True], h[1:] != h[:-1]))
-        held = train.astype(np.int64)
-        big = np.add.reduceat(held, np.flatnonzero(new))
-        count = np.add.reduceat(held, np.flatnonzero(new_w))
-        own = w[new_w]
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-            count = np.where(hot[at] == own, hot_counts[at], count)
-        c = count[np.cumsum(new_w) - 1]
-        seen = big > 0
-        types.append((h[new][seen], big[seen], c[new][seen]))
-        return big[np.cumsum(new) - 1], c
-
-    def follow(hist, r, c) -> Iterator[pa.RecordBatch]:
-        met, index = np.unique(hist, return_inverse=True)
-        whole = lambda x: np.rint(np.bincount(index, weights=x, minlength=len(met))).astype(np.int64)
-        sets = {f"k{i}": whole(r == i) for i in range(1, K + 1)} | {f"u{i}": whole(c == i) for i in range(1, K + 1)}
-        yield from rows(FOLLOWED, len(met), key=met.view(np.int64), n=whole(np.where(r > K, r, 0)), heavy=whole(np.where(c > K, c, 0)), **sets)
-        numbers = np.bincount(np.minimum(r, K + 2), minlength=K + 3)
-        yield from rows(NUMBERS, K + 1, key=np.arange(1, K + 2), n=numbers[1 : K + 2])
+def _deal_table(kind: int, order: int, buckets: int, keys: list[int]):
+    """Rows (order, gram, n or weight) of a stored table as pieces for their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, chunks, held = None, [], []
         for batch in batches:
-            for which, chunk, kind, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if kind == LISTED:
-                    yield from rows(LISTED, 1, key=[chunk], piece=[piece.as_py()])
-                    continue
-                if which != last and held:
-                    yield from bucket(chunks, held)
-                    chunks, held = [], []
-                last = which
-                chunks.append(chunk)
-                held.append(piece.as_py())
-        if held:
-            yield from bucket(chunks, held)
+            of, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            value = batch.column(2).to_numpy()
+            own = []
+            for o in range(1 if kind == COUNTED else 2, order + 1):
+                at = np.flatnonzero(of == o)
+                at = at[np.argsort(grams[at])]
+                own.append((grams[at], value[at]))
+            rows = []
+            for b, cuts in _slices([met for met, _ in own], buckets):
+                piece = [raw for cut, (met, x) in zip(cuts, own, strict=True) for raw in (_narrow(met[cut]), x[cut].astype("<i8" if kind == COUNTED else "<f8").tobytes())]
+                rows.append((keys[b % len(keys)], b, MODEL, kind, _packed(piece)))
+            yield from _batches(DEALT, rows)
 
     return run
 
 
-SUMS = ["n", "known", *SMALL]
-GATHERED = "doc long, doc_id long, held boolean, " + ", ".join(f"{c} long" for c in SUMS) + ", base double, fixed double"
-
-
-def _gather(uni: Unigrams):
-    """Sums of each document from the answers for its chunk. Rows come in the order of chunks."""
-
-    def chunk(name: int, listed: bytes | None, answers: list[bytes]) -> pa.RecordBatch:
-        ids, null, train = _unpacked(listed, 3)
-        ids, null, train = np.frombuffer(ids, "<i8"), np.frombuffer(null, np.uint8) > 0, np.frombuffer(train, np.uint8) > 0
-        size = len(ids)
-        whole, real = np.zeros((len(SUMS), size)), np.zeros((2, size))
-        for answer in answers:
-            who, r, c = (_from_planes(x, t) for x, t in zip(_unpacked(answer, 3), ("<u4", "<i8", "<i8"), strict=True))
-            total = lambda x: np.bincount(who, weights=x, minlength=size)  # noqa: B023, E731
-            real[0] += total(np.log10((c + 1.0) / (uni.tokens + 1.0 * (uni.types + 1))))
-            # Each token but an end is the history of the next one.
-            real[1] += total(np.where(r > K, np.log10(np.maximum(r, 1) * TRUST), np.where(r > 0, np.log10(np.maximum(r, 1)), uni.log_p(c))) - np.log10(np.maximum(c, 1)))
-            whole[0] += np.bincount(who, minlength=size)
-            whole[1] += total(c > 0)
-            for i in range(1, K + 1):
-                whole[i + 1] += total(r == i)
-        real[1] += math.log10(max(uni.docs, 1))  # the end is no history
-        refs = (name << DOC_SHIFT) + np.arange(size)
-        arrays = [pa.array(refs), pa.array(ids, pa.int64(), mask=null), pa.array(~train), *[pa.array(np.rint(x).astype(np.int64)) for x in whole], *map(pa.array, real)]
-        return pa.RecordBatch.from_arrays(arrays, names=[c.strip().split(" ")[0] for c in GATHERED.split(",")])
+def _count(order: int, emit: bool):
+    """Add up a bucket's n-grams and answer its chunks: twice the count of each n-gram, and one
+    more for the chunk that it is given to."""
+
+    def bucket(which: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(SAID, [(LISTED, chunk, which, None, None, None, None, piece) for chunk, kind, _, piece in rows if kind == LISTED])
+        pieces = [(chunk, piece) for chunk, kind, _, piece in rows if kind == COUNTED]
+        tables = [_Table(1) for _ in range(order)]
+        for i, (chunk, piece) in enumerate(pieces):
+            parts = _unpacked(piece, 2 * order)
+            for o, table in enumerate(tables):
+                names, counts = _wide(parts[2 * o]), np.frombuffer(parts[2 * o + 1], "<i8") if chunk == MODEL else _from_planes(parts[2 * o + 1], "<u4").astype(np.int64)
+                seen = counts > 0
+                table.add(names[seen], counts[seen][:, None], np.full(int(seen.sum()), i))
+        for o, table in enumerate(tables):
+            counts = table.settle().sums[:, 0]
+            if emit:
+                yield from _table_rows(GRAM, o + 1, gram=table.names.view(np.int64), n=counts)
+                numbers = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+                ends = counts[table.names == END] if o == 0 else counts[:0]
+                said = [*enumerate(numbers, 1), (TYPES, len(counts)), (TOKENS, int(counts.sum())), (DOCS, int(ends.sum()))]
+                yield from _batches(SAID, [(NUMBER, None, which, o + 1, r, n, None, None) for r, n in said if n])
+        for i, (chunk, piece) in enumerate(pieces):
+            if chunk == MODEL:
+                continue
+            parts, answer = _unpacked(piece, 2 * order), []
+            for o, table in enumerate(tables):
+                there, at = table.find(_wide(parts[2 * o]))
+                answer.append(_planes(np.where(there, 2 * table.sums[at, 0] + (table.first[at] == i), 0) if len(table.names) else np.zeros(len(there), np.int64), "<u8"))
+            yield from _batches(SAID, [(COUNTED, chunk, which, None, None, None, None, _packed(answer))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, listed, answers = None, None, []
-        for batch in batches:
-            for name, kind, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if name != last and listed is not None:
-                    yield chunk(last, listed, answers)
-                    listed, answers = None, []
-                last = name
-                if kind == LISTED:
-                    listed = piece.as_py()
-                else:
-                    answers.append(piece.as_py())
-        if listed is not None:
-            yield chunk(last, listed, answers)
+        for which, rows in _groups(batches, "bucket"):
+            yield from bucket(which, rows)
+
+    return run
+
+
+def _classes(counts: np.ndarray, at: np.ndarray, height: int) -> list[np.ndarray]:
+    """Of each of ``height`` groups: how many counts are 1 to K, and the sum of the larger ones."""
+    light = [np.bincount(at[counts == r], minlength=height) for r in range(1, K + 1)]
+    big = counts > K
+    heavy = np.zeros(height, np.int64)
+    np.add.at(heavy, at[big], counts[big])
+    return [*light, heavy]
+
+
+def _judge(stats: Stats, buckets: int, keys: list[int], learn: bool):
+    """A chunk's sums from its counts; what its n-grams add to histories, and the weights it needs."""
+    order = stats.order
+
+    def chunk(name: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        (listed,) = (piece for _, kind, _, piece in rows if kind == LISTED)
+        ids, null, train, lengths, names, index = _unpacked(listed, 6)
+        lengths = _from_planes(lengths, "<u8").astype(np.int64)
+        tokens, size = _Tokens.of(_wide(names)[_from_planes(index, "<u4")], lengths, order), len(lengths)
+        answers = [_unpacked(piece, order) for _, kind, _, piece in rows if kind == COUNTED]
+        said = [np.concatenate([_from_planes(a[o], "<u8") for a in answers]).astype(np.int64) for o in range(order)]
+        counts, mine = [], []
+        for o, grams in enumerate(tokens.grams):
+            _, where, at = np.unique(grams, return_index=True, return_inverse=True)
+            counts.append(said[o][at] >> 1)
+            mine.append(where[(said[o] & 1) > 0])
+        # How often the history of each token was followed, by order; that of a first token by documents.
+        past = [np.zeros(0, np.int64)]
+        for o in range(1, order):
+            c = np.empty_like(counts[0])
+            c[1:] = counts[o - 1][:-1]
+            c[tokens.starts] = stats.docs
+            past.append(c)
+        out, open_ = np.zeros(len(tokens.doc)), np.ones(len(tokens.doc), bool)
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        for o in range(order, 1, -1):
+            seen = open_ & (counts[o - 1] > 0)
+            out[seen] += stats.log_kept(o, counts[o - 1][seen]) - np.log10(past[o - 1][seen])
+            open_ &= ~seen
+            back = np.flatnonzero(open_ & (past[o - 1] > 0))
+            asked.insert(0, (tokens.before[o - 1][back], tokens.doc[back]))
+        out[open_] += stats.log_p(counts[0][open_])
+        total = lambda x: np.bincount(tokens.doc, weights=x, minlength=size)
+        base = total(np.log10((counts[0] + 1.0) / (stats.tokens + 1.0 * (stats.types + 1))))
+        judged = [ids, null, train, (lengths + 1).astype("<i8").tobytes(), np.rint(total(counts[0] > 0)).astype("<i8").tobytes(), base.tobytes(), total(out).tobytes()]
+        asks, adds = [], []
+        for o, (histories, docs) in enumerate(asked, 2):
+            met, at = np.unique(histories, return_inverse=True)
+            asks.append(met)
+            judged += [_planes(docs, "<u4"), _planes(at, "<u4")]
+            own = mine[o - 1] if learn else mine[o - 1][:0]
+            heads, at = np.unique(tokens.before[o - 1][own], return_inverse=True)
+            sums = np.stack(_classes(counts[o - 1][own], at, len(heads)) + _classes(counts[o - 2][own], at, len(heads)), 1)
+            below = np.zeros(len(heads), np.int64)
+            if o > 2:
+                below[at] = past[o - 2][own]
+            adds.append((heads, sums, below))
+        home = _home(name, buckets)
+        out_rows = [(keys[home % len(keys)], home, name, JUDGED, _packed(judged))]
+        lists = [x for ask, (heads, *_) in zip(asks, adds, strict=True) for x in (ask, heads)]
+        for b, cuts in _slices(lists, buckets):
+            piece = []
+            for ask, (heads, sums, below), x, y in zip(asks, adds, cuts[::2], cuts[1::2], strict=True):
+                piece += [_narrow(ask[x]), _narrow(heads[y]), _planes(sums[y].ravel(), "<u8"), _planes(below[y], "<u8")]
+            out_rows.append((keys[b % len(keys)], b, name, FOLLOWED, _packed(piece)))
+        yield from _batches(DEALT, out_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in _groups(batches, "chunk"):
+            yield from chunk(name, rows)
 
     return run
 
 
-def _total(name: str):
-    return F.sum(name).alias(name)
+def _weigh(stats: Stats, emit: bool):
+    """Add up a bucket's histories, make their weights and answer its chunks."""
+    lower = range(2, stats.order + 1)
+
+    def bucket(which: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(SAID, [(JUDGED, chunk, which, None, None, None, None, piece) for chunk, kind, _, piece in rows if kind == JUDGED])
+        pieces = [(chunk, piece) for chunk, kind, _, piece in rows if kind == FOLLOWED]
+        tables = [_Table(SUMS) for _ in lower]
+        known: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in lower]
+        for chunk, piece in pieces:
+            if chunk == MODEL:
+                parts = _unpacked(piece, 2 * len(tables))
+                for o in range(len(tables)):
+                    known[o].append((_wide(parts[2 * o]), np.frombuffer(parts[2 * o + 1], "<f8")))
+                continue
+            parts = _unpacked(piece, 4 * len(tables))
+            for o, table in enumerate(tables):
+                table.add(_wide(parts[4 * o + 1]), _from_planes(parts[4 * o + 2], "<u8").astype(np.int64).reshape(-1, SUMS), _from_planes(parts[4 * o + 3], "<u8").astype(np.int64))
+        weights = []
+        for o, table, given in zip(lower, tables, known, strict=True):
+            table.settle()
+            if given:  # of a stored model
+                names, values = (np.concatenate(x) for x in zip(*given, strict=True))
+                at = np.argsort(names)
+                table.names = names[at]
+                weights.append(values[at])
+                continue
+            weights.append(stats.weights(o, table.sums, table.first))
+            if emit:
+                n = table.sums[:, :K] @ np.arange(1, K + 1) + table.sums[:, K]
+                yield from _table_rows(HISTORY, o, gram=table.names.view(np.int64), n=n, weight=weights[-1])
+        for chunk, piece in pieces:
+            if chunk == MODEL:
+                continue
+            parts, answer = _unpacked(piece, 4 * len(tables)), []
+            for o, table in enumerate(tables):
+                there, at = table.find(_wide(parts[4 * o]))
+                answer.append((np.where(there, weights[o][at], 0.0) if len(table.names) else np.zeros(len(there))).astype("<f8").tobytes())
+            if any(answer):
+                yield from _batches(SAID, [(FOLLOWED, chunk, which, None, None, None, None, _packed(answer))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for which, rows in _groups(batches, "bucket"):
+            yield from bucket(which, rows)
+
+    return run
+
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+RESULT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
 
+def _finish(stats: Stats):
+    """Rows of a chunk's documents, from their sums and the weights that were asked for."""
 
-def score(docs: DataFrame, held_out) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "chunk"):
+            (judged,) = (piece for _, kind, _, piece in rows if kind == JUDGED)
+            parts = _unpacked(judged, 7 + 2 * (stats.order - 1))
+            ids, null, train = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8) > 0, np.frombuffer(parts[2], np.uint8) > 0
+            n, known, base, score = (np.frombuffer(p, t) for p, t in zip(parts[3:7], ("<i8", "<i8", "<f8", "<f8"), strict=True))
+            score = score.copy()
+            answers = [_unpacked(piece, stats.order - 1) for _, kind, _, piece in rows if kind == FOLLOWED]
+            for o in range(stats.order - 1):
+                docs, at = (_from_planes(x, "<u4") for x in parts[7 + 2 * o : 9 + 2 * o])
+                weights = np.concatenate([np.zeros(0), *(np.frombuffer(a[o], "<f8") for a in answers)])
+                if len(docs):
+                    score += np.bincount(docs, weights=weights[at], minlength=len(ids))
+            columns = [pa.array(ids, pa.int64(), mask=null), pa.array(~train), pa.array(n), pa.array(known), pa.array(np.full(len(ids), stats.tokens, np.int64)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, schema=RESULT)
+
+    return run
+
+
+def _evaluated(docs: DataFrame, held, order: int, model: Model | None = None) -> tuple[DataFrame, Model]:
+    """Scores of all rows, and the model: a given one, or that of the rows that are not held out."""
+    spark, learn = docs.sparkSession, model is None
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
+    chars = lines.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if model is not None:
+        order, chars = model.stats.order, max(chars, 6 * model.stats.tokens)
+    parts = shuffle_partitions(spark)
+    buckets, keys = max(parts, -(-chars * order // BUCKET)), partition_keys(parts)
+
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key").sortWithinPartitions("bucket", "chunk")
+
+    def by_chunk(rows: DataFrame, *kinds: int) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds)).select("chunk", "kind", "bucket", "piece").repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+
+    dealt = lines.mapInArrow(_deal(order, buckets, keys), DEALT_SQL)
+    if model is not None:
+        dealt = dealt.unionByName(model.grams.select("order", "gram", "n").mapInArrow(_deal_table(COUNTED, order, buckets, keys), DEALT_SQL))
+    counted = stored(in_few_files(by_bucket(dealt).mapInArrow(_count(order, learn), SAID_SQL), chars * order, BUCKET), "grams")
+    if model is None:
+        numbers = {(r.order, r.gram): r.n for r in counted.where(F.col("kind") == NUMBER).groupBy("order", "gram").agg(F.sum("n").alias("n")).collect()}
+        of = [np.array([0.0, *(numbers.get((o, r), 0) for r in range(1, K + 2)), 0.0]) for o in range(1, order + 1)]
+        stats = Stats(numbers.get((1, TOKENS), 0), numbers.get((1, TYPES), 0), numbers.get((1, DOCS), 0), of)
+    else:
+        stats = model.stats
+
+    judged = by_chunk(counted, LISTED, COUNTED).mapInArrow(_judge(stats, buckets, keys, learn), DEALT_SQL)
+    if model is not None:
+        judged = judged.unionByName(model.histories.select("order", "gram", "weight").mapInArrow(_deal_table(FOLLOWED, order, buckets, keys), DEALT_SQL))
+    weighed = stored(in_few_files(by_bucket(judged).mapInArrow(_weigh(stats, learn), SAID_SQL), chars * order, BUCKET), "histories")
+    scored = by_chunk(weighed, JUDGED, FOLLOWED).mapInArrow(_finish(stats), RESULT_SQL)
+    if model is None:
+        model = Model(stats, counted.where(F.col("kind") == GRAM).select("order", "gram", "n"), weighed.where(F.col("kind") == HISTORY).select("order", "gram", "n", "weight"))
+    return scored, model
+
+
+def score(docs: DataFrame, held_out, order: int = 2) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) with n_tokens, n_known, train_tokens, base_score, score.
 
-    The model learns from rows for which the Column ``held_out`` is not true, and scores
-    all. A null or blank text is its end alone; a repeated row counts as often as it is
-    there, and each of its rows is scored. With no training rows, everything is one class
-    of unknown words, of probability 1. An empty table gives no row. Words are told apart by
-    the 64 bits of their hash.
+    The model, of n-grams up to ``order`` (2 at least), learns from rows for which the Column
+    ``held_out`` is not true, and scores all. A null or blank text is its end alone; a repeated
+    row counts as often as it is there, and each of its rows is scored. With no training rows,
+    everything is one class of unknown words, of probability 1. Other columns are left out; an
+    empty table gives no row. Words and n-grams are told apart by 64 bits of hash: at 10 ** 9
+    different ones less than one pair is expected to be taken for one.
     """
-    spark = docs.sparkSession
-    held = F.coalesce(held_out, F.lit(False))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
-    words = stored(lines.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(_total("n")), "unigrams")
-    small = F.least(F.col("n"), F.lit(K + 2))
-    known = words.where(~F.col("word").isin(DOCS, TOKENS))
-    by_count = known.groupBy(small.alias("r")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()
-    nn = np.zeros(K + 3)
-    for row in by_count:
-        nn[row.r] = row.types
-    special = {row.word: row.n for row in words.where(F.col("word").isin(DOCS, TOKENS)).collect()}
-    uni = Unigrams(sum(row.tokens for row in by_count), sum(row.types for row in by_count), special.get(DOCS, 0), nn)
-
-    # No more than HOT words can each have more than one token in HOT.
-    found = sorted((row.word % (1 << 64), row.n) for row in known.where(F.col("n") * HOT > uni.tokens).collect())
-    hot, hot_counts = np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64)
+    return _evaluated(docs, F.coalesce(held_out, F.lit(False)), order)[0]
 
-    parts = shuffle_partitions(spark)
-    buckets = max(parts, math.ceil(special.get(TOKENS, 0) / BUCKET))
-    dealt = lines.mapInArrow(_deal(hot, buckets, partition_keys(parts)), DEALT).repartition(parts, "key").sortWithinPartitions("bucket")
-    partial = dealt.select("bucket", "chunk", "kind", "piece").mapInArrow(_evaluate(hot, hot_counts), PARTIAL_SCHEMA)
-    partial = stored(in_few_files(partial, special.get(TOKENS, 0), BUCKET), "bigrams")
-
-    mm = np.zeros(K + 3)
-    for row in partial.where(F.col("kind") == NUMBERS).groupBy("key").agg(F.sum("n").alias("n")).collect():
-        mm[row["key"]] = row.n
-    d = discounts(mm)
-
-    # The table of histories: total, and the log of its backoff weight.
-    sums = partial.where(F.col("kind") == FOLLOWED).groupBy("key").agg(*[_total(c) for c in (*SMALL, *LIGHT, "n", "heavy")])
-    count = sum((r * F.col(f"k{r}") for r in range(1, K + 1)), F.col("n"))
-    # What the discounts took, summed without cancellation, and the mass of words seen after h.
-    freed = sum((float(r * (1 - d[r])) * F.col(f"k{r}") for r in range(1, K + 1)), F.col("n") * (1 - TRUST)) / count
-    mass = sum((float(uni.light[r]) * F.col(f"u{r}") for r in range(1, K + 1)), F.col("heavy") * uni.heavy)
-    histories = sums.select("key", F.log10(count * freed / (1 - mass)).alias("step"))
-    histories = stored(in_few_files(histories, special.get(TOKENS, 0), BUCKET), "histories")
-
-    # Tokens whose bigram was not seen: log c(h) is put back and the backoff weight comes in.
-    backed = partial.where(F.col("kind") == UNSEEN).select("key", "doc")
-    hot_keys = hot.view(np.int64).tolist()
-    often = F.col("key").isin(hot_keys) if hot_keys else F.lit(False)
-    few = histories.where(often)  # no more than HOT rows
-    steps = backed.where(~often).join(histories, "key").select("doc", "step").unionByName(backed.where(often).join(F.broadcast(few), "key").select("doc", "step"))
-    steps = steps.groupBy("doc").agg(F.sum("step").alias("step"))
-
-    answers = partial.where(F.col("kind").isin(LISTED, ANSWERED)).select("key", "kind", "piece").repartition(parts, "key").sortWithinPartitions("key")
-    result = answers.mapInArrow(_gather(uni), GATHERED).join(steps, "doc", "left")
-    light = sum((float(np.log10(d[r])) * F.col(f"k{r}") for r in range(1, K + 1)), F.lit(0.0))
-    start = -math.log10(uni.docs) if uni.docs else 0.0
-    total = F.col("fixed") + light + F.coalesce("step", F.lit(0.0)) + start
-    return result.select("doc_id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(uni.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score"))
-
-
-def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
+
+def fit(docs: DataFrame, order: int = 2) -> Model:
+    """The model of all rows of ``docs`` (doc_id, text)."""
+    return _evaluated(docs, F.lit(False), order)[1]
+
+
+def score_with(model: Model, docs: DataFrame) -> DataFrame:
+    """:func:`score` of rows that a model has not learned from; all are said to be held out."""
+    return _evaluated(docs, F.lit(True), model.stats.order, model)[0]
+
+
+def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 2) -> DataFrame:
     """:func:`score` with the rows whose crc32 of doc_id has the given remainder held out.
     A row without an id is not held out."""
-    return score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold)
+    return score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, order)

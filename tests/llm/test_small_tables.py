@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -244,38 +245,83 @@ def test_two_stage_order(seed):
 # Language models
 
 
-def test_katz(docs, texts, none, monkeypatch):
-    monkeypatch.setattr(katz, "SLICE", 500)
-    monkeypatch.setattr(katz, "BUCKET", 4000)
+def plain_katz(train, order):
+    """P(word | words before it) by the book, of token lists that start with their own padding."""
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for line in train:
+        line = [" START"] * (order - 1) + line
+        for i in range(order - 1, len(line)):
+            for o in range(1, order + 1):
+                counts[o][tuple(line[i - o + 1 : i + 1])] += 1
+    after = collections.defaultdict(dict)
+    for o in range(1, order + 1):
+        for g, c in counts[o].items():
+            after[g[:-1]][g[-1]] = c
+    total = sum(counts[1].values())
+
+    def kept(o, c):
+        n = collections.Counter(counts[o].values())
+        if c > 5:
+            return 0.999 * c
+        k = 6 * n[6] / n[1] if n[1] else 1
+        d = ((c + 1) * n[c + 1] / (c * n[c]) - k) / (1 - k) if n[c] and k < 1 else 0
+        return c * d if 0 < d < 1 else c * c / (c + 1)
+
+    kept = functools.cache(kept)
+    n1 = sum(c == 1 for c in counts[1].values())
+    unknown = 1.0 if not total else n1 / total if 0 < n1 < total else 1 / (total + 1) if not n1 else total / (total + 1)
+    mass = sum(kept(1, c) for c in counts[1].values())
+
+    @functools.cache
+    def alpha(h):
+        o, seen = len(h) + 1, after[h]
+        return (1 - sum(kept(o, c) for c in seen.values()) / sum(seen.values())) / (1 - sum(p(h[1:], w) for w in seen))
+
+    def p(h, w):
+        if not h:
+            return kept(1, counts[1][w,]) / mass * (1 - unknown) if (w,) in counts[1] else unknown
+        if w in after.get(h, ()):
+            return kept(len(h) + 1, after[h][w]) / sum(after[h].values())
+        return (alpha(h) if h in after else 1) * p(h[1:], w)
+
+    return p, counts[1], after
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz(docs, texts, none, monkeypatch, order):
+    monkeypatch.setattr(katz, "MERGE", 500)
+    monkeypatch.setattr(katz, "BUCKET", 20_000)
     monkeypatch.setattr(katz, "CHUNK", 3000)
-    lines = [(i, katz.tokens_of(t) + [b" END"]) for i, t in texts]
+    lines = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [" END"]) for i, t in texts]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     train = [w for i, w in lines if not held(i)]
-    uni = collections.Counter(w for x in train for w in x)
-    pairs = collections.Counter(p for x in train for p in zip([b" START", *x], x))
-    follow = collections.defaultdict(dict)
-    for (h, w), c in pairs.items():
-        follow[h][w] = c
+    p, uni, after = plain_katz(train, order)
     total, types = sum(uni.values()), len(uni)
-    of = lambda counts: np.array([sum(c == r for c in counts.values()) if r <= katz.K + 1 else 0 for r in range(katz.K + 3)], float)
-    model, d = katz.Unigrams(total, types, len(train), of(uni)), katz.discounts(of(pairs))
-    p = lambda w: 10 ** float(model.log_p(np.array([uni.get(w, 0)]))[0])
-    assert sum(p(w) for w in uni) + p(b" none") == pytest.approx(1)
-    kept = lambda c: (d[c] if c <= katz.K else katz.TRUST) * c
-    alpha = {h: (1 - sum(map(kept, f.values())) / sum(f.values())) / (1 - sum(p(w) for w in f)) for h, f in follow.items()}
-    for h in list(follow)[:50]:  # each history's distribution sums to 1
-        seen = sum(kept(c) for c in follow[h].values()) / sum(follow[h].values())
-        assert seen + alpha[h] * (1 - sum(p(w) for w in follow[h])) == pytest.approx(1)
-    got = {}
-    for r in katz.score_documents(docs).collect():
-        got.setdefault((r.doc_id, r.n_tokens), []).append(r)
+    for h in [(), *list(after)[1:40], (" never",)]:  # each history's distribution sums to 1
+        assert sum(p(h, w) for (w,) in uni) + p(h, " none") == pytest.approx(1)
+    got = collections.defaultdict(list)
+    for r in katz.score_documents(docs, order=order).collect():
+        got[r.doc_id, r.n_tokens].append(r)
     assert sum(map(len, got.values())) == len(texts)
     for i, w in lines:
-        score = sum(math.log10(kept(follow[h][x]) / sum(follow[h].values())) if x in follow.get(h, ()) else math.log10(alpha.get(h, 1) * p(x)) for h, x in zip([b" START", *w], w))
-        base = sum(math.log10((uni.get(x, 0) + 1) / (total + types + 1)) for x in w)
-        near = [r for r in got[i, len(w)] if abs(r.score - score) < 1e-6]
-        assert near and near[0].base_score == pytest.approx(base) and near[0].n_known == sum(x in uni for x in w) and near[0].train_tokens == total and near[0].held_out == held(i)
-    assert katz.score_documents(none).count() == 0
+        padded = [" START"] * (order - 1) + w
+        score = sum(math.log10(p(tuple(padded[j : j + order - 1]), x)) for j, x in enumerate(w))
+        base = sum(math.log10((uni.get((x,), 0) + 1) / (total + types + 1)) for x in w)
+        near = [r for r in got[i, len(w)] if abs(r.score - score) < 1e-6 * max(1, abs(score))]
+        assert near and near[0].base_score == pytest.approx(base) and near[0].n_known == sum((x,) in uni for x in w) and near[0].train_tokens == total and near[0].held_out == held(i)
+    assert katz.score_documents(none, order=order).count() == 0
+
+
+def test_katz_model_scores_new_text(spark, docs, tmp_path):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    katz.fit(docs.where(~held), order=3).write(str(tmp_path / "model"))
+    model = katz.Model.read(spark, str(tmp_path / "model"))
+    columns = ("doc_id", "n_tokens", "n_known", "train_tokens")
+    together, apart = katz.score_documents(docs, order=3).where("held_out"), katz.score_with(model, docs.where(held))
+    assert rows(apart, *columns) == rows(together, *columns) != []
+    for c in ("score", "base_score"):
+        assert [r[1] for r in rows(apart, "doc_id", c)] == pytest.approx([r[1] for r in rows(together, "doc_id", c)])
+    assert model.grams.where("order = 3").agg(F.sum("n")).first()[0] == model.stats.tokens
 
 
 def test_katz_words_of_alike_hashes(spark):
