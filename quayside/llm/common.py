@@ -62,7 +62,7 @@ def _sweep() -> None:
             fs.delete(where, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage,
     survives lost executors and gives the planner true sizes."""
     path = shared_path(df.sparkSession, label)
@@ -71,7 +71,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     before = conf.get(CLEANUP)
     try:
         conf.set(CLEANUP, "true")
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

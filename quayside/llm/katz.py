@@ -49,7 +49,7 @@ K, TRUST = 5, 0.999
 CHUNK_SHIFT = 32
 #: Characters and documents of a chunk at most, characters of text (times orders) that a
 #: bucket stands for, and entries that are merged at once.
-CHUNK, CHUNK_DOCS, BUCKET, MERGE = 4_000_000, 1 << 20, 12_000_000, 1_000_000
+CHUNK, CHUNK_DOCS, BUCKET, MERGE = 10_000_000, 1 << 20, 12_000_000, 1_000_000
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
@@ -144,7 +144,7 @@ class Model:
     def write(self, path: str) -> None:
         """Store both tables under ``path``, partitioned by order."""
         for name in ("grams", "histories"):
-            getattr(self, name).write.partitionBy("order").parquet(f"{path}/{name}")
+            getattr(self, name).sortWithinPartitions("order", "gram").write.options(**DELTAS).partitionBy("order").parquet(f"{path}/{name}")
         self.grams.sparkSession.createDataFrame([(self.stats.to_json(),)], "stats string").write.parquet(f"{path}/stats")
 
     @classmethod
@@ -153,23 +153,26 @@ class Model:
         return cls(stats, *(spark.read.parquet(f"{path}/{name}") for name in ("grams", "histories")))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list[bytes], np.ndarray]]:
-    """(ids, training flags, words, words of each document) of some documents."""
-    ids, train, words, lengths, size = [], [], [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, training flags, names of all tokens, tokens of each document) of some documents.
+    A document's last token is its end."""
+    ids, train, names, size, end = [], [], [], 0, np.full(1, END, np.uint64)
+
+    def chunk() -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        return ids, np.array(train), np.concatenate([x for own in names for x in (own, end)]), np.array([len(own) + 1 for own in names])
+
     for batch in batches:
         for doc, text, held in zip(*(batch.column(i) for i in range(3)), strict=True):
             value = text.as_py()
-            own = tokens_of(value)
             ids.append(doc.as_py())
             train.append(not held.as_py())
-            words += own
-            lengths.append(len(own))
+            names.append(word_names(tokens_of(value)))
             size += len(value or "")
             if size > CHUNK or len(ids) >= CHUNK_DOCS:
-                yield ids, np.array(train), words, np.array(lengths)
-                ids, train, words, lengths, size = [], [], [], [], 0
+                yield chunk()
+                ids, train, names, size = [], [], [], 0
     if ids:
-        yield ids, np.array(train), words, np.array(lengths)
+        yield chunk()
 
 
 def _joined(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -181,8 +184,8 @@ def _joined(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Tokens:
-    """Tokens of a chunk, ends included: the document of each, where documents start, and by
-    order (from 1) the names of its n-gram and of the history of that."""
+    """Tokens of a chunk: the document of each, where documents start, and by order (from 1)
+    the names of its n-gram and of the history of that."""
 
     doc: np.ndarray
     starts: np.ndarray
@@ -190,9 +193,8 @@ class _Tokens:
     before: list[np.ndarray]
 
     @classmethod
-    def of(cls, words: np.ndarray, lengths: np.ndarray, order: int) -> _Tokens:
-        w = np.insert(words, np.cumsum(lengths), np.uint64(END))  # an end after the words of each document
-        starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])).astype(np.int64)
+    def of(cls, w: np.ndarray, lengths: np.ndarray, order: int) -> _Tokens:
+        starts = np.cumsum(lengths) - lengths
         grams, before, start = [w], [np.zeros(0, np.uint64)], np.full(1, START, np.uint64)
         for _ in range(order - 1):
             h = np.empty_like(w)
@@ -201,7 +203,7 @@ class _Tokens:
             before.append(h)
             grams.append(_joined(h, w))
             start = _joined(start, np.full(1, START, np.uint64))
-        return cls(np.repeat(np.arange(len(lengths)), lengths + 1), starts, grams, before)
+        return cls(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), starts, grams, before)
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
@@ -291,6 +293,8 @@ DEALT = pa.schema([("key", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int
 SAID = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("order", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("piece", pa.binary())])
 DEALT_SQL = "key int, bucket int, chunk long, kind int, piece binary"
 SAID_SQL = "kind int, chunk long, bucket int, order int, gram long, n long, weight double, piece binary"
+#: Names are written as differences, as they ascend within a bucket.
+DELTAS = {"parquet.writer.version": "v2"}
 #: Of a history: how many n-grams were seen 1 to K times, the counts of those seen more often;
 #: the same of the n-grams without their first word.
 SUMS = 2 * (K + 1)
@@ -325,7 +329,9 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, l
 
 
 def _home(chunk: int, buckets: int) -> int:
-    return ((chunk >> CHUNK_SHIFT) + chunk) % buckets
+    """The bucket that a chunk's own rows travel with; neighbours are far apart."""
+    nth = 16 * (chunk >> CHUNK_SHIFT) + (chunk & (1 << CHUNK_SHIFT) - 1)
+    return int(nth * 0.6180339887498949 % 1 * buckets)
 
 
 def _deal(order: int, buckets: int, keys: list[int]):
@@ -334,15 +340,16 @@ def _deal(order: int, buckets: int, keys: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << CHUNK_SHIFT
-        for ids, train, words, lengths in _chunks(batches):
-            names, index = np.unique(word_names(words), return_inverse=True)
-            tokens = _Tokens.of(names[index], lengths, order)
-            listed = [np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), train.astype(np.uint8).tobytes(), _planes(lengths, "<u8"), _narrow(names), _planes(index, "<u4")]
-            rows = [(keys[_home(chunk, buckets) % len(keys)], _home(chunk, buckets), chunk, LISTED, _packed(listed))]
-            held, own = train[tokens.doc], []
+        for ids, train, names, lengths in _chunks(batches):
+            tokens = _Tokens.of(names, lengths, order)
+            learned, own = train[tokens.doc], []
             for grams in tokens.grams:
                 met, at = np.unique(grams, return_inverse=True)
-                own.append((met, np.bincount(at[held], minlength=len(met))))
+                own.append((met, np.bincount(at[learned], minlength=len(met))))
+                if len(own) == 1:  # the names come back with the answers, in this order
+                    listed = [np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), train.astype(np.uint8).tobytes(), _planes(lengths, "<u8"), _planes(at, "<u4")]
+            home = _home(chunk, buckets)
+            rows = [(keys[home % len(keys)], home, chunk, LISTED, _packed(listed))]
             for b, cuts in _slices([met for met, _ in own], buckets):
                 piece = [raw for cut, (met, counts) in zip(cuts, own, strict=True) for raw in (_narrow(met[cut]), _planes(counts[cut], "<u4"))]
                 rows.append((keys[b % len(keys)], b, chunk, COUNTED, _packed(piece)))
@@ -374,8 +381,8 @@ def _deal_table(kind: int, order: int, buckets: int, keys: list[int]):
 
 
 def _count(order: int, emit: bool):
-    """Add up a bucket's n-grams and answer its chunks: twice the count of each n-gram, and one
-    more for the chunk that it is given to."""
+    """Add up a bucket's n-grams and answer its chunks: the words' names, and twice the count of
+    each n-gram, and one more for the chunk that it is given to."""
 
     def bucket(which: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield from _batches(SAID, [(LISTED, chunk, which, None, None, None, None, piece) for chunk, kind, _, piece in rows if kind == LISTED])
@@ -398,7 +405,8 @@ def _count(order: int, emit: bool):
         for i, (chunk, piece) in enumerate(pieces):
             if chunk == MODEL:
                 continue
-            parts, answer = _unpacked(piece, 2 * order), []
+            parts = _unpacked(piece, 2 * order)
+            answer = [parts[0]]
             for o, table in enumerate(tables):
                 there, at = table.find(_wide(parts[2 * o]))
                 answer.append(_planes(np.where(there, 2 * table.sums[at, 0] + (table.first[at] == i), 0) if len(table.names) else np.zeros(len(there), np.int64), "<u8"))
@@ -426,11 +434,12 @@ def _judge(stats: Stats, buckets: int, keys: list[int], learn: bool):
 
     def chunk(name: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         (listed,) = (piece for _, kind, _, piece in rows if kind == LISTED)
-        ids, null, train, lengths, names, index = _unpacked(listed, 6)
+        ids, null, train, lengths, index = _unpacked(listed, 5)
         lengths = _from_planes(lengths, "<u8").astype(np.int64)
-        tokens, size = _Tokens.of(_wide(names)[_from_planes(index, "<u4")], lengths, order), len(lengths)
-        answers = [_unpacked(piece, order) for _, kind, _, piece in rows if kind == COUNTED]
-        said = [np.concatenate([_from_planes(a[o], "<u8") for a in answers]).astype(np.int64) for o in range(order)]
+        answers = [_unpacked(piece, order + 1) for _, kind, _, piece in rows if kind == COUNTED]
+        names = np.concatenate([_wide(a[0]) for a in answers])
+        tokens, size = _Tokens.of(names[_from_planes(index, "<u4")], lengths, order), len(lengths)
+        said = [np.concatenate([_from_planes(a[o + 1], "<u8") for a in answers]).view(np.int64) for o in range(order)]
         counts, mine = [], []
         for o, grams in enumerate(tokens.grams):
             _, where, at = np.unique(grams, return_index=True, return_inverse=True)
@@ -454,7 +463,7 @@ def _judge(stats: Stats, buckets: int, keys: list[int], learn: bool):
         out[open_] += stats.log_p(counts[0][open_])
         total = lambda x: np.bincount(tokens.doc, weights=x, minlength=size)
         base = total(np.log10((counts[0] + 1.0) / (stats.tokens + 1.0 * (stats.types + 1))))
-        judged = [ids, null, train, (lengths + 1).astype("<i8").tobytes(), np.rint(total(counts[0] > 0)).astype("<i8").tobytes(), base.tobytes(), total(out).tobytes()]
+        judged = [ids, null, train, lengths.astype("<i8").tobytes(), np.rint(total(counts[0] > 0)).astype("<i8").tobytes(), base.tobytes(), total(out).tobytes()]
         asks, adds = [], []
         for o, (histories, docs) in enumerate(asked, 2):
             met, at = np.unique(histories, return_inverse=True)
@@ -566,7 +575,7 @@ def _evaluated(docs: DataFrame, held, order: int, model: Model | None = None) ->
     if model is not None:
         order, chars = model.stats.order, max(chars, 6 * model.stats.tokens)
     parts = shuffle_partitions(spark)
-    buckets, keys = max(parts, -(-chars * order // BUCKET)), partition_keys(parts)
+    buckets, keys = parts * max(1, -(-chars * order // (BUCKET * parts))), partition_keys(parts)
 
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "key").sortWithinPartitions("bucket", "chunk")
@@ -577,7 +586,7 @@ def _evaluated(docs: DataFrame, held, order: int, model: Model | None = None) ->
     dealt = lines.mapInArrow(_deal(order, buckets, keys), DEALT_SQL)
     if model is not None:
         dealt = dealt.unionByName(model.grams.select("order", "gram", "n").mapInArrow(_deal_table(COUNTED, order, buckets, keys), DEALT_SQL))
-    counted = stored(in_few_files(by_bucket(dealt).mapInArrow(_count(order, learn), SAID_SQL), chars * order, BUCKET), "grams")
+    counted = stored(in_few_files(by_bucket(dealt).mapInArrow(_count(order, learn), SAID_SQL), chars * order, BUCKET), "grams", **DELTAS)
     if model is None:
         numbers = {(r.order, r.gram): r.n for r in counted.where(F.col("kind") == NUMBER).groupBy("order", "gram").agg(F.sum("n").alias("n")).collect()}
         of = [np.array([0.0, *(numbers.get((o, r), 0) for r in range(1, K + 2)), 0.0]) for o in range(1, order + 1)]
@@ -588,7 +597,7 @@ def _evaluated(docs: DataFrame, held, order: int, model: Model | None = None) ->
     judged = by_chunk(counted, LISTED, COUNTED).mapInArrow(_judge(stats, buckets, keys, learn), DEALT_SQL)
     if model is not None:
         judged = judged.unionByName(model.histories.select("order", "gram", "weight").mapInArrow(_deal_table(FOLLOWED, order, buckets, keys), DEALT_SQL))
-    weighed = stored(in_few_files(by_bucket(judged).mapInArrow(_weigh(stats, learn), SAID_SQL), chars * order, BUCKET), "histories")
+    weighed = stored(in_few_files(by_bucket(judged).mapInArrow(_weigh(stats, learn), SAID_SQL), chars * order, BUCKET), "histories", **DELTAS)
     scored = by_chunk(weighed, JUDGED, FOLLOWED).mapInArrow(_finish(stats), RESULT_SQL)
     if model is None:
         model = Model(stats, counted.where(F.col("kind") == GRAM).select("order", "gram", "n"), weighed.where(F.col("kind") == HISTORY).select("order", "gram", "n", "weight"))
