@@ -1,9 +1,14 @@
 """Secret scanning: patterns propose candidates, a random forest removes false positives.
 
 Patterns for known token shapes, key blocks and assignments are wide on purpose. What
-they find is described by its length and alphabet, how its characters follow each other,
-how much of it a dictionary covers, the path it stands in and the words next to it. A
-forest of decision trees, trained from labelled findings, keeps what is a secret.
+they find is described, as a whole, by its length and alphabet, by how likely its characters
+follow each other in ordinary text, by how much of it a dictionary covers, by the path it
+stands in and the words next to it. A forest of decision trees, trained from labelled
+findings, keeps what is a secret.
+
+The dictionary is the whole words of a public tokenizer's vocabulary, whose path is a
+parameter. The model of transitions is learned from it and from the findings' texts without
+their secrets.
 
 Labelled findings come as a table; without one, :func:`generated_findings` makes them from
 a seed: random keys in the contexts that leak them, and what scanners usually mistake for
@@ -13,6 +18,7 @@ keys (identifiers, hashes of files and commits, placeholders, prose, numbers, pa
 from __future__ import annotations
 
 import base64
+import json
 import random
 import re
 import string
@@ -32,13 +38,15 @@ NEAR = 60
 # Public shapes of tokens.
 SHAPES = {
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github": r"\bgh[pousr]_[0-9A-Za-z]{36,255}\b",
+    "github": r"\bgh[pousr]_[0-9A-Za-z]{36,}\b",
     "slack": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "google": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}",
     "jwt": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]|-(?!----END))*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
-    "url_login": r"(?<=://)[^\s:/@]{1,64}:[^\s:/@]{3,128}(?=@[\w.-])",
+    # Lines of base 64 and the headers of encrypted keys, then the end if it is there: what
+    # follows a key that is cut short stays.
+    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:\s|\\[rn])*(?:(?:Proc-Type|DEK-Info): ?[0-9A-Za-z,-]+|[0-9A-Za-z+/=]{16,}(?![0-9A-Za-z+/=])))+(?:(?:\s|\\[rn])*(?:[0-9A-Za-z+/=]{1,15}(?:\s|\\[rn])*)?-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
+    "url_login": r"(?<=://)[^\s:/@]+:[^\s:/@]{3,}(?=@[\w.-])",
     "assigned": r"""(?i:(?:api|access|auth|secret|private|client|encryption|signing)?[_-]?(?:key|token|secret|passwd|password|pwd|credential)s?)["']?\s*(?:=>|:=|=|:)\s*["']?(?P<value>[^\s"'<>;,]{6,})""",
     "blob": r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_-]{24,}={0,2}(?![0-9A-Za-z+/_=-])",
 }
@@ -47,42 +55,67 @@ PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in SHAPES.i
 QUICK = re.compile(r"AKIA|ASIA|gh[pousr]_|xox|AIza|[rs]k_|eyJ|-----BEGIN|://|(?i:key|token|secret|passw|pwd|credential)|[0-9A-Za-z+/_-]{24}")
 SECRET_WORDS = frozenset("key token secret password passwd pwd credential credentials auth bearer private login apikey api access signing".split())
 HARMLESS_WORDS = frozenset("example sample dummy placeholder changeme your xxxx test todo fake lorem redacted none null true false commit sha sha1 sha256 md5 checksum digest hash etag revision integrity uuid guid id file path version build".split())
-COMMON = (
-    """the of and to in is that for on with as at by from this have not are but was all one new user admin name data file path home main
-    index value test code type list number string config default server client public local image page text table class object function
-    return import export module service manager factory builder handler controller request response session account message content
-    document example sample password secret token key access private config build version release target source include library package"""
-).split()
-DICTIONARY = frozenset(w for w in COMMON if len(w) > 2)
+COMMON = "the of and to in is that for on with user admin name data file path home index value test list default server client image page table class object import module service manager builder handler request session account message content sample private config version source package".split()
 WORDS = re.compile(r"[A-Za-z]+")
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "classes", "changes", "entropy", "repeats", "hex", "vowels", "dictionary", "longest_word", "secret_word", "harmless_word", "assigned", "quoted", "path", "separators", "prose", "shaped", "uuid", "in_candidate_harmless"]
+HUMP = re.compile(r"([a-z])([A-Z])")
+#: The public vocabulary whose whole words are the dictionary.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "classes", "changes", "surprise", "rare", "entropy", "repeats", "hex", "vowels", "dictionary", "longest_word", "secret_word", "harmless_word", "assigned", "quoted", "path", "separators", "prose", "shaped", "uuid", "in_candidate_harmless"]
+
+
+# Kinds of characters: digits, upper case, lower case and what lies beyond ASCII, others.
+_KINDS = np.array([0 if chr(c).isdigit() else 1 if chr(c).isupper() else 2 if chr(c).islower() or c == 128 else 3 for c in range(129)])
+_HEX, _VOWELS, _JOINTS = (np.array([chr(c) in of for c in range(129)]) for of in ("0123456789abcdefABCDEF", "aeiouAEIOU", "/-_."))
+
+
+def _codes(value: str) -> np.ndarray:
+    """Characters as numbers, all beyond ASCII as one."""
+    return np.minimum(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4"), 128)
 
 
 @cache
-def _kind(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
-
-
-def features(value: str, shape: str, before: str, after: str) -> list[float]:
-    """Numbers that describe a candidate, in the order of FEATURES."""
-    n = len(value)
-    head = value[:512]  # counts of characters are shares; a key block's body says no more
-    m = len(head)
-    kinds = [_kind(c) for c in head]
-    counts = np.bincount(kinds, minlength=4) / m
-    letters = np.unique(np.frombuffer(head.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1] / m
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, m - 1)
-    repeats = sum(a == b for a, b in zip(head, head[1:], strict=False)) / max(1, m - 1)
-    words = [w.lower() for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", head))]
-    covered = sum(len(w) for w in words if w in DICTIONARY)
-    vowels = sum(c in "aeiouAEIOU" for c in head)
-    near = [w.lower() for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", before[-NEAR:]))][-5:] + [w.lower() for w in WORDS.findall(after[:NEAR])][:2]
+def dictionary(path: str = VOCABULARY) -> frozenset[str]:
+    """Words of three letters or more that a tokenizer's vocabulary, a file on the driver, has as a whole."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["model"]["vocab"]
+    whole = (t.removesuffix("</w>") for t in found if t.endswith("</w>"))
+    return frozenset(w for w in whole if len(w) > 2 and w.isascii() and w.isalpha())
+
+
+@dataclass
+class Text:
+    """What ordinary text is like: the words of a dictionary, and how many bits each character
+    costs after the one before it."""
+
+    words: frozenset[str]
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, words: frozenset[str], texts: list[str]) -> Text:
+        counts = np.full((129, 129), 0.1)
+        for text in [*sorted(words), *texts]:
+            codes = _codes(text)
+            np.add.at(counts, (codes[:-1], codes[1:]), 1)
+        return cls(words, -np.log2(counts / counts.sum(1, keepdims=True)))
+
+
+def features(value: str, shape: str, before: str, after: str, text: Text) -> list[float]:
+    """Numbers that describe a whole candidate, in the order of FEATURES."""
+    n, codes = len(value), _codes(value)
+    kinds = _KINDS[codes]
+    shares = np.bincount(kinds, minlength=4) / n
+    letters = np.bincount(codes)
+    letters = letters[letters > 0] / n
+    bits = text.bits[codes[:-1], codes[1:]] if n > 1 else np.zeros(1)
+    words = [w.lower() for w in WORDS.findall(HUMP.sub(r"\1 \2", value))]
+    covered = sum(len(w) for w in words if w in text.words)
+    near = [w.lower() for w in WORDS.findall(HUMP.sub(r"\1 \2", before[-NEAR:]))][-5:] + [w.lower() for w in WORDS.findall(after[:NEAR])][:2]
     left = before[-3:].rstrip("\"' ")
     return [
-        float(n), *counts.tolist(), float((counts > 0).sum()), changes, float(-(letters * np.log2(letters)).sum()), repeats,
-        sum(c in "0123456789abcdefABCDEF" for c in head) / m, vowels / m, covered / m, float(max(map(len, words), default=0)),
+        float(n), *shares.tolist(), float((shares > 0).sum()), float((kinds[1:] != kinds[:-1]).sum() / max(1, n - 1)), float(bits.mean()), float((bits > 9).mean()), float(-(letters * np.log2(letters)).sum()),
+        float((codes[1:] == codes[:-1]).sum() / max(1, n - 1)), float(_HEX[codes].mean()), float(_VOWELS[codes].mean()), covered / n, float(max(map(len, words), default=0)),
         float(any(w in SECRET_WORDS for w in near)), float(any(w in HARMLESS_WORDS for w in near)), float(left[-1:] in ("=", ":", ">")), float(before[-1:] in ("\"", "'")),
-        float("/" in before[-1:] or bool(re.search(r"[\w.-]+/[\w./-]*$", before[-NEAR:]))), sum(c in "/-_." for c in head) / m, sum(len(w) for w in near) / max(1, len(near)),
+        float("/" in before[-1:] or bool(re.search(r"[\w.-]+/[\w./-]*$", before[-NEAR:]))), float(_JOINTS[codes].mean()), sum(len(w) for w in near) / max(1, len(near)),
         float(shape not in ("assigned", "blob", "url_login")), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", value))), float(any(w in HARMLESS_WORDS for w in words)),
     ]
 
@@ -147,21 +180,24 @@ class Tree:
 
 @dataclass
 class Forest:
+    """Trees, and the text that their features are drawn from. Without trees nothing is a secret."""
+
     trees: list[Tree]
+    text: Text
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 10, seed: int = 7) -> Forest:
+    def fit(cls, x: np.ndarray, y: np.ndarray, text: Text, trees: int = 40, depth: int = 10, seed: int = 7) -> Forest:
         rng = np.random.default_rng(seed)
         tried = max(1, int(np.sqrt(x.shape[1])))
         grown = []
         for _ in range(trees):
             rows = rng.integers(0, len(x), len(x))
             grown.append(Tree(x[rows], y[rows], rng, depth, tried))
-        return cls(grown)
+        return cls(grown, text)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Share of the trees' votes for a secret."""
-        return np.mean([t.predict(x) for t in self.trees], axis=0) if len(x) else np.zeros(0)
+        return np.mean([t.predict(x) for t in self.trees], axis=0) if len(x) and self.trees else np.zeros(len(x))
 
 
 def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int]]:
@@ -178,7 +214,10 @@ def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, in
     join = lambda: rng.choice([" = ", "=", ": ", " := ", " => ", '="'])
 
     def secret() -> tuple[str, str]:
-        kind = rng.randrange(9)
+        kind = rng.randrange(10)
+        if kind == 9:
+            value = take(alnum + "!#%*", rng.choice([12, 16, 20, 24, 40, 120]))
+            return f"{rng.choice(['https', 'postgres', 'amqp', 'ftp'])}://{word()}:{value}@{word()}.org/{word()}", value
         if kind == 0:
             value = rng.choice(["AKIA", "ASIA"]) + take(string.ascii_uppercase + string.digits, 16)
         elif kind == 1:
@@ -198,7 +237,10 @@ def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, in
         return rng.choice([rng.choice(names) + join() + value, f"{word()} {value}", value]), value
 
     def harmless() -> tuple[str, str]:
-        kind = rng.randrange(11)
+        kind = rng.randrange(12)
+        if kind == 11:
+            value = rng.choice(["password", "${PASSWORD}", "<password>", "your_password", "changeme", "xxxxxxxx", "example"])
+            return f"{rng.choice(['https', 'postgres', 'amqp', 'ftp'])}://{rng.choice(['user', 'name', word()])}:{value}@{word()}.org/{word()}", value
         if kind == 0:
             value = take(hexa, rng.choice([32, 40, 64]))
             return f"{rng.choice(plain)}{join()}{value}", value
@@ -241,16 +283,27 @@ def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, in
     return out
 
 
-def train(findings: list[tuple[str, str, int]] | None = None, sample: int = 20_000, **options) -> Forest:
+def train(findings: list[tuple[str, str, int]] | None = None, sample: int = 20_000, vocabulary: str = VOCABULARY, **options) -> Forest:
     """A forest from labelled findings (text, candidate, label), of which the first
-    ``sample`` are used. A finding that no pattern proposes teaches nothing."""
+    ``sample`` are used. A finding that no pattern proposes teaches nothing; without any
+    that does, nothing is a secret."""
+    known = (generated_findings() if findings is None else findings)[:sample]
+    ordinary = Text.of(dictionary(vocabulary), [text.replace(value, " ") if label else text for text, value, label in known])
     x, y = [], []
-    for text, value, label in (generated_findings() if findings is None else findings)[:sample]:
+    for text, value, label in known:
         for start, end, shape in candidates(text):
             if text[start:end] in value or value in text[start:end]:
-                x.append(features(text[start:end], shape, text[max(0, start - NEAR) : start], text[end : end + NEAR]))
+                x.append(features(text[start:end], shape, text[max(0, start - NEAR) : start], text[end : end + NEAR], ordinary))
                 y.append(label)
-    return Forest.fit(np.array(x), np.array(y, float), **options)
+    return Forest.fit(np.array(x), np.array(y, float), ordinary, **options) if x else Forest([], ordinary)
+
+
+def labelled_findings(table: DataFrame, sample: int = 20_000) -> list[tuple[str, str, int]]:
+    """Findings from a table (text, candidate, label), for :func:`train`: those of the ``sample``
+    smallest hashes, so that the same rows are taken whatever their order. Rows with a null
+    do not count."""
+    rows = table.select("text", "candidate", F.col("label").cast("int").alias("label")).dropna()
+    return [tuple(r) for r in rows.orderBy(F.xxhash64("text", "candidate"), "text", "candidate", "label").limit(sample).collect()]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("shape", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -262,7 +315,7 @@ def scan(texts: list[str | None], forest: Forest, threshold: float = 0.5) -> lis
     for i, text in enumerate(texts):
         for start, end, shape in candidates(text):
             spans.append((i, start, end, shape))
-            x.append(features(text[start:end], shape, text[max(0, start - NEAR) : start], text[end : end + NEAR]))
+            x.append(features(text[start:end], shape, text[max(0, start - NEAR) : start], text[end : end + NEAR], forest.text))
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     for (i, start, end, shape), score in zip(spans, forest.predict(np.array(x)), strict=True):
         if score > threshold:
@@ -287,7 +340,7 @@ def with_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
     Null and empty texts have no spans and stay as they are; repeated rows get equal
     results; other columns are kept, but for any of these two names, which is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(forest or train())  # trees of a bounded depth
+    shared = docs.sparkSession.sparkContext.broadcast(forest or train())  # trees of a bounded depth, a tokenizer's words
 
     @F.pandas_udf(T.StructType([T.StructField("spans", SPANS), T.StructField("clean", T.StringType())]))
     def of(texts):
@@ -304,7 +357,10 @@ def with_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
 
 
 def secret_rows(docs: DataFrame, **options) -> DataFrame:
-    """A row for each document: doc_id, n_secrets, spans as text, and the SHA-256 of the redacted text."""
+    """A row for each document: doc_id, n_secrets, spans as text, and the SHA-256 of the redacted text.
+
+    Null and empty texts have no spans and the hash of nothing; repeated rows and null ids have a
+    row each; an empty table gives no row."""
     said = with_secrets(docs.select("doc_id", "text"), **options)
     spans = F.concat_ws(",", F.transform("secrets", lambda s: F.concat_ws(":", s["shape"], s["start"].cast("string"), s["end"].cast("string"))))
     return said.select("doc_id", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"), F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
