@@ -73,6 +73,11 @@ def _codes(value: str) -> np.ndarray:
     return np.minimum(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4"), 128)
 
 
+def _words(text: str) -> list[str]:
+    """Runs of ASCII letters in lower case, parted where lower case turns to upper."""
+    return [w.lower() for w in WORDS.findall(HUMP.sub(r"\1 \2", text))]
+
+
 @cache
 def dictionary(path: str = VOCABULARY) -> frozenset[str]:
     """Words of three letters or more that a tokenizer's vocabulary, a file on the driver, has as a whole."""
@@ -107,9 +112,9 @@ def features(value: str, shape: str, before: str, after: str, text: Text) -> lis
     letters = np.bincount(codes)
     letters = letters[letters > 0] / n
     bits = text.bits[codes[:-1], codes[1:]] if n > 1 else np.zeros(1)
-    words = [w.lower() for w in WORDS.findall(HUMP.sub(r"\1 \2", value))]
+    words = _words(value)
     covered = sum(len(w) for w in words if w in text.words)
-    near = [w.lower() for w in WORDS.findall(HUMP.sub(r"\1 \2", before[-NEAR:]))][-5:] + [w.lower() for w in WORDS.findall(after[:NEAR])][:2]
+    near = _words(before[-NEAR:])[-5:] + _words(after[:NEAR])[:2]
     left = before[-3:].rstrip("\"' ")
     return [
         float(n), *shares.tolist(), float((shares > 0).sum()), float((kinds[1:] != kinds[:-1]).sum() / max(1, n - 1)), float(bits.mean()), float((bits > 9).mean()), float(-(letters * np.log2(letters)).sum()),
