@@ -67,7 +67,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Has the text a character of Unicode's letters? Digits and fractions of other scripts are none."""
+    return bool(text) and any(found.group().isalpha() for found in _LETTER.finditer(text))
 
 
 @dataclass

@@ -67,6 +67,9 @@ def test_warc(spark):
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert rows(warc.archive_pages(df), *columns) == sorted(want, key=repr)
     assert warc.archive_pages(df.limit(0)).count() == 0
+    records = df.select(F.col("page_id").alias("record_id"), F.col("html").alias("payload"))
+    joined = warc.resolve_revisits(records, most=0)  # the way for lists too long to be sent
+    assert rows(joined, "record_id", *columns[1:]) == sorted(want, key=repr) and "SortMergeJoin" in joined._jdf.queryExecution().toString()
     small = {r.record_type for r in warc.archive_pages(df, min_bytes=100).collect()}
     assert small == {"response"}
 
@@ -201,7 +204,8 @@ def test_proximity(spark):
 
 
 def without_repeats(texts, size=100):
-    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, signed(xxhash.xxh64_intdigest((x[1] or "").encode(), 42))))
     seen, out = set(), []
     for i, t in order:
         raw = (t or "").encode()
@@ -217,13 +221,15 @@ def without_repeats(texts, size=100):
 
 
 @pytest.mark.parametrize(("hot", "crowd"), [(1000, 20_000), (1, 20_000), (1, 1)])
-def test_suffixes(docs, texts, none, hot, crowd, monkeypatch):
+def test_suffixes(spark, texts, none, hot, crowd, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    want = without_repeats([t for t in texts if t[0] is not None] + [t for t in texts if t[0] is None][:1])
-    got = suffixes.deduplicated(docs.where("doc_id is not null").unionByName(docs.where("doc_id is null and text is not null")))
-    assert rows(got, *columns) == want
+    many = texts + [(None, texts[20][1])] * 3 + [(None, texts[40][1]), (12, None), (12, texts[30][1])]
+    got = suffixes.deduplicated(spark.createDataFrame(many, "doc_id long, text string").repartition(3))
+    assert rows(got, *columns) == without_repeats(many)
+    unique = list({i: (i, t) for i, t in texts}.values())
+    assert rows(suffixes.deduplicated(spark.createDataFrame(unique, "doc_id long, text string")), *columns) == without_repeats(unique)
     assert suffixes.deduplicated(none).count() == 0
 
 
@@ -394,6 +400,57 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
 # Language ID and secrets
 
 
+def plain_language(text, model):
+    """(language, cosine) by the definition: log counts of byte n-grams, times idf, against each centroid."""
+    line = " " + re.sub(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", " ", text.lower()).strip(" ") + " "
+    raw = line.encode()
+    counts = collections.Counter()
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            counts[((int.from_bytes(raw[i : i + n], "big") + n) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    vector = {s: math.log1p(c) * float(model.idf[s]) for s, c in counts.items()}
+    length = math.sqrt(sum(x * x for x in vector.values()))
+    cosines = [sum(x * float(centre[s]) for s, x in vector.items()) / length for centre in model.centres]
+    best = max(range(len(cosines)), key=cosines.__getitem__)
+    return model.languages[best], cosines[best], len(counts)
+
+
+def test_language_by_the_definition(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(~langid.held_out()).select("text", "lang"))
+    train = list({(r.text, r.lang) for r in rows if r.lang and langid.has_letter(r.text) and zlib.crc32(str(r.doc_id).encode()) % 5})
+    seen = collections.Counter()
+    for text, _ in train:
+        raw = (" " + re.sub(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", " ", text.lower()).strip(" ") + " ").encode()
+        seen.update({((int.from_bytes(raw[i : i + n], "big") + n) * 2654435761 & 0xFFFFFFFF) >> 20 for n in (2, 3, 4) for i in range(len(raw) - n + 1)})
+    assert np.allclose(model.idf, [math.log((1 + len(train)) / (1 + seen[s])) + 0.1 for s in range(langid.DIMENSIONS)], atol=1e-4)
+    assert np.allclose(np.linalg.norm(model.centres, axis=1), 1, atol=1e-3)
+    texts = [r.text for r in rows if langid.has_letter(r.text)]
+    names, scores, rejected = model.predict(texts)
+    for text, name, score, far in zip(texts, names, scores, rejected):
+        lang, cosine, grams = plain_language(text, model)
+        assert name == lang and score == pytest.approx(cosine, abs=1e-3)
+        floor = min(f for f, of in zip(model.floors, model.languages) if of == lang)
+        assert not (far and cosine > max(model.floors)) and (far or cosine >= floor * grams / (grams + langid.SHORT) - 1e-3)
+    right = [n == r.lang for r, n in zip([r for r in rows if langid.has_letter(r.text)], names) if r.lang]
+    assert sum(right) > 0.95 * len(right)
+
+
+def test_centroids_are_means_of_their_rows():
+    rng = np.random.default_rng(4)
+    x = langid.unit(np.concatenate([rng.normal(c, 0.05, (30, 6)) for c in np.eye(6)[:3]]).astype(np.float32))
+    centres, labels = langid._k_means(x, 3)
+    assert sorted(np.bincount(labels)) == [30, 30, 30]
+    for j in range(3):
+        mean = x[labels == j].mean(0)
+        assert np.allclose(centres[j], mean / np.linalg.norm(mean), atol=1e-5)
+
+
+@pytest.mark.parametrize(("text", "there"), [("½ ²", False), ("١٢٣ Ⅳ 42", False), ("½ a", True), ("ß", True), ("語", True), (None, False), ("_ - 9", False)])
+def test_letters(text, there):
+    assert langid.has_letter(text) == there
+
+
 def test_language_of_odd_rows(docs, texts, none):
     got = langid.identify(docs).collect()
     assert len(got) == len(texts) and {r.lang_pred for r in got} <= {"en", "de", "und"} and all(0 <= r.score <= 1 for r in got)
