@@ -1,14 +1,16 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-1. Texts become word lists; the words of the queried phrases are counted over all documents.
+1. Texts become word lists, once, in a table; the words of the queried phrases are counted
+   over all documents.
 2. Each phrase is looked up by its ``rare`` rarest words. The index holds the postings
    (word, document, position) of those words, a row each, written to the shared folder.
 3. A posting at position p of a word at offset o of a phrase votes for the phrase to start
    at p - o. Starts with a vote of every looked-up word are the intersection of the
    offset-adjusted lists; votes are counted by (phrase, document, start), so a frequent
    word or document is spread over as many keys as it has positions.
-4. What is left is compared with the document's words, which gives exact matches; with a
-   ``slop``, a document matches where all words of a phrase stand near its rarest one.
+4. What is left is compared with the words of the documents that have any, which gives
+   exact matches; with a ``slop``, a document matches where all words of a phrase stand near
+   its rarest one.
 """
 
 from __future__ import annotations
@@ -61,10 +63,10 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, rare: int = 2, slop: int
     equal id and text, which get equal results.
     """
     name, h = row_name(docs)
-    texts = docs.select("doc_id", name.alias("id"), h.alias("h"), "text")
+    texts = stored(docs.select("doc_id", name.alias("id"), h.alias("h"), words_of(docs["text"]).alias("w")).withColumn("n_words", F.size("w").cast("long")), "words")
     terms = phrases.select("phrase", F.posexplode("words").alias("off", "word"))
     wanted = stored(terms.select("word").distinct(), "wanted")
-    said = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+    said = texts.select(F.explode("w").alias("word"))
     few = _few(wanted)
     # A list that is too long to be sent is met by one row a word and task, not by every word.
     counts = (said.join(few, "word", "left_semi") if few is not None else said).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -79,22 +81,30 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, rare: int = 2, slop: int
 
     indexed = stored(lookups.select("word").distinct(), "indexed")
     few = _few(indexed)
-    postings = texts.select("id", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    postings = texts.select("id", "h", F.posexplode("w").alias("pos", "word"))
     index = stored(postings.join(indexed if few is None else few, "word", "left_semi"), "postings")
     start = F.col("pos") if slop is not None else F.col("pos") - F.col("off")
     votes = index.join(lookups, "word").select("phrase", "id", "h", start.alias("start"), "off").where("start >= 0")
     # The postings of equal rows are votes for one start.
     agreed = votes.groupBy("phrase", "id", "h", "start").agg(F.size(F.collect_set("off")).alias("votes")).join(needed, "phrase").where("votes = needed")
-    candidates = agreed.join(phrases, "phrase").groupBy("id", "h").agg(F.collect_list(F.struct("start", "phrase", "words")).alias("c"))
+    # A document has each phrase's words once, however often it occurs there.
+    places = agreed.groupBy("id", "h", "phrase").agg(F.collect_list("start").alias("starts"))
+    candidates = places.join(phrases, "phrase").groupBy("id", "h").agg(F.collect_list(F.struct("starts", "phrase", "words")).alias("c"))
     if slop is None:
-        holds = lambda c: F.slice("w", c["start"] + 1, F.size(c["words"])) == c["words"]
-        span = lambda c: F.struct(c["phrase"].alias("phrase"), c["start"].alias("start"), F.size(c["words"]).alias("length"))
+        holds = lambda c, at: F.slice("w", at + 1, F.size(c["words"])) == c["words"]
+        length = lambda c: F.size(c["words"])
     else:
-        low = lambda c: F.greatest(c["start"] - slop, F.lit(0))
-        holds = lambda c: F.size(F.array_except(c["words"], F.slice("w", low(c) + 1, c["start"] + slop + 1 - low(c)))) == 0
-        span = lambda c: F.struct(c["phrase"].alias("phrase"), c["start"].alias("start"), F.lit(1).alias("length"))
-    met = texts.join(candidates, ["id", "h"], "left").select("doc_id", "id", "h", words_of(F.col("text")).alias("w"), "c")
-    return met.select("doc_id", "id", "h", F.size("w").cast("long").alias("n_words"), F.transform(F.filter("c", holds), span).alias("found"))
+        low = lambda at: F.greatest(at - slop, F.lit(0))
+        holds = lambda c, at: F.size(F.array_except(c["words"], F.slice("w", low(at) + 1, at + slop + 1 - low(at)))) == 0
+        length = lambda c: F.lit(1)
+    span = lambda c: F.transform(F.filter(c["starts"], lambda at: holds(c, at)), lambda at: F.struct(c["phrase"].alias("phrase"), at.alias("start"), length(c).alias("length")))
+    # Only documents with a candidate are read again; equal rows of them are compared once.
+    candidates = stored(candidates, "candidates")
+    names = candidates.select("id", "h")
+    few = _few(names, 1_000_000)
+    read = texts.select("id", "h", "w").join(names if few is None else few, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    found = read.join(candidates, ["id", "h"]).select("id", "h", F.flatten(F.transform("c", span)).alias("found")).where(F.size("found") > 0)
+    return texts.select("doc_id", "id", "h", "n_words").join(found, ["id", "h"], "left")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, rare: int = 2, named: bool = False) -> DataFrame:
