@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,13 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quayside-"))
     return context.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(_located(spark, path))
+    return path
 
 
 #: Tables that this process has written, as (file system, path) of the JVM.
@@ -62,18 +69,32 @@ def _sweep() -> None:
             fs.delete(where, True)
 
 
+_writers: dict[str, Any] = {"lock": threading.Lock(), "n": 0, "before": None}
+
+
+@contextlib.contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP holds while at least one thread writes."""
+    with _writers["lock"]:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _writers["n"] += 1
+    try:
+        yield
+    finally:
+        with _writers["lock"]:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(CLEANUP, _writers["before"])
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage,
     survives lost executors and gives the planner true sizes."""
     path = shared_path(df.sparkSession, label)
-    _written.append(_located(df.sparkSession, path))
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    try:
-        conf.set(CLEANUP, "true")
+    with _clean_shuffles(df.sparkSession):
         df.write.options(**options).parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -84,11 +105,6 @@ def discard(df: DataFrame) -> None:
         fs.delete(where, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

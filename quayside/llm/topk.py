@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shared_path, stored
 
 #: Rows of candidates that are scored at once, for a bounded score matrix.
 STEP = 512
@@ -166,7 +166,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, block_rows: in
     queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition("block"), "queries")
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     longest = candidates.agg(F.max(norm2)).first()[0] or 0.0
-    found = []
+    out = shared_path(candidates.sparkSession, "topk")
     for b in range(blocks):
         rows = queries.where(F.col("block") == b).select("vec_id", "v").orderBy("vec_id").toArrow()
         if not rows.num_rows:
@@ -177,11 +177,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, block_rows: in
         reach = (np.sqrt((q.astype(np.float64) ** 2).sum(1) * longest) * (1 + 1e-9)).astype(np.int64) + 1
         best = _search_block(candidates, block, reach, bins)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        found.append(stored(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+    return candidates.sparkSession.read.schema("query_id long, rank int, vec_id long, score long").parquet(out)
 
 
 def top_k_embeddings(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, **options) -> DataFrame:

@@ -1,8 +1,9 @@
 """WARC archives with revisit resolution.
 
-Headers (digest, record id) are shuffled by payload digest, every later copy of a
-payload becomes a ``revisit`` record that refers to the first one, and archives are
-written with fresh headers. Spark's own text writer puts the archives on whatever
+Headers (digest, record id) are shuffled by payload digest, which names the first record of
+each payload that repeats. That list comes to the records, every later copy of a payload
+becomes a ``revisit`` record that refers to the first one, and archives are written with
+fresh headers. Payloads stay where they are, unless the list is too long to be sent around. Spark's own text writer puts the archives on whatever
 store the path names: a record ends with CRLF CRLF, which is the writer's line
 separator, so what it writes are WARC/1.1 files (gzip members, one a file).
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path
+from .common import shared_path, stored
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -42,7 +43,7 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
+def resolve_revisits(records: DataFrame, min_bytes: int = 0, most: int = 200_000) -> DataFrame:
     """Add ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to``.
 
     ``records`` has ``record_id``, ``payload`` (string; null counts as empty) and any
@@ -51,12 +52,15 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     ``revisit``; smaller payloads are all ``response``.
 
     Rows repeated with the smallest id are all ``response``. A null id never is the
-    smallest; if all ids of a payload are null, its records are all ``response``.
+    smallest; if all ids of a payload are null, its records are all ``response``. Up to
+    ``most`` payloads that repeat are sent to the records; more are joined by digest.
     """
     body = F.coalesce(F.col("payload"), F.lit("")).cast("binary")
     rows = records.withColumns({"payload_bytes": F.octet_length(body).cast("long"), "payload_digest": base32_sha1(body)})
-    # Partial sums keep one row a payload and task, so a hot payload costs no more.
+    # Headers alone are shuffled, one a payload and task, however often it is there.
     first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("record_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1").drop("_copies")
+    first = stored(first, "headers")
+    first = F.broadcast(first) if first.count() <= most else first.hint("merge")
     is_revisit = (F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("_first"))
     return (
         rows.join(first, "payload_digest", "left")
