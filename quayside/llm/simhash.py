@@ -30,6 +30,8 @@ from .components import connected_components
 BITS = 64
 #: Words of a document that are hashed at once.
 CHUNK = 1 << 16
+#: Rows of bit orders that a task should hold.
+TASK_ROWS = 2_000_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -190,7 +192,8 @@ def linked(fps: DataFrame, budget: int = 2) -> DataFrame:
     orders = bit_orders(budget)
     masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m, _, _ in orders])
     rows = fps.select("fp", F.posexplode(masks).alias("order", "mask")).select("fp", "order", F.xxhash64("order", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    dealt = rows.repartition(shuffle_partitions(fps.sparkSession), "order", "key")
+    parts = max(shuffle_partitions(fps.sparkSession), -(-fps.count() * len(orders) // TASK_ROWS))
+    dealt = rows.repartition(parts, "order", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]

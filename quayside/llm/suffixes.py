@@ -39,8 +39,6 @@ HOT, FINE, CROWD = 1000, 12, 20_000
 BATCH, PART, BLOCK = 2_500_000, 1_000_000, 2_000_000
 #: Minimizers of a task's share of a written table, at least.
 MARKS = 300_000
-#: Places in texts that share a doc_id are told apart by their high bits.
-TEXT_SHIFT = 40
 NO_ID = -(1 << 63)
 
 
@@ -118,20 +116,19 @@ def _minimizers(size: int):
             new = b.fits.copy()
             new[1:] &= (b.at[1:] != b.at[:-1]) | (b.part[1:] != b.part[:-1]) | ~b.fits[:-1]
             at, part = b.at[new], b.part[new]
-            columns = (b.hashes[KMER][at].view(np.int64), np.array(docs)[b.row[part]], b.place(at, part) + (np.array(texts)[b.row[part]] << TEXT_SHIFT))
+            columns = (b.hashes[KMER][at].view(np.int64), np.array(docs)[b.row[part]], b.place(at, part))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "doc", "place"])
 
-        parts, docs, texts, held = [], [], [], 0
+        parts, docs, held = [], [], 0
         for batch in batches:
-            for doc, nth, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
-                texts.append(nth)
                 for base, piece in _parts((text.as_py() or "").encode("utf-8", "surrogatepass"), size):
                     parts.append((len(docs) - 1, base, piece))
                     held += len(piece)
                     if held > BATCH:
                         yield from flush()
-                        parts, docs, texts, held = [], [doc], [nth], 0
+                        parts, docs, held = [], [doc], 0
         if parts:
             yield from flush()
 
@@ -179,7 +176,7 @@ def _pieces(size: int):
                 key[fine] = _mixed(key[fine] + _mixed(a + step[lo][fine].astype(np.uint64)))
             part = b.part[lo]
             doc = np.array(docs)[b.row[part]]
-            place = b.place(lo, part) + (np.array(texts)[b.row[part]] << TEXT_SHIFT)
+            place = b.place(lo, part)
             n = hi - lo + 1
             # Of equal pieces of this batch, all but the first are repeated as a whole.
             stop = hi + size
@@ -204,18 +201,17 @@ def _pieces(size: int):
                 a, z = gone[begins], gone[np.append(np.flatnonzero(begins)[1:], len(gone)) - 1]
                 yield _piece_batch(key[a].view(np.int64), doc[a], place[a], stop[z] - lo[a], [None] * len(a))
 
-        parts, docs, texts, held = [], [], [], 0
+        parts, docs, held = [], [], 0
         for batch in batches:
-            for doc, nth, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 own = marks.values.to_numpy()
                 docs.append(doc)
-                texts.append(nth)
                 for base, piece in _parts((text.as_py() or "").encode("utf-8", "surrogatepass"), size):
                     parts.append((len(docs) - 1, base, piece, own))
                     held += len(piece)
                     if held > BATCH:
                         yield from flush()
-                        parts, docs, texts, held = [], [doc], [nth], 0
+                        parts, docs, held = [], [doc], 0
         if parts:
             yield from flush()
 
@@ -439,30 +435,41 @@ def _settle(size: int):
 
 
 def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
-    """(doc, place, n) of repeated bytes in ``docs`` (doc, nth, text), overlapping and in
-    no order; place has nth in its high bits."""
-    marks = stored(docs.select("doc", "nth", "text").mapInArrow(_minimizers(size), "h long, doc long, place long"), "minimizers")
+    """(doc, place, n) of repeated bytes in ``docs`` (doc, text), overlapping and in no order.
+    Numbers of documents differ, and say which is earlier."""
+    marks = stored(docs.select("doc", "text").mapInArrow(_minimizers(size), "h long, doc long, place long"), "minimizers")
     n = marks.count()
     # A table of its own, so that a join with it can split a frequent minimizer's rows.
     often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
     often = stored(in_few_files(often, n, MARKS), "repeated")
-    mark = F.col("place").bitwiseAND((1 << TEXT_SHIFT) - 1) * 2 + F.col("hot").cast("long")
-    kept = marks.join(often, "h").groupBy("doc", F.shiftright("place", TEXT_SHIFT).cast("int").alias("nth")).agg(F.collect_list(mark).alias("marks"))
+    mark = F.col("place") * 2 + F.col("hot").cast("long")
+    kept = marks.join(often, "h").groupBy("doc").agg(F.collect_list(mark).alias("marks"))
     kept = stored(in_few_files(kept, n, MARKS), "marks")
     discard(marks)
-    pieces = docs.join(kept, ["doc", "nth"]).select("doc", "nth", "text", "marks").mapInArrow(_pieces(size), PIECES)
+    pieces = docs.join(kept, "doc").select("doc", "text", "marks").mapInArrow(_pieces(size), PIECES)
     pieces = stored(in_few_files(pieces, n, MARKS), "pieces")
     parts = shuffle_partitions(docs.sparkSession)
     crowded = pieces.where(F.col("content").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > CROWD).select("key")
+    spans = [pieces.where(F.col("content").isNull()).select("doc", "place", F.col("n").cast("long").alias("n"))]
+    whole = pieces.where(F.col("content").isNotNull())
     if crowded.limit(1).count():
         crowded = stored(crowded, "crowded")
-        whole = pieces.where(F.col("content").isNotNull())
-        single = whole.join(crowded, "key", "left_semi").select(*pieces.columns).mapInArrow(_single(size), PIECES)
-        rest = whole.join(crowded, "key", "left_anti").select(*pieces.columns)
-        pieces = stored(single.unionByName(rest).unionByName(pieces.where(F.col("content").isNull())), "parted")
-    dealt = pieces.where(F.col("content").isNotNull()).repartition(parts, "key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(_settle(size), "doc long, place long, n long")
-    return found.unionByName(pieces.where(F.col("content").isNull()).select("doc", "place", F.col("n").cast("long").alias("n")))
+        single = stored(whole.join(crowded, "key", "left_semi").select(*pieces.columns).mapInArrow(_single(size), PIECES), "windows")
+        whole = whole.join(crowded, "key", "left_anti").select(*pieces.columns)
+        spans += [single.where(F.col("content").isNull()).select("doc", "place", F.col("n").cast("long").alias("n")), _later(single.where(F.col("content").isNotNull()), size)]
+    dealt = whole.repartition(parts, "key").sortWithinPartitions("key")
+    out = dealt.mapInArrow(_settle(size), "doc long, place long, n long")
+    for more in spans:
+        out = out.unionByName(more)
+    return out
+
+
+def _later(windows: DataFrame, size: int) -> DataFrame:
+    """Spans of all windows but the first of equal ones. The first is a partial minimum, and
+    one row a window to be joined, so a window that is everywhere may be split over tasks."""
+    here = F.struct("doc", "place")
+    first = windows.groupBy("content").agg(F.min(here).alias("first"))
+    return windows.join(first, "content").where(here > F.col("first")).select("doc", "place", F.lit(size).cast("long").alias("n"))
 
 
 def without_spans(text: str | None, places, lengths) -> tuple[bytes, int, int]:
@@ -484,13 +491,28 @@ def without_spans(text: str | None, places, lengths) -> tuple[bytes, int, int]:
     return b"".join(kept), int((stops - starts).sum()), len(starts)
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """(doc, nth, text): texts that share a doc_id, repeated rows too, are told apart by nth."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    shared = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if not shared:
-        return rows.select("doc", F.lit(0).alias("nth"), "text")
-    return stored(rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).select("doc", "nth", "text"), "identified")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text): doc_id as a number, or, where rows share one, a number of each row
+    in the order of (doc_id, hash of the text), nulls first.
+
+    Rows are numbered by ranges of that order side by side, so that many rows of one id, or
+    copies of one text, are no task of their own."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    if not rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return rows.select("doc", "doc_id", "text")
+    order = ["doc", "_h", "_row"]
+    ordered = rows.withColumns({"_h": F.xxhash64(F.coalesce("text", F.lit(""))), "_row": F.monotonically_increasing_id()})
+    ranged = stored(ordered.repartitionByRange(shuffle_partitions(spark), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    starts, at = [], 0
+    for part, n in sorted((r["_part"], r.n) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a partition
+        starts.append((part, at))
+        at += n
+    offsets = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    numbers = ranged.select("_part", *order).withColumn("_nth", nth).join(offsets, "_part")
+    numbers = stored(numbers.select(*order, (F.col("_start") + F.col("_nth")).alias("_number")), "numbers")
+    return stored(ranged.join(numbers, order).select(F.col("_number").alias("doc"), "doc_id", "text"), "numbered")
 
 
 def deduplicated(docs: DataFrame, size: int = 100) -> DataFrame:
@@ -499,12 +521,11 @@ def deduplicated(docs: DataFrame, size: int = 100) -> DataFrame:
     A byte is removed if a string of ``size`` bytes that covers it also starts earlier: in
     a document of a smaller doc_id, or before in the same one. Null is an empty text; a null
     doc_id comes before all others. Rows that share a doc_id follow each other in the order
-    of their texts (nulls first), so of equal rows one stays. Other columns are left out; an
-    empty table gives no row.
+    of their texts' XXH64 (seed 42, signed), so of equal rows one stays. Other columns are left
+    out; an empty table gives no row.
     """
-    rows = _identified(docs)
-    spans = repeated_spans(rows, size).groupBy("doc", F.shiftright("place", TEXT_SHIFT).cast("int").alias("nth"))
-    spans = spans.agg(F.collect_list(F.struct(F.col("place").bitwiseAND((1 << TEXT_SHIFT) - 1).alias("place"), "n")).alias("spans"))
+    rows = _numbered(docs)
+    spans = repeated_spans(rows.select("doc", "text"), size).groupBy("doc").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     def of(texts, places, lengths):
@@ -516,5 +537,4 @@ def deduplicated(docs: DataFrame, size: int = 100) -> DataFrame:
             said.append((len(kept) + removed, removed, runs, hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(said, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    said = rows.join(spans, ["doc", "nth"], "left").select("doc", of("text", "spans.place", "spans.n").alias("r"))
-    return said.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "r.*")
+    return rows.join(spans, "doc", "left").select("doc_id", of("text", "spans.place", "spans.n").alias("r")).select("doc_id", "r.*")
