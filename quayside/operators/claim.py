@@ -12,6 +12,7 @@ given one by one:
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -90,8 +91,13 @@ def claim_batch(jobs: DataFrame, kinds: Iterable[str], now: datetime | str, slot
     found = {r.priority: r.n for r in able.groupBy("priority").agg(F.count(F.lit(1)).alias("n")).collect()}
     picks, counter = rotate([min(found.get(p, 0), slots) for p in (HIGH, NORMAL, LOW)], slots, counter, ratio)
     rank = F.row_number().over(Window.partitionBy("priority").orderBy("created_at", "id"))
-    most = max((p[3] for p in picks), default=0)
-    ranked = able.select("id", "kind", "priority", "created_at").withColumn("rank", rank).where(F.col("rank") <= most)
+    columns = able.select("id", "kind", "priority", "created_at")
+    # A top-k for each priority, whatever the number of slots; only their rows are ranked.
+    tops = []
+    for p in (HIGH, NORMAL, LOW):
+        if most := max((rank for _, _, tier, rank in picks if tier == p), default=0):
+            tops.append(columns.where(F.col("priority") == p).orderBy("created_at", "id").limit(most))
+    ranked = functools.reduce(DataFrame.unionByName, tops or [columns.limit(0)]).withColumn("rank", rank)
     steps = spark.createDataFrame(picks, "step int, counter long, priority short, rank int")
     return Claims(ranked.join(F.broadcast(steps), ["priority", "rank"]).select("step", "counter", "id", "kind", "priority", "created_at"), counter)
 
@@ -103,7 +109,11 @@ def claim_capped(jobs: DataFrame, caps: dict[str, int | None], held: dict[str, i
     """
     spark = jobs.sparkSession
     rank = F.row_number().over(Window.partitionBy("kind", "priority").orderBy("created_at", "id"))
-    first = jobs.where(eligible(list(caps), HIGH, now)).select("id", "kind", "priority", "created_at").withColumn("rank", rank).where(F.col("rank") <= slots)
+    # A kind gives no more jobs than its cap leaves room for.
+    room = {k: slots if cap is None else min(slots, cap - held.get(k, 0)) for k, cap in caps.items()}
+    open_kinds = [k for k in caps if room[k] > 0]
+    most = max(room.values(), default=0)
+    first = jobs.where(eligible(open_kinds, HIGH, now)).select("id", "kind", "priority", "created_at").withColumn("rank", rank).where(F.col("rank") <= max(most, 0))
     queues: dict[tuple[int, str], list[tuple]] = {}
     for r in first.collect():  # kinds * 3 * slots rows at most
         queues.setdefault((r.priority, r.kind), []).append((r.created_at, r.id))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .schema import is_failure
+from .schema import OUTCOME_OF, is_failure
 
 #: Upper bounds of histogram buckets, in seconds.
 BOUNDS = (0.01, 0.1, 1.0, 10.0, 60.0, 600.0, 3600.0, 86400.0)
@@ -19,6 +19,26 @@ def counters(journal: DataFrame) -> DataFrame:
     return journal.groupBy(series.alias("series"), "kind", "outcome").agg(F.count(F.lit(1)).alias("value"))
 
 
+def enqueue_counters(arrivals: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of a submitted batch: jobs made and arrivals merged, by kind."""
+    rows = arrivals.select("arrival", "kind").join(placed.select("arrival", "merged"), "arrival")
+    series = F.when(F.col("merged"), "merged_total").otherwise("enqueued_total")
+    return rows.groupBy(series.alias("series"), "kind").agg(F.count(F.lit(1)).alias("value"))
+
+
+def claim_counters(claims: DataFrame) -> DataFrame:
+    """Of a batch of claims: jobs claimed, by kind."""
+    return claims.groupBy(F.lit("claimed_total").alias("series"), "kind").agg(F.count(F.lit(1)).alias("value"))
+
+
+def settle_counters(jobs: DataFrame, commands: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Of a batch of settlements: runs settled by kind and outcome, and those among them whose
+    guard did not hold."""
+    said = commands.select("id", F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOME_OF.items() for x in pair]), F.col("tag")).alias("outcome"))
+    rows = said.join(outcome.select("id", "applied"), "id").join(jobs.select("id", "kind"), "id")
+    return rows.groupBy(F.lit("settled_total").alias("series"), "kind", "outcome").agg(F.count_if("applied").alias("value"), F.count_if(~F.col("applied")).alias("missed"))
+
+
 def claim_latency(claims: DataFrame, now: datetime | str) -> DataFrame:
     """A histogram, by kind, of the seconds from a job's creation to its claim."""
     seconds = F.greatest(F.timestamp_diff("MICROSECOND", F.col("created_at"), F.lit(str(now)).cast("timestamp_ntz")), F.lit(0)) / 1e6

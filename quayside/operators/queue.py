@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ulid
-from ..sources.store import JobStore
+from ..sources.store import JobStore, again
 from .dedup import fold_submit
 from .reads import HistoryFilter
 from .tasks import Task
@@ -36,12 +36,16 @@ class Queue:
         millis = int(now.timestamp() * 1000)
         rows = [{"arrival": i, **task.row(p, ulid.new(millis), when)} for i, p in enumerate(payloads)]
         arrivals = self.store.spark.createDataFrame(rows, ARRIVALS)
-        base = self.store.version()
-        done = fold_submit(self.store.active(base), self.store.journal(base), arrivals, task.merge, now)
-        placed = {r.arrival: r for r in done.placed.collect()}  # one row a payload of this call
-        # A new job notifies even if it becomes visible later; a merge does not.
-        self.store.commit(base, done.jobs, done.added, notify=not all(r.merged for r in placed.values()))
-        return [placed[i].id for i in range(len(payloads))]
+
+        def submit() -> list[str]:
+            base = self.store.version()
+            done = fold_submit(self.store.active(base), self.store.journal(base), arrivals, task.merge, now)
+            placed = {r.arrival: r for r in done.placed.collect()}  # one row a payload of this call
+            # A new job notifies even if it becomes visible later; a merge does not.
+            self.store.commit(base, done.jobs, done.added, notify=not all(r.merged for r in placed.values()))
+            return [placed[i].id for i in range(len(payloads))]
+
+        return again(submit)
 
     def jobs(self, which: HistoryFilter) -> DataFrame:
         return self.store.query(which)

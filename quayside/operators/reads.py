@@ -104,8 +104,10 @@ def timeline(journal: DataFrame, job_id: str) -> DataFrame:
 
 
 def with_history(jobs: DataFrame, journal: DataFrame) -> DataFrame:
-    """Each job with its journal entries in order, and the number of those that failed."""
-    entries = journal.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("id", *ENTRY_COLUMNS))).alias("_entries"), F.count_if(is_failure(F.col("outcome"))).alias("_failures"))
+    """Each job with its journal entries in order, and the number of those that failed. Only
+    entries of these jobs are gathered, so a few claims do not cost the whole journal."""
+    own = journal.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
+    entries = own.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("id", *ENTRY_COLUMNS))).alias("_entries"), F.count_if(is_failure(F.col("outcome"))).alias("_failures"))
     joined = jobs.join(entries, jobs["id"] == entries["job_id"], "left")
     entry = "array<struct<" + ",".join(f"{c}:{t}" for c, t in zip(ENTRY_COLUMNS, ("int", "timestamp_ntz", "string", "string", "string"), strict=True)) + ">>"
     plain = F.transform("_entries", lambda e: F.struct(*[e[c].alias(c) for c in ENTRY_COLUMNS]))

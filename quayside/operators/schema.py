@@ -87,6 +87,13 @@ class RunNumberOutOfRange(QueueError):
         super().__init__(f"run number {run_no} does not fit into 31 bits")
 
 
+class MalformedManifest(QueueError):
+    """A published version's manifest cannot be read."""
+
+    def __init__(self, path: str):
+        super().__init__(f"manifest {path} is malformed")
+
+
 class SnapshotConflict(QueueError):
     """Another writer has published a snapshot meanwhile."""
 

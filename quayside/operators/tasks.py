@@ -7,7 +7,9 @@ settlement keeps the jobs right.
 
 from __future__ import annotations
 
+import ctypes
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -56,14 +58,22 @@ class HandlerPanic(Exception):
     """A broken handler rather than a failed run; the panic policy says what follows."""
 
 
-@dataclass
 class Token:
-    """Shared by a run and whoever may cancel it."""
+    """Shared by a run and whoever may cancel it: the worker, when it shuts down."""
+
+    def __init__(self) -> None:
+        self._event = threading.Event()
 
-    cancelled: bool = False
+    @property
+    def cancelled(self) -> bool:
+        return self._event.is_set()
 
     def cancel(self) -> None:
-        self.cancelled = True
+        self._event.set()
+
+    def wait(self, timeout: float | None = None) -> bool:
+        """Wait for the cancellation; was there one?"""
+        return self._event.wait(timeout)
 
 
 @dataclass
@@ -75,7 +85,7 @@ class Context:
     history: list[dict[str, Any]]
     carry: Any = None
     attachment: Any = None
-    deadline: datetime | None = None
+    lease_ends: datetime | None = None
     clock: Callable[[], datetime] = field(default=datetime.now)
     token: Token = field(default_factory=Token)
 
@@ -83,8 +93,12 @@ class Context:
         self.attachment = value
 
     def is_cancelled(self) -> bool:
-        """Should the run end? Its lease is over, or whoever runs it is shutting down."""
-        return self.token.cancelled or (self.deadline is not None and self.clock() >= self.deadline)
+        """Is the worker shutting down? A long run may then stop early, by a pause as a rule."""
+        return self.token.cancelled
+
+    def lease_over(self) -> bool:
+        """Has the claim's lease run out, on the clock of the pass? The job may then run elsewhere."""
+        return self.lease_ends is not None and self.clock() >= self.lease_ends
 
     def cancellation_token(self) -> Token:
         """What to hand to code that the handler calls."""
@@ -148,39 +162,80 @@ class Registry:
 RESULTS = "id string, claimed_by string, run_no int, failure_count int, result string, pause_ns long, carry string, note string, attachment string, delay_ns long, kind string, took_us long"
 
 
-def run_one(row: dict[str, Any], registry: Registry, state: Any, now: datetime, panic_policy: str, default_backoff: Backoff, fraction: float) -> dict[str, Any]:
-    """One run: decode, handle, encode.
+def is_panic(error: BaseException) -> bool:
+    """Is this a broken handler (or one that tries to end the process) rather than a failed run?"""
+    return not isinstance(error, Exception) or isinstance(error, (HandlerPanic, RecursionError, MemoryError))
+
+
+class Aborted(BaseException):
+    """Raised inside a run that has not ended by the end of the grace."""
+
+
+def within(seconds: float, run: Callable[[], Any]) -> Any:
+    """What ``run`` returns or raises; or, after so many seconds, :class:`Aborted`, which is also
+    raised inside it. Code that never comes back to Python is left behind."""
+    done: dict[str, Any] = {}
+
+    def body() -> None:
+        try:
+            done["value"] = run()
+        except BaseException as e:  # noqa: BLE001 - handed to the caller
+            done["error"] = e
+
+    thread = threading.Thread(target=body, daemon=True)
+    thread.start()
+    thread.join(max(seconds, 0.0))
+    if not done:  # what has ended meanwhile counts as ended
+        ctypes.pythonapi.PyThreadState_SetAsyncExc(ctypes.c_ulong(thread.ident), ctypes.py_object(Aborted))
+        raise Aborted
+    if "error" in done:
+        raise done["error"]
+    return done["value"]
+
+
+def run_one(row: dict[str, Any], registry: Registry, state: Any, now: datetime, panic_policy: str, default_backoff: Backoff, fraction: float, token: Token | None = None, seconds: float | None = None) -> dict[str, Any]:
+    """One run: decode, handle, encode. Nothing that user code raises leaves it.
 
     An unknown kind or a payload that cannot be decoded is fatal. An error keeps the carry
-    as the handler left it; a panic keeps the one from before the run, and no attachment. A
-    carry that is not JSON after a run that ended well is fatal, with carry null.
+    as the handler left it; a panic, of the handler or of a hook, keeps the one from before
+    the run, and no attachment, and the policy says what follows. A carry that is not JSON
+    after a run that ended well is fatal, with carry null. A run that takes longer than
+    ``seconds``, if given, is aborted and reported as released.
     """
+    began = time.monotonic()
     out = {"id": row["id"], "claimed_by": row["claimed_by"], "run_no": row["run_count"], "failure_count": row["failure_count"], "pause_ns": None, "carry": row["carry"], "note": None, "attachment": None, "delay_ns": None}
+    panicked = "failed" if panic_policy == RETRY else "fatal"
     try:
         task = registry.task(row["kind"])
         if task.handler is None:
             raise UnknownKind(row["kind"])
         payload = task.decode(json.loads(row["payload"]))
         carry = json.loads(row["carry"])
-    except Exception as e:  # noqa: BLE001 - whatever a decoder raises ends the job
-        return out | {"result": "fatal", "note": str(e)}
-    backoff = task.backoff(payload) or default_backoff
-    out["delay_ns"] = retry_delay(backoff, fraction, row["failure_count"] + 1, row["id"])
-    lease = row.get("claim_expires_at")
-    context = Context(row["id"], row["run_count"], [dict(e) for e in row["history"] or []], task.default if carry is None else carry, None, lease)
+    except BaseException as e:  # noqa: BLE001 - whatever a decoder raises ends the job, a panic by its policy
+        return out | {"result": panicked if is_panic(e) else "fatal", "note": str(e)}
+    try:
+        backoff = task.backoff(payload) or default_backoff
+        out["delay_ns"] = retry_delay(backoff, fraction, row["failure_count"] + 1, row["id"])
+    except BaseException as e:  # noqa: BLE001 - a broken hook
+        return out | {"result": panicked, "note": f"backoff panicked: {type(e).__name__}: {e}"}
+    clock = lambda: now + timedelta(seconds=time.monotonic() - began)
+    context = Context(row["id"], row["run_count"], [dict(e) for e in row["history"] or []], task.default if carry is None else carry, None, row.get("claim_expires_at"), clock, token or Token())
+    handle = lambda: task.handler(payload, context, state)
     try:
-        said = task.handler(payload, context, state)
+        said = handle() if seconds is None else within(seconds, handle)
         said = Completed() if said is None else said
         result, note = ("paused" if isinstance(said, Paused) else "completed"), None
         if said.attachment is not None:
             context.attachment = said.attachment
         if isinstance(said, Paused):
             out["pause_ns"] = int(said.delay / timedelta(microseconds=1)) * 1000
-    except (HandlerPanic, RecursionError, MemoryError) as e:
-        return out | {"result": "failed" if panic_policy == RETRY else "fatal", "note": f"handler panicked: {e}"}
+    except Aborted:
+        return out | {"result": "released", "note": "aborted at shutdown"}
     except TaskError as e:
         result, note = ("fatal" if e.permanent else "failed"), e.note()
-    except Exception as e:  # noqa: BLE001 - a run's own failure
+    except BaseException as e:  # noqa: BLE001 - nothing that a handler raises may end the pass
+        if is_panic(e):
+            return out | {"result": panicked, "note": f"handler panicked: {type(e).__name__}: {e}"}
         result, note = "failed", f"{type(e).__name__}: {e}"
     try:
         attachment = None if context.attachment is None else to_json(context.attachment)
@@ -197,9 +252,10 @@ def run_one(row: dict[str, Any], registry: Registry, state: Any, now: datetime,
 def run_handlers(claimed: DataFrame, registry: Registry, now: datetime, state: Callable[[], Any] = lambda: None, panic_policy: str = RETRY, backoff: Backoff = Backoff(), fraction: float = 0.5, grace: timedelta | None = None) -> DataFrame:
     """Run the handler of each row of ``claimed`` (jobs with their history) and report.
 
-    ``state`` makes what handlers share, once for each partition. With a ``grace``, a
-    partition starts no run after that time; what it has not started is reported as
-    ``released``, and what it has run is reported as it ended.
+    ``state`` makes what handlers share, once for each partition. A ``grace`` is that of a
+    worker that shuts down: the runs' token is cancelled, no run starts after that time and
+    one that has not ended by then is aborted; those are reported as ``released``, all
+    others as they ended.
     """
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
@@ -207,14 +263,17 @@ def run_handlers(claimed: DataFrame, registry: Registry, now: datetime, state: C
 
         types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = [c.split(" ")[0] for c in RESULTS.split(", ")]
-        shared, began = state(), time.monotonic()
+        shared, began, token = state(), time.monotonic(), Token()
+        if grace is not None:
+            token.cancel()
 
         def timed(row: dict[str, Any]) -> dict[str, Any]:
             start = time.monotonic()
-            if grace is not None and start - began >= grace.total_seconds():
+            left = None if grace is None else grace.total_seconds() - (start - began)
+            if left is not None and left <= 0:
                 kept = {c: row[c] for c in ("id", "claimed_by", "failure_count", "carry", "kind")}
                 return dict.fromkeys(names) | kept | {"run_no": row["run_count"], "result": "released", "note": "released at shutdown"}
-            said = run_one(row, registry, shared, now, panic_policy, backoff, fraction)
+            said = run_one(row, registry, shared, now, panic_policy, backoff, fraction, token, left)
             return said | {"kind": row["kind"], "took_us": int((time.monotonic() - start) * 1e6)}
 
         for batch in batches:
@@ -236,7 +295,7 @@ def task_leases(claimed: DataFrame, registry: Registry, default: timedelta) -> D
                 try:
                     task = registry.task(r["kind"])
                     lease = task.lease(task.decode(json.loads(r["payload"])))
-                except Exception:  # noqa: BLE001, S112 - dispatch will say what is wrong with the job
+                except BaseException:  # noqa: BLE001, S112 - dispatch will say what is wrong with the job
                     continue
                 if lease is not None and lease != default:
                     rows.append((r["id"], r["claimed_by"], r["run_count"], lease.total_seconds()))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.backoff import Backoff, retry_delay_column
 from ..functions.columns import all_of, plus_nanos, plus_seconds, stamp
 from .reads import find_stale
-from .schema import CLAIMED, COMPLETED, DEAD, JOB_COLUMNS, JOBS, JOURNAL, MAX_RUN_NO, OUTCOME_OF, PENDING, ConfigError, checked_priority, notifies
+from .schema import CLAIMED, COMPLETED, DEAD, JOB_COLUMNS, JOBS, JOURNAL, OUTCOME_OF, PENDING, ConfigError, checked_priority, notifies
 
 #: Columns of the journal rows of a change.
 ADDED_COLUMNS = JOURNAL.names[1:]
@@ -195,8 +195,3 @@ def cleanup(jobs: DataFrame, journal: DataFrame, which: CleanupCriteria) -> tupl
     gone = F.coalesce(which.predicate(), F.lit(False))
     ids = jobs.where(gone).select(F.col("id").alias("job_id"))
     return jobs.where(~gone), journal.join(ids, "job_id", "left_anti").select(*JOURNAL.names), jobs.agg(F.count_if(gone).alias("deleted"))
-
-
-def valid_run_numbers(column: Column) -> Column:
-    """Run numbers are stored in 31 bits; more is an error."""
-    return F.when((column >= 0) & (column <= MAX_RUN_NO), column.cast("int")).otherwise(F.raise_error(F.concat(F.lit("run number out of range: "), column.cast("string"))))

@@ -14,7 +14,7 @@ from ..functions.backoff import Backoff, base_delay_column, jitter_unit, retry_d
 from ..operators import claim, dedup, observability, reads, tasks, transitions
 from ..sources import derive
 from ..sources.derive import NOW, jobs, journal
-from ..streaming.stream import job_states
+from ..streaming.stream import STATE_STORE, job_states
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,7 +135,25 @@ def claim_post_state(spark, d):
     return claim.apply_claims(rows, claims, NOW, LEASE, "worker:1").select(*STATE)
 
 
-@query("claim_capped_batch")
+_CAPPED = f"""
+, able AS (
+    SELECT id, kind, priority, created_at FROM (SELECT *, row_number() OVER (PARTITION BY kind, priority ORDER BY created_at, id) AS n FROM jobs WHERE status = 'pending' AND {IN_KINDS} AND visible_at <= {NOW_SQL}) WHERE n <= {SLOTS}
+), r AS (
+    SELECT 0 AS step, 0::BIGINT AS counter, []::VARCHAR[] AS ids, NULL::VARCHAR AS id, 2 AS building, 0 AS furniture
+    UNION ALL
+    SELECT step + 1, counter + 1, list_append(ids, best), best, building + (kind = 'BUILDING')::INTEGER, furniture + (kind = 'FURNITURE')::INTEGER FROM (
+        SELECT r.step, r.counter, r.ids, r.building, r.furniture,
+            arg_min(a.id, (a.priority < CASE WHEN (r.counter + 1) % {RATIO * RATIO} = 0 THEN 2 WHEN (r.counter + 1) % {RATIO} = 0 THEN 1 ELSE 0 END, a.priority, a.created_at, a.id)) AS best,
+            arg_min(a.kind, (a.priority < CASE WHEN (r.counter + 1) % {RATIO * RATIO} = 0 THEN 2 WHEN (r.counter + 1) % {RATIO} = 0 THEN 1 ELSE 0 END, a.priority, a.created_at, a.id)) AS kind
+        FROM r JOIN able a ON NOT list_contains(r.ids, a.id) AND (a.kind <> 'BUILDING' OR r.building < 5) AND (a.kind <> 'FURNITURE' OR r.furniture < 3)
+        WHERE r.step < {SLOTS} GROUP BY ALL
+    )
+)
+SELECT r.step::INTEGER AS step, r.counter, r.id, able.kind, able.priority, able.created_at FROM r JOIN able USING (id)
+"""
+
+
+@query("claim_capped_batch", _CAPPED, recursive=True)
 def claim_capped_batch(spark, d):
     return claim.claim_capped(jobs(spark, d), {"BUILDING": 5, "MACHINERY": None, "FURNITURE": 3}, {"BUILDING": 2}, NOW, SLOTS, 0, RATIO).rows
 
@@ -156,6 +174,31 @@ def claim_shared_out(spark, d):
     return claim.share_out(rows, ["worker:0", "worker:1", "worker:2"]).select("step", "id", "claimed_by")
 
 
+def _histogram_sql(source: str, seconds: str) -> str:
+    le = " ".join(f"WHEN s <= {b} THEN {b}" for b in observability.BOUNDS)
+    return f"SELECT kind, (CASE {le} END)::DOUBLE AS le, count(*) AS value, sum(s)::DOUBLE AS sum FROM (SELECT kind, {seconds} AS s FROM {source}) GROUP BY 1, 2"
+
+
+@query(
+    "claim_latency",
+    _ROTATION + ", claims AS (SELECT ranked.kind, ranked.created_at FROM picks JOIN ranked ON tier = priority AND picks.rank = ranked.rank) " + _histogram_sql("claims", f"greatest(date_diff('microsecond', created_at, {NOW_SQL}), 0) / 1000000.0::DOUBLE"),
+    recursive=True,
+)
+def claim_latency(spark, d):
+    return observability.claim_latency(claim.claim_batch(jobs(spark, d), KINDS, NOW, SLOTS, 0, RATIO).rows, NOW)
+
+
+@query("metric_claimed", _ROTATION + "SELECT 'claimed_total' AS series, ranked.kind, count(*) AS value FROM picks JOIN ranked ON tier = priority AND picks.rank = ranked.rank GROUP BY 2", recursive=True)
+def metric_claimed(spark, d):
+    return observability.claim_counters(claim.claim_batch(jobs(spark, d), KINDS, NOW, SLOTS, 0, RATIO).rows)
+
+
+@query("handler_durations", ", took AS (SELECT kind, id::BIGINT * 100000 AS us FROM jobs WHERE status = 'claimed') " + _histogram_sql("took", "us / 1000000.0::DOUBLE"))
+def handler_durations(spark, d):
+    """Of made-up reports: a claimed job's number in tenths of a second."""
+    return observability.handler_durations(numbered(jobs(spark, d).where("status = 'claimed'")).select("kind", (F.col("n") * 100_000).alias("took_us")))
+
+
 @query("in_flight_by_kind", "SELECT kind, count(*) AS n FROM jobs WHERE status = 'claimed' AND claimed_by = 'host:3' GROUP BY kind")
 def in_flight_by_kind(spark, d):
     return claim.in_flight(jobs(spark, d), "host:3")
@@ -348,6 +391,17 @@ def settle_guard_misses(spark, d):
     return transitions.settle(jobs(spark, d), commands(spark, d), NOW).outcome
 
 
+@query(
+    "metric_settled",
+    _COMMANDS
+    + """SELECT 'settled_total' AS series, kind, CASE mixed WHEN 'complete' THEN 'completed' WHEN 'retry' THEN 'retried' WHEN 'pause' THEN 'paused' WHEN 'dead' THEN 'dead' ELSE 'released' END AS outcome,
+    count(*) FILTER (hit) AS value, count(*) FILTER (NOT hit) AS missed FROM met WHERE asked GROUP BY 2, 3""",
+)
+def metric_settled(spark, d):
+    rows, said = jobs(spark, d), commands(spark, d)
+    return observability.settle_counters(rows, said, transitions.settle(rows, said, NOW).outcome)
+
+
 @query(
     "settlement_routing",
     _jittered("(SELECT * FROM jobs WHERE status = 'claimed')", "failure_count + 1")
@@ -463,6 +517,12 @@ def dedup_journal(spark, d):
     return dedup.submit(jobs(spark, d), arrivals(spark, d), dedup.KEEP, NOW).added.select("job_id", "kind", "run_no", "recorded_at", "outcome")
 
 
+@query("metric_enqueued", _MERGED + "SELECT CASE WHEN merged THEN 'merged_total' ELSE 'enqueued_total' END AS series, kind, count(*) AS value FROM (SELECT kind, merged FROM y UNION ALL SELECT kind, FALSE FROM arrivals WHERE dedup_key IS NULL) GROUP BY 1, 2")
+def metric_enqueued(spark, d):
+    new = arrivals(spark, d)
+    return observability.enqueue_counters(new, dedup.submit(jobs(spark, d), new, dedup.KEEP, NOW).placed)
+
+
 def _sum_up(pending: dedup.Pending, payload):
     before = pending.payload.get("v", pending.payload.get("custkey"))
     return "with", {"v": before + payload["v"]}, (pending.carry or 0) + 1, None
@@ -535,7 +595,9 @@ def handler_run(spark, d):
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``; in tests, where that is unset, under a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(named or tempfile.gettempdir()).rstrip('/')}/quayside-{uuid.uuid4().hex}"
 
 
@@ -555,12 +617,13 @@ def stream_job_state(spark, d):
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    spark.conf.set(*STATE_STORE)
     job_states(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     states = spark.read.parquet(out)
     return states.groupBy("job_id").agg(F.max_by(F.struct("runs", "failures", "last_event", "outcome"), "runs").alias("s")).select("job_id", "s.*")
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backlog by kind: what is pending, and how old the oldest is."""
-    return backlog_stats(spark, "/root/testdata/sf0.001")
+    return backlog_stats(spark, sf_dir)
 

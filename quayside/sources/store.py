@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reads import HistoryFilter, dedup_candidate, find_stale, job, next_visible_at, query_jobs, snapshot, timeline
-from ..operators.schema import CLAIMED, COMPLETED, DEAD, JOB_COLUMNS, JOBS, JOURNAL, JOURNAL_COLUMNS, OUTCOMES, PENDING, STATUSES, SnapshotConflict, checked_domain, validate_prefix
+from ..operators.schema import CLAIMED, COMPLETED, DEAD, JOB_COLUMNS, JOBS, JOURNAL, JOURNAL_COLUMNS, OUTCOMES, PENDING, STATUSES, MalformedManifest, SnapshotConflict, checked_domain, validate_prefix
 from ..operators.transitions import CleanupCriteria, cleanup
 
 #: Layouts so far; a store of an older one is brought up by the steps that follow it, each
@@ -35,6 +35,17 @@ MIGRATIONS: dict[int, Callable[[JobStore, dict], dict]] = {}
 LIVE, OVER = (PENDING, CLAIMED), (COMPLETED, DEAD)
 
 
+def again(action: Callable[[], Any], tries: int = 10) -> Any:
+    """What an action that ends in a commit returns. Where another writer has published first it
+    is done anew, from the version that is then current; nothing of the first try remains."""
+    for left in reversed(range(tries)):
+        try:
+            return action()
+        except SnapshotConflict:
+            if not left:
+                raise
+
+
 class JobStore:
     """A pair of relations under a validated prefix."""
 
@@ -79,7 +90,15 @@ class JobStore:
 
     def manifest(self, version: int | None = None) -> dict[str, Any]:
         path = self._at("CURRENT", self.version() if version is None else version)
-        return json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+        text = self.spark.read.text(path, wholetext=True).first()[0]
+        try:
+            found = json.loads(text)
+            sound = isinstance(found["schema"], int) and isinstance(found["last_id"], int) and all(isinstance(f, str) for k in ("active", "finished", "journal") for f in found[k])
+        except (ValueError, KeyError, TypeError):
+            sound = False
+        if not sound:
+            raise MalformedManifest(path)
+        return found
 
     def _publish(self, base: int, manifest: dict[str, Any]) -> int:
         if self.version() != base or not self._put("CURRENT", base + 1, json.dumps(manifest)):
@@ -228,11 +247,27 @@ class JobStore:
         return dedup_candidate(self.pending(), kind, key)
 
     def cleanup(self, which: CleanupCriteria) -> int:
-        """Delete finished jobs and their journal; the number of jobs."""
+        """Delete finished jobs and their journal; the number of jobs. Only segments that hold
+        some of them are written anew, or dropped where nothing is left."""
+        return again(lambda: self._cleanup(which))
+
+    def _cleanup(self, which: CleanupCriteria) -> int:
         base = self.version()
         before = self.manifest(base)
-        left, entries, deleted = cleanup(self._jobs(before["finished"]), self.journal(base), which)
-        n = deleted.first()[0]
-        if n:
-            self._publish(base, before | {"finished": self._write_jobs(left)["finished"], "journal": self._write_journal(entries)})
+        finished = self._read(before["finished"], "jobs", JOBS).withColumn("_file", F.input_file_name())
+        gone = finished.where(F.coalesce(which.predicate(), F.lit(False)))
+        # A row a segment comes to the driver, as in the manifest.
+        met = [(r["_s"], r.n) for r in gone.groupBy(F.regexp_extract("_file", r"/(segment=[^/]+/status=[^/]+)/[^/]*$", 1).alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        n = sum(k for _, k in met)
+        if not n:
+            return 0
+        hit = [f for f in before["finished"] if f in {s for s, _ in met}]
+        ids = gone.select(F.col("id").alias("job_id"))
+        journal = self._read(before["journal"], "journal", JOURNAL).withColumn("_file", F.input_file_name())
+        told = {r["_s"] for r in journal.join(ids, "job_id", "left_semi").groupBy(F.regexp_extract("_file", r"/([^/]+)/[^/]*$", 1).alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        entries = [f for f in before["journal"] if f in told]
+        left, kept, _ = cleanup(self._jobs(hit), self._read(entries, "journal", JOURNAL), which)
+        finished = [f for f in before["finished"] if f not in hit] + self._write_jobs(left)["finished"]
+        journal = [f for f in before["journal"] if f not in told] + (self._write_journal(kept) if entries else [])
+        self._publish(base, before | {"finished": finished, "journal": journal})
         return n

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.schema import FAILURES
 from ..operators.transitions import enqueue, settle
-from ..sources.store import JobStore
+from ..sources.store import JobStore, again
 
 COMMANDS = "action string, id string, kind string, payload string, priority short, visible_at timestamp_ntz, carry string, dedup_key string, claimed_by string, run_no int, tag string, failure_count int, note string, attachment string, issued_at timestamp_ntz"
 
@@ -24,6 +22,11 @@ def command_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 
 
 def apply_commands(store: JobStore, batch: DataFrame, clock: datetime | None = None) -> int:
+    """:func:`_apply`, again on the next version where another writer was faster."""
+    return again(lambda: _apply(store, batch, clock))
+
+
+def _apply(store: JobStore, batch: DataFrame, clock: datetime | None) -> int:
     """Enqueue and settle what a micro-batch holds, as one snapshot; the version after it.
 
     A batch that comes again after a failure finds its jobs already there or its guards
@@ -35,7 +38,10 @@ def apply_commands(store: JobStore, batch: DataFrame, clock: datetime | None = N
         if now is None:
             return store.version()
         base = store.version()
-        new = batch.where("action = 'enqueue'").dropDuplicates(["id"]).join(store.jobs(base).select("id"), "id", "left_anti")
+        asked = batch.where("action = 'enqueue'").dropDuplicates(["id"])
+        # Of all jobs ever only those that the batch names are gathered.
+        known = store.jobs(base).select("id").join(asked.select("id"), "id", "left_semi")
+        new = asked.join(known, "id", "left_anti")
         made = enqueue(store.active(base), new.select("id", "kind", "payload", "priority", "visible_at", F.coalesce("carry", F.lit("null")).alias("carry"), "dedup_key"), now)
         change = settle(made.jobs, batch.where("action = 'settle'").select("id", "claimed_by", "run_no", "tag", "visible_at", "failure_count", "carry", "note", "attachment"), now)
         wakes = new.limit(1).count() > 0 or change.count().first().notify
@@ -67,32 +73,16 @@ def start_worker(worker: Any, checkpoint: str, clock: Any, **trigger: Any) -> St
     return wakeups.writeStream.foreachBatch(wake).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-STATE = "runs long, failures long, last_event long, outcome string"
-OUTPUT = "job_id string, runs long, failures long, last_event long, outcome string"
-
-
-def _fold(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    runs, failures, last, outcome = state.get if state.exists else (0, 0, -1, None)
-    for rows in batches:
-        runs += len(rows)
-        failures += int(rows.outcome.isin(["retried", "dead", "stale-recovered"]).sum())
-        top = rows.loc[rows.id.idxmax()]
-        if top.id > last:
-            last, outcome = int(top.id), top.outcome
-    state.update((runs, failures, last, outcome))
-    yield pd.DataFrame([(key[0], runs, failures, last, outcome)], columns=["job_id", "runs", "failures", "last_event", "outcome"])
+#: State by key lives on executors' disks rather than in their memory.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def job_states(journal: DataFrame) -> DataFrame:
-    """State of each job as its journal streams in: entries, failures and latest outcome.
+    """State of each job as its journal (id, job_id, outcome) comes in, as a table or as a stream
+    in update mode: entries, failures and latest outcome.
 
-    ``journal`` streams id, job_id and outcome. Late rows count, and only a later id changes the
-    latest outcome, so the state does not depend on how rows fall into batches.
+    Late rows count, and only a later id changes the latest outcome, so the state does not
+    depend on how rows fall into batches. Streams should run with :data:`STATE_STORE`.
     """
-    return journal.select("job_id", "id", "outcome").groupBy("job_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def job_states_batch(journal: DataFrame) -> DataFrame:
-    """The same over a table."""
-    failed = F.count_if(F.col("outcome").isin("retried", "dead", "stale-recovered"))
+    failed = F.count_if(F.col("outcome").isin(*FAILURES))
     return journal.groupBy("job_id").agg(F.count(F.lit(1)).alias("runs"), failed.alias("failures"), F.max("id").alias("last_event"), F.max_by("outcome", "id").alias("outcome"))

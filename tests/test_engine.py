@@ -202,10 +202,10 @@ def test_command_stream(store, spark, tmp_path):
 def test_stream_equals_batch(spark):
     from quayside.plans.queries import stream_job_state
     from quayside.sources.derive import event_outcomes, table
-    from quayside.streaming.stream import job_states_batch
+    from quayside.streaming.stream import job_states
 
     d = "/root/testdata/sf0.001"
-    assert sorted(stream_job_state(spark, d).collect()) == sorted(job_states_batch(event_outcomes(table(spark, d, "events"))).collect())
+    assert sorted(stream_job_state(spark, d).collect()) == sorted(job_states(event_outcomes(table(spark, d, "events"))).collect())
 
 
 def test_notifications(store):
