@@ -70,7 +70,8 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, rare: int = 2, slop: int
     few = _few(wanted)
     # A list that is too long to be sent is met by one row a word and task, not by every word.
     counts = (said.join(few, "word", "left_semi") if few is not None else said).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts if few is not None else counts.join(wanted, "word", "left_semi")
+    # Counts are no more than the wanted words, so they are sent where those were.
+    counts = F.broadcast(counts) if few is not None else counts.join(wanted, "word", "left_semi")
     # A phrase with a word that occurs nowhere has no match.
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "word")))
     ranked = terms.join(counts, "word", "left").groupBy("phrase").agg(order.alias("terms")).where(F.col("terms")[0]["n"] > 0)
