@@ -48,8 +48,8 @@ K, TRUST = 5, 0.999
 #: A chunk is named by the partition that it is scanned in and its place there.
 CHUNK_SHIFT = 32
 #: Characters and documents of a chunk at most, characters of text (times orders) that a
-#: bucket stands for, and entries that are merged at once.
-CHUNK, CHUNK_DOCS, BUCKET, MERGE = 10_000_000, 1 << 20, 12_000_000, 1_000_000
+#: bucket stands for, and numbers that are merged at once.
+CHUNK, CHUNK_DOCS, BUCKET, MERGE = 8_000_000, 1 << 20, 12_000_000, 2_000_000
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
@@ -259,8 +259,8 @@ class _Table:
 
     def add(self, names: np.ndarray, sums: np.ndarray, first: np.ndarray) -> None:
         self.held.append((names, sums, first))
-        self.size += len(names)
-        if self.size > MERGE + len(self.names):
+        self.size += sums.size
+        if self.size > MERGE + self.sums.size:
             self.settle()
 
     def settle(self) -> _Table:
@@ -290,9 +290,9 @@ TYPES, TOKENS, DOCS = -1, -2, -3
 #: Rows of a stored table stand for a chunk of this name, which is not answered.
 MODEL = -1
 DEALT = pa.schema([("key", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("piece", pa.binary())])
-SAID = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("order", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("piece", pa.binary())])
+SAID = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("order", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("piece", pa.binary())])
 DEALT_SQL = "key int, bucket int, chunk long, kind int, piece binary"
-SAID_SQL = "kind int, chunk long, bucket int, order int, gram long, n long, weight double, piece binary"
+SAID_SQL = "key int, kind int, chunk long, bucket int, order int, gram long, n long, weight double, piece binary"
 #: Names are written as differences, as they ascend within a bucket.
 DELTAS = {"parquet.writer.version": "v2"}
 #: Of a history: how many n-grams were seen 1 to K times, the counts of those seen more often;
@@ -328,10 +328,11 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, l
         yield last, held
 
 
-def _home(chunk: int, buckets: int) -> int:
-    """The bucket that a chunk's own rows travel with; neighbours are far apart."""
+def _home(chunk: int, parts: int) -> int:
+    """The partition, and the bucket of that number, that a chunk's own rows go to; those of
+    neighbours are far apart, so that chunks are dealt out evenly."""
     nth = 16 * (chunk >> CHUNK_SHIFT) + (chunk & (1 << CHUNK_SHIFT) - 1)
-    return int(nth * 0.6180339887498949 % 1 * buckets)
+    return int(nth * 0.6180339887498949 % 1 * parts)
 
 
 def _deal(order: int, buckets: int, keys: list[int]):
@@ -348,8 +349,8 @@ def _deal(order: int, buckets: int, keys: list[int]):
                 own.append((met, np.bincount(at[learned], minlength=len(met))))
                 if len(own) == 1:  # the names come back with the answers, in this order
                     listed = [np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), train.astype(np.uint8).tobytes(), _planes(lengths, "<u8"), _planes(at, "<u4")]
-            home = _home(chunk, buckets)
-            rows = [(keys[home % len(keys)], home, chunk, LISTED, _packed(listed))]
+            home = _home(chunk, len(keys))
+            rows = [(keys[home], home, chunk, LISTED, _packed(listed))]
             for b, cuts in _slices([met for met, _ in own], buckets):
                 piece = [raw for cut, (met, counts) in zip(cuts, own, strict=True) for raw in (_narrow(met[cut]), _planes(counts[cut], "<u4"))]
                 rows.append((keys[b % len(keys)], b, chunk, COUNTED, _packed(piece)))
@@ -380,12 +381,12 @@ def _deal_table(kind: int, order: int, buckets: int, keys: list[int]):
     return run
 
 
-def _count(order: int, emit: bool):
+def _count(order: int, keys: list[int], emit: bool):
     """Add up a bucket's n-grams and answer its chunks: the words' names, and twice the count of
     each n-gram, and one more for the chunk that it is given to."""
 
     def bucket(which: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(SAID, [(LISTED, chunk, which, None, None, None, None, piece) for chunk, kind, _, piece in rows if kind == LISTED])
+        yield from _batches(SAID, [(keys[_home(chunk, len(keys))], LISTED, chunk, which, None, None, None, None, piece) for chunk, kind, _, piece in rows if kind == LISTED])
         pieces = [(chunk, piece) for chunk, kind, _, piece in rows if kind == COUNTED]
         tables = [_Table(1) for _ in range(order)]
         for i, (chunk, piece) in enumerate(pieces):
@@ -401,7 +402,7 @@ def _count(order: int, emit: bool):
                 numbers = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist()
                 ends = counts[table.names == END] if o == 0 else counts[:0]
                 said = [*enumerate(numbers, 1), (TYPES, len(counts)), (TOKENS, int(counts.sum())), (DOCS, int(ends.sum()))]
-                yield from _batches(SAID, [(NUMBER, None, which, o + 1, r, n, None, None) for r, n in said if n])
+                yield from _batches(SAID, [(None, NUMBER, None, which, o + 1, r, n, None, None) for r, n in said if n])
         for i, (chunk, piece) in enumerate(pieces):
             if chunk == MODEL:
                 continue
@@ -410,7 +411,7 @@ def _count(order: int, emit: bool):
             for o, table in enumerate(tables):
                 there, at = table.find(_wide(parts[2 * o]))
                 answer.append(_planes(np.where(there, 2 * table.sums[at, 0] + (table.first[at] == i), 0) if len(table.names) else np.zeros(len(there), np.int64), "<u8"))
-            yield from _batches(SAID, [(COUNTED, chunk, which, None, None, None, None, _packed(answer))])
+            yield from _batches(SAID, [(keys[_home(chunk, len(keys))], COUNTED, chunk, which, None, None, None, None, _packed(answer))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for which, rows in _groups(batches, "bucket"):
@@ -476,8 +477,8 @@ def _judge(stats: Stats, buckets: int, keys: list[int], learn: bool):
             if o > 2:
                 below[at] = past[o - 2][own]
             adds.append((heads, sums, below))
-        home = _home(name, buckets)
-        out_rows = [(keys[home % len(keys)], home, name, JUDGED, _packed(judged))]
+        home = _home(name, len(keys))
+        out_rows = [(keys[home], home, name, JUDGED, _packed(judged))]
         lists = [x for ask, (heads, *_) in zip(asks, adds, strict=True) for x in (ask, heads)]
         for b, cuts in _slices(lists, buckets):
             piece = []
@@ -493,12 +494,12 @@ def _judge(stats: Stats, buckets: int, keys: list[int], learn: bool):
     return run
 
 
-def _weigh(stats: Stats, emit: bool):
+def _weigh(stats: Stats, keys: list[int], emit: bool):
     """Add up a bucket's histories, make their weights and answer its chunks."""
     lower = range(2, stats.order + 1)
 
     def bucket(which: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(SAID, [(JUDGED, chunk, which, None, None, None, None, piece) for chunk, kind, _, piece in rows if kind == JUDGED])
+        yield from _batches(SAID, [(keys[_home(chunk, len(keys))], JUDGED, chunk, which, None, None, None, None, piece) for chunk, kind, _, piece in rows if kind == JUDGED])
         pieces = [(chunk, piece) for chunk, kind, _, piece in rows if kind == FOLLOWED]
         tables = [_Table(SUMS) for _ in lower]
         known: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in lower]
@@ -532,7 +533,7 @@ def _weigh(stats: Stats, emit: bool):
                 there, at = table.find(_wide(parts[4 * o]))
                 answer.append((np.where(there, weights[o][at], 0.0) if len(table.names) else np.zeros(len(there))).astype("<f8").tobytes())
             if any(answer):
-                yield from _batches(SAID, [(FOLLOWED, chunk, which, None, None, None, None, _packed(answer))])
+                yield from _batches(SAID, [(keys[_home(chunk, len(keys))], FOLLOWED, chunk, which, None, None, None, None, _packed(answer))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for which, rows in _groups(batches, "bucket"):
@@ -581,12 +582,12 @@ def _evaluated(docs: DataFrame, held, order: int, model: Model | None = None) ->
         return rows.repartition(parts, "key").sortWithinPartitions("bucket", "chunk")
 
     def by_chunk(rows: DataFrame, *kinds: int) -> DataFrame:
-        return rows.where(F.col("kind").isin(*kinds)).select("chunk", "kind", "bucket", "piece").repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+        return rows.where(F.col("kind").isin(*kinds)).select("key", "chunk", "kind", "bucket", "piece").repartition(parts, "key").sortWithinPartitions("chunk", "bucket")
 
     dealt = lines.mapInArrow(_deal(order, buckets, keys), DEALT_SQL)
     if model is not None:
         dealt = dealt.unionByName(model.grams.select("order", "gram", "n").mapInArrow(_deal_table(COUNTED, order, buckets, keys), DEALT_SQL))
-    counted = stored(in_few_files(by_bucket(dealt).mapInArrow(_count(order, learn), SAID_SQL), chars * order, BUCKET), "grams", **DELTAS)
+    counted = stored(in_few_files(by_bucket(dealt).mapInArrow(_count(order, keys, learn), SAID_SQL), chars * order, BUCKET), "grams", **DELTAS)
     if model is None:
         numbers = {(r.order, r.gram): r.n for r in counted.where(F.col("kind") == NUMBER).groupBy("order", "gram").agg(F.sum("n").alias("n")).collect()}
         of = [np.array([0.0, *(numbers.get((o, r), 0) for r in range(1, K + 2)), 0.0]) for o in range(1, order + 1)]
@@ -597,7 +598,7 @@ def _evaluated(docs: DataFrame, held, order: int, model: Model | None = None) ->
     judged = by_chunk(counted, LISTED, COUNTED).mapInArrow(_judge(stats, buckets, keys, learn), DEALT_SQL)
     if model is not None:
         judged = judged.unionByName(model.histories.select("order", "gram", "weight").mapInArrow(_deal_table(FOLLOWED, order, buckets, keys), DEALT_SQL))
-    weighed = stored(in_few_files(by_bucket(judged).mapInArrow(_weigh(stats, learn), SAID_SQL), chars * order, BUCKET), "histories", **DELTAS)
+    weighed = stored(in_few_files(by_bucket(judged).mapInArrow(_weigh(stats, keys, learn), SAID_SQL), chars * order, BUCKET), "histories", **DELTAS)
     scored = by_chunk(weighed, JUDGED, FOLLOWED).mapInArrow(_finish(stats), RESULT_SQL)
     if model is None:
         model = Model(stats, counted.where(F.col("kind") == GRAM).select("order", "gram", "n"), weighed.where(F.col("kind") == HISTORY).select("order", "gram", "n", "weight"))
