@@ -109,6 +109,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_slices(texts: Any, rows: int = 1000) -> Iterator[list[str | None]]:
+    """The texts of an Arrow array as Python strings, some at a time, so that a worker does
+    not hold a whole batch a second time."""
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows).to_pylist()
+
+
 def one_thread() -> None:
     """Keep numeric libraries of a Python worker to its one core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):

@@ -18,10 +18,11 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_slices, stored
 
 DIMENSIONS = 1 << 12
 #: Bytes that are counted at once.
@@ -157,11 +158,9 @@ def fit(labelled: DataFrame, sample: int = 1000, languages: int | None = None, m
                     least[r.lang] = own[min(wanted, r.n) - 1]
         open_limits = again
 
-    @F.pandas_udf("binary")
-    def vector(texts):
-        import pandas as pd
-
-        return pd.Series([term_frequencies(ngram_counts(t)).astype(np.float16).tobytes() for t in texts])
+    @F.arrow_udf("binary")
+    def vector(texts: pa.Array) -> pa.Array:
+        return pa.array([term_frequencies(ngram_counts(t)).astype(np.float16).tobytes() for some in in_slices(texts) for t in some], pa.binary())
 
     # Equal texts come together before their vectors are made.
     got = within(rows, least).dropDuplicates(["lang", "h"]).select("lang", "h", vector("text").alias("v")).toArrow()
@@ -195,12 +194,13 @@ def with_language(docs: DataFrame, model: Centroids) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats a centroid, clusters * languages of them
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def of(texts):
-        import pandas as pd
-
-        names, scores, rejected = shared.value.predict(list(texts))
-        return pd.DataFrame({"lang_pred": names, "score": scores, "rejected": rejected})
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        names, scores, rejected = [], [], []
+        for some in in_slices(texts):
+            for whole, part in zip((names, scores, rejected), shared.value.predict(some), strict=True):
+                whole.extend(part)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     return docs.select(*rest, of("text").alias("_said")).select(*rest, "_said.lang_pred", "_said.score", "_said.rejected")

@@ -28,10 +28,13 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_slices
+
 #: Characters before and after a candidate that its features may look at.
 NEAR = 60
 
@@ -312,6 +315,7 @@ def labelled_findings(table: DataFrame, sample: int = 20_000) -> list[tuple[str,
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("shape", T.StringType()), T.StructField("score", T.DoubleType())]))
+ARROW_SPANS = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "shape": pa.string(), "score": pa.float64()}))
 
 
 def scan(texts: list[str | None], forest: Forest, threshold: float = 0.5) -> list[list[tuple[int, int, str, float]]]:
@@ -347,18 +351,18 @@ def with_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest or train())  # trees of a bounded depth, a tokenizer's words
 
-    @F.pandas_udf(T.StructType([T.StructField("spans", SPANS), T.StructField("clean", T.StringType())]))
-    def of(texts):
-        import pandas as pd
-
-        texts = list(texts)
-        found = scan(texts, shared.value, threshold)
-        names = ("start", "end", "shape", "score")
-        return pd.DataFrame({"spans": [[dict(zip(names, s, strict=True)) for s in spans] for spans in found], "clean": [redact(t, spans) for t, spans in zip(texts, found, strict=True)]})
+    @F.arrow_udf(T.StructType([T.StructField("spans", SPANS), T.StructField("clean", T.StringType())]))
+    def of(texts: pa.Array) -> pa.Array:
+        names, found, clean = ("start", "end", "shape", "score"), [], []
+        for some in in_slices(texts):
+            for text, spans in zip(some, scan(some, shared.value, threshold), strict=True):
+                found.append([dict(zip(names, s, strict=True)) for s in spans])
+                clean.append(redact(text, spans) if spans else None)  # a text without spans is not sent back
+        return pa.StructArray.from_arrays([pa.array(found, ARROW_SPANS), pa.array(clean, pa.string())], names=["spans", "clean"])
 
     rest = [c for c in docs.columns if c not in ("secrets", "clean_text")]
     said = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn("_found", of("text"))
-    return said.select(*[F.col(f"`{c}`") for c in rest], F.col("_found.spans").alias("secrets"), F.col("_found.clean").alias("clean_text"))
+    return said.select(*[F.col(f"`{c}`") for c in rest], F.col("_found.spans").alias("secrets"), F.coalesce("_found.clean", "text").alias("clean_text"))
 
 
 def secret_rows(docs: DataFrame, **options) -> DataFrame:

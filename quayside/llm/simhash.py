@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, shuffle_partitions, stored
+from .common import LOWER_BYTES, in_slices, shuffle_partitions, stored
 from .components import connected_components
 
 BITS = 64
@@ -63,11 +63,9 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, column: str = "fp", words: int = 3) -> DataFrame:
     """Add the fingerprint of ``text`` as a signed 64-bit integer."""
 
-    @F.pandas_udf("long")
-    def of(texts):
-        import pandas as pd
-
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, words) for some in in_slices(texts) for t in some], dtype=np.uint64).view(np.int64))
 
     return docs.withColumn(column, of("text"))
 
