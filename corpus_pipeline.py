@@ -13,7 +13,7 @@ kept, calls one operator of ``quayside.llm``, and applies its decision:
 SQL can say neither the classifier nor the fingerprints' trie nor the forest, so there
 is no ``ORACLE_SQL``; the tests compare each stage with a plain version on a small table.
 Rows with a null doc_id are of one component only with their near copies; of a component
-without any id, all rows stay, since none is named to stand for it.
+without any id, too, one row stays, that of the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -43,22 +43,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each component, that of the smallest doc_id (one of it, if it repeats).
+    """Keep one row of each component, that of the smallest doc_id (one of it, if it repeats or is null).
 
     Fingerprints and components are found without the texts' company; the rows that stay
     are then picked by id and a hash of the text."""
     rows = docs.select(F.struct(*_columns(docs)).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     found = near_duplicates(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), keep=("h",), rooted=True)
     heads = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    # An id may stand for several components, each of which keeps a row.
-    named = heads.where(F.col("doc_id").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.count(F.lit(1)).alias("n")).drop("root")
-    nameless = heads.where(F.col("doc_id").isNull()).select("doc_id", "h", F.lit(1).alias("n")).distinct()
-    picked = stored(named.unionByName(nameless), "heads")
+    # A component's heads have one id, or none; an id may stand for several components, each of which keeps a row.
+    picked = stored(heads.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.count(F.lit(1)).alias("n")).drop("root"), "heads")
     kept = rows.join(picked, rows["doc_id"].eqNullSafe(picked["doc_id"]) & (rows["h"] == picked["h"]), "left_semi")
     if picked.where("n > 1").limit(1).count():
-        # Some ids repeat: any one of the rows of an id and text, the first in the order of its columns.
-        one = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.min("row").alias("row")).select("row")
-        kept = one.unionByName(kept.where(F.col("doc_id").isNull()).select("row"))
+        # Some ids repeat, or are null: of the rows of an id and text the first in the order of its columns.
+        kept = kept.groupBy("doc_id", "h").agg(F.min("row").alias("row"))
     return kept.select("row.*")
 
 
