@@ -49,6 +49,15 @@ def test_near_dedup_with_repeated_ids(spark):
     assert sorted(map(tuple, got.collect())) == [(1, first), (1, second), (3, "a third")]
 
 
+def test_near_dedup_without_ids(spark):
+    """Of a component that has no id one row stays, too."""
+    data = [(None, "a text that comes twice")] * 3 + [(None, "another text"), (None, None), (None, ""), (None, " "), (7, "with an id"), (None, "with an id")]
+    got = [tuple(r) for r in pipeline.near_dedup(spark, spark.createDataFrame(data, "doc_id long, text string"), SMALL).collect()]
+    blank = [x for x in got if not (x[1] or "").strip()]
+    assert len(blank) == 1
+    assert sorted((x for x in got if x not in blank), key=repr) == sorted([(7, "with an id"), (None, "a text that comes twice"), (None, "another text")], key=repr)
+
+
 def test_decontamination_stage(spark, steps):
     windows = set()
     for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
