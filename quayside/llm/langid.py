@@ -169,10 +169,16 @@ def fit(labelled: DataFrame, sample: int = 1000, languages: int | None = None, m
     rank = np.arange(len(order)) - np.searchsorted(langs[order].astype(str), langs[order].astype(str))
     order = order[rank < wanted]
     langs = langs[order]
-    tf = np.stack([np.frombuffer(v, np.float16) for v in got.column("v").to_pylist()])[order].astype(np.float32)
+    # One matrix, filled and weighted in place: the driver holds the vectors once, and half floats as they came.
+    x, vectors = np.empty((len(order), DIMENSIONS), np.float32), got.column("v").combine_chunks()
+    for i, at in enumerate(order.tolist()):
+        x[i] = np.frombuffer(vectors[at].as_buffer(), np.float16)
+    del got, vectors
     # A slot in all rows of all languages says nothing; a rare one says most.
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 0.1).astype(np.float32)
-    x = unit(tf * idf)
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 0.1).astype(np.float32)
+    x *= idf
+    for i in range(0, len(x), 1000):
+        x[i : i + 1000] = unit(x[i : i + 1000])
     centres, names, floors = [], [], []
     for lang in sorted(set(langs)):
         own = x[langs == lang]
