@@ -23,6 +23,7 @@ KINDS = ["BUILDING", "MACHINERY", "FURNITURE"]
 IN_KINDS = "kind IN ('BUILDING', 'MACHINERY', 'FURNITURE')"
 NOW_SQL = f"TIMESTAMP '{NOW}'"
 SLOTS, RATIO, LEASE = 40, 4, 900.0
+LONG_MAX = 2**63 - 1
 STATE = ["id", "status", "priority", "visible_at", "claim_expires_at", "claimed_by", "finished_at", "run_count", "failure_count", "carry"]
 STATE_SQL = ", ".join(STATE)
 
@@ -89,7 +90,10 @@ def metric_counters(spark, d):
     FROM (SELECT kind, greatest(date_diff('microsecond', created_at, {NOW_SQL}), 0) AS w FROM jobs WHERE status = 'pending' AND visible_at <= {NOW_SQL}) GROUP BY 1, 2""",
 )
 def claim_wait_times(spark, d):
-    return reads.wait_times(jobs(spark, d), NOW)
+    rows = reads.wait_times(jobs(spark, d), NOW)
+    # BIGINT as in the SQL, whose cast fails where a sum passes 64 bits; there all of them keep the type that holds them.
+    most = rows.agg(F.max("waited_us")).first()[0]
+    return rows if most is not None and most > LONG_MAX else rows.withColumn("waited_us", F.col("waited_us").cast("bigint"))
 
 
 # Claiming

@@ -130,6 +130,14 @@ def test_cursor_is_pushed_down(spark, tmp_path, job_row):
     assert "Or(LessThan(created_at" in plan.replace("PushedFilters: [", "")
 
 
+def test_sum_of_waits_is_exact(spark, job_row):
+    now, old = datetime(9999, 12, 31), datetime(1, 1, 1)
+    rows = [job_row(i, created_at=old, visible_at=T0) for i in range(40)] + [job_row(40, created_at=now - timedelta(hours=24))]
+    got = {r.upto_hours: (r.n, r.waited_us) for r in reads.wait_times(jobs_of(spark, rows), now).collect()}
+    assert got == {None: (40, 40 * ((now - old) // timedelta(microseconds=1))), 24: (1, 86_400_000_000)}
+    assert got[None][1] > 2**63 - 1
+
+
 def test_wait(spark, job_row):
     jobs = jobs_of(spark, [job_row(1, visible_at=T0 + timedelta(seconds=10))])
     wait = lambda now, **k: reads.wait_duration(jobs, KINDS, now, **k).first().wait_us
